@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,24 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tracewright
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be of any file system Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application.
+
+    Harmless where they have it already; without it, a UDF of this package can only be
+    loaded where the package is installed on every node.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    held = Path(tempfile.mkdtemp(prefix="tracewright-")) / f"{here.name}-{sc.applicationId}.zip"
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(p.relative_to(here.parent)))
+    sc.addPyFile(str(held))
+    _SHIPPED.add(sc.applicationId)
