@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, mixing, quality_rules, sharding, token_counts, warc
+from .util import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,3 +16,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.assess(read(spark, sf_dir, "documents"), quality_rules.V1)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "pages"), line_dedup.host_of(F.col("url")), line_dedup.visible_lines(F.col("html")))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.prepared(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
+    return mixing.mix(materialize(docs, "mixing"), targets=LANG_TARGETS).select("doc_id", "source", "lang", "topic", "n_tokens", "p", "weight", "kept")
+
+
+#: Shares of tokens by language that the mix aims at; sources and topics are tempered.
+LANG_TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.13, mixing.OTHER: 0.02}}
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(read(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space, which separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -41,7 +43,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound Arrow batches by rows, as one document can be of any length."""
+    """Make ready for Python on the executors: this package is sent there, and Arrow batches
+    are bounded by rows, as one document can be of any length."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
