@@ -52,4 +52,15 @@ f AS (SELECT page_id, l.host, lines, list_filter(lines, lambda x: NOT coalesce(l
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(rest))::BIGINT AS n_dropped, array_to_string(rest, chr(10)) AS text FROM f
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op8_warc": OP8, "op10_quality_rules": OP10}
+OP4 = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * k >= 75 * (n + m - k)),
+r AS (SELECT doc_id AS d, doc_id AS z FROM documents UNION SELECT r.d, l.y FROM r JOIN l ON r.z = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.c AS component_id FROM s JOIN (SELECT d, min(z) AS c FROM r GROUP BY d) c ON c.d = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_ngram_join": OP4, "op8_warc": OP8, "op10_quality_rules": OP10}

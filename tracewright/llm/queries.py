@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, sharding, token_counts, warc
+from . import line_dedup, mixing, ngram_join, quality_rules, sharding, token_counts, warc
 from .util import materialize
 
 
@@ -28,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "pages"), line_dedup.host_of(F.col("url")), line_dedup.visible_lines(F.col("html")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.prepared(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
     return mixing.mix(materialize(docs, "mixing"), targets=LANG_TARGETS).select("doc_id", "source", "lang", "topic", "n_tokens", "p", "weight", "kept")
