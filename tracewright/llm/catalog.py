@@ -11,7 +11,11 @@ from .oracles import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q.op2_token_counts, q.op3_line_dedup, q.op4_ngram_join, q.op5_mixing, q.op6_sharding, q.op8_warc, q.op10_quality_rules)}
+    every = (
+        q.op1_rule_classifier, q.op2_token_counts, q.op3_line_dedup, q.op4_ngram_join, q.op5_mixing,
+        q.op6_sharding, q.op7_decontamination, q.op8_warc, q.op9_language_id, q.op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

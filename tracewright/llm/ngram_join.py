@@ -400,3 +400,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = rows.join(materialize(classes, "join-result"), "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id. Rows with a null id stay."""
+    found = similar_documents(docs, id_col, text_col)
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(materialize(heads, "join-heads"), id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -117,13 +117,18 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(let(w, over))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements of each document, all in one projection over the text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Measurements of each document, all in one projection over the text.
+
+    The first column is doc_id, or, if ``whole``, ``doc``: all of the row as a struct, so that
+    no column of the input can clash with a measurement.
+    """
+    first = F.struct("*").alias("doc") if whole else F.col(id_col).alias("doc_id")
+    rows = docs.select(first, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("w", words(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     w, lines, t = F.col("w"), F.col("lines"), F.col("t")
     return rows.select(
-        "doc_id",
+        rows.columns[0],
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _count(t, r"#*$%&|<>").alias("n_symbols"),
@@ -172,3 +177,10 @@ def assess(docs: DataFrame, policy: Policy = V1, id_col: str = "doc_id", text_co
     """Measurements, failure bits, the base verdict and the policy's."""
     book = apply_policy(apply_policy(ledger(measure(docs, id_col, text_col)), BASE, out="base_ok"), policy, out="policy_ok")
     return book.select("*", (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("policy_ok")).alias("kept"))
+
+
+def accepted(docs: DataFrame, policy: Policy = V1, text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass the base rules and the policy, with their own columns."""
+    book = ledger(measure(docs, text_col=text_col, whole=True))
+    both = apply_policy(apply_policy(book, BASE, out="base_ok"), policy, out="policy_ok")
+    return both.where("base_ok AND policy_ok").select("doc.*")
