@@ -239,7 +239,8 @@ def with_reasons(events: DataFrame, rules: Sequence[DataFrame]) -> DataFrame:
     on = {n: F.coalesce(F.col(n), F.lit(False)) for n in WRITE_RULES if n in present or n in events.columns}
     name = {n: F.lit(n) for n in on}
     if "delay_us" in present:
-        name["late_oper"] = F.format_string("late_oper_after_%.3fs", F.col("delay_us") / SECOND)
+        ms = F.floor((F.col("delay_us") + 500) / 1000)  # half a millisecond goes up
+        name["late_oper"] = F.format_string("late_oper_after_%d.%03ds", F.floor(ms / 1000), ms % 1000)
     severity = {n: F.lit(WRITE_RULES[n]) for n in on}
     if "unmatched_severity" in present:
         severity["report_without_matching_write"] = F.coalesce("unmatched_severity", F.lit(0))

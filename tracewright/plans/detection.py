@@ -43,14 +43,17 @@ def b2_service_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(baseline.service_probability(_train(spark, sf_dir)), "p")
 
 
-@query(f"{T}, {IA} SELECT channel, {ROUNDED} FROM ia")
+@query(f"{T}, {IA} SELECT channel, n, round(mean * n * 1e6)::BIGINT AS total_us, round(std, 6) AS std FROM ia")
 def b3_interarrival_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(baseline.interarrival_stats(_train(spark, sf_dir), DAY), "mean", "std")
+    """The mean is shown as a sum of microseconds, which is a whole number and so has no ties to round."""
+    found = baseline.interarrival_stats(_train(spark, sf_dir), DAY)
+    return found.select("channel", "n", F.round(F.col("mean") * F.col("n") * 1e6).cast("bigint").alias("total_us"), F.round("std", 6).alias("std"))
 
 
-@query(f"{T}, {SZ} SELECT channel, {ROUNDED} FROM sz")
+@query(f"{T}, {SZ} SELECT channel, n, round(mean * n * 100)::BIGINT AS total_cents, round(std, 6) AS std FROM sz")
 def b4_b8_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(baseline.size_stats(_train(spark, sf_dir)), "mean", "std")
+    found = baseline.size_stats(_train(spark, sf_dir))
+    return found.select("channel", "n", F.round(F.col("mean") * F.col("n") * 100).cast("bigint").alias("total_cents"), F.round("std", 6).alias("std"))
 
 
 @query(f"{T}, {RT} SELECT channel, {ROUNDED} FROM rt")
@@ -204,7 +207,7 @@ iv AS (SELECT line, coalesce(invoke < max(invoke) OVER (PARTITION BY src, dst OR
 j AS (SELECT e.*, CASE WHEN seed THEN 42.0 ELSE 0.0 END AS stat_score, coalesce(lonely, false) AS lonely, coalesce(delay_us > {3 * HOUR}, false) AS late, delay_us, coalesce(mi, false) AS mi, coalesce(ir, false) AS ir,
   coalesce(du, false) AS du, coalesce(cr, false) AS cr, coalesce(ao, false) AS ao, coalesce(ex, false) AS ex, coalesce(al.origin <> allowed, false) AS uo
   FROM e LEFT JOIN (SELECT line, lonely, delay_us FROM pr) USING (line) LEFT JOIN iv USING (line) LEFT JOIN al ON al.line = e.line),
-rs AS (SELECT *, list_filter([CASE WHEN lonely THEN 'oper_without_matching_sbow' END, CASE WHEN late THEN printf('late_oper_after_%.3fs', delay_us / 1e6) END, CASE WHEN mi THEN 'missing_invoke_id_on_write' END,
+rs AS (SELECT *, list_filter([CASE WHEN lonely THEN 'oper_without_matching_sbow' END, CASE WHEN late THEN printf('late_oper_after_%d.%03ds', (delay_us + 500) // 1000000, (delay_us + 500) // 1000 % 1000) END, CASE WHEN mi THEN 'missing_invoke_id_on_write' END,
   CASE WHEN ir THEN 'write_invoke_id_regression' END, CASE WHEN du THEN 'duplicate_write_invoke_id' END, CASE WHEN cr THEN 'write_ctlnum_regression' END, CASE WHEN ao THEN 'write_ctlnum_reused_across_objects' END,
   CASE WHEN ex THEN 'write_ctlnum_reused_excessively' END, CASE WHEN uo THEN 'unexpected_origin_identifier' END], lambda x: x IS NOT NULL) AS reasons,
   CASE WHEN lonely OR du OR ao OR uo THEN 2 WHEN late OR mi OR ir OR cr OR ex THEN 1 ELSE 0 END AS severity FROM j),
