@@ -169,8 +169,12 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     import zstandard
 
     html = F.col(html_col)
-    picked = pages.where(F.octet_length(html).between(64, SAMPLE_BYTES)).orderBy(F.xxhash64(html)).select(html.alias("h")).limit(SAMPLE_ROWS)
-    sample = [r["h"].encode() for r in picked.collect()]
+    fit = pages.where(F.octet_length(html).between(64, SAMPLE_BYTES)).select(html.alias("h"), F.xxhash64(html).alias("at"))
+    last = fit.select("at").distinct().orderBy("at").limit(SAMPLE_ROWS).agg(F.max("at").alias("at")).first()["at"]
+    if last is None:
+        return b""
+    # each page once, though a third of them may be the same
+    sample = [r["h"].encode() for r in fit.where(F.col("at") <= last).groupBy("at").agg(F.first("h").alias("h")).orderBy("at").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes() if len(sample) >= 16 else b""
     except zstandard.ZstdError:
