@@ -15,4 +15,4 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 def test_every_query_is_listed():
     missing = set(catalog.queries()) - set(ORACLES)
-    assert missing == {"m2_group_split", "m6_m7_forest_branch", "d6_rules_only_branch", "m8_sequence_branch", "m10_m13_fusion"}
+    assert missing == {"detector_alerts", "m2_group_split", "m6_m7_forest_branch", "d6_rules_only_branch", "m8_sequence_branch", "m10_m13_fusion"}

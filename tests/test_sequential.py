@@ -213,3 +213,37 @@ def test_scenarios_against_a_loop(spark):
                 want[own[p][0]] = (name, "core" if p in run else "context")
     assert by_line(labels, "scenario", "role") == want
     assert {x["scenario"]: (x["seeds"], x["rows"]) for x in summary.collect()} == counts
+
+
+def test_detector_gates_training_rows(events, spark):
+    """Training rows feed pairing, but aren't shown, and their origins aren't learned."""
+    from tracewright.operators import baseline, detector
+
+    rows, df = events
+    df = df.selectExpr("*", "1.0 AS size")
+    span = 300 * S
+    end = rows[0]["us"] + span
+    model = baseline.model_tables(df, span, 30 * S)
+    got = {(r["event_source"], r["line"]): r for r in detector.detect(df, model, options=detector.Options(emit_all=True)).collect()}
+    packets = {line for kind, line in got if kind == "packet"}
+    assert packets == {e["line"] for e in rows if e["us"] > end}
+    armed, lonely = {}, set()
+    for e in (x for x in rows if x["write"]):
+        key = (e["src"], e["dst"], e["object"], e["ctl"])
+        if e["action"] == "SBOw":
+            armed[key] = e["line"]
+        elif e["action"] == "Oper" and armed.pop(key, None) is None:
+            lonely.add(e["line"])
+    assert {n for n in packets if "oper_without_matching_sbow" in got["packet", n]["protocol_reasons"]} == lonely & packets
+    assert {line for kind, line in got if kind == "synthetic"} == set(armed.values())
+    leader, counts, odd = None, Counter(), set()
+    for e in (x for x in rows if x["write"] and x["origin"] and x["us"] > end):
+        if leader is not None and e["origin"] != leader:
+            odd.add(e["line"])
+        counts[e["origin"]] += 1
+        if leader is None or counts[e["origin"]] > counts[leader]:
+            leader = e["origin"]
+    assert {n for n in packets if "unexpected_origin_identifier" in got["packet", n]["protocol_reasons"]} == odd
+    for r in (got["packet", n] for n in packets):
+        assert r["anomaly_score"] == min(100.0, r["protocol_score"] + r["stat_score"])
+        assert (r["final_tag"] == "normal") == (r["protocol_tag"] == "normal" and r["anomaly_score"] < 40)

@@ -142,15 +142,18 @@ def origin_rule(writes: DataFrame) -> DataFrame:
     return led.select("line", F.coalesce(F.col("origin") != F.col("allowed"), F.lit(False)).alias("unexpected_origin_identifier"))
 
 
-def known_origins(writes: DataFrame) -> DataFrame:
-    """origin, since: the first line that wrote it."""
-    return writes.where(F.coalesce(F.col("origin"), F.lit("")) != "").groupBy("origin").agg(F.min("line").alias("since"))
+def known_origins(writes: DataFrame, trained: DataFrame | None = None) -> DataFrame:
+    """origin, since: the first line that wrote it. Origins of ``trained`` are known from the start."""
+    rows = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "").select("origin", "line")
+    if trained is not None:
+        rows = rows.unionByName(trained.select("origin", F.lit(0).cast("bigint").alias("line")))
+    return rows.groupBy("origin").agg(F.min("line").alias("since"))
 
 
-def unknown_identities(identities: DataFrame, writes: DataFrame, out: str) -> DataFrame:
+def unknown_identities(identities: DataFrame, writes: DataFrame, out: str, trained: DataFrame | None = None) -> DataFrame:
     """line, out: whether the line names an identity that no write up to it has used, though
     some origin was known. identities: line, identity (several rows a line)."""
-    known = known_origins(writes)
+    known = known_origins(writes, trained)
     start = known.agg(F.min("since").alias("start"))
     rows = identities.where(F.coalesce(F.col("identity"), F.lit("")) != "").join(known, F.col("identity") == F.col("origin"), "left").crossJoin(F.broadcast(start))
     unknown = (F.col("line") >= F.col("start")) & F.coalesce(F.col("since") > F.col("line"), F.lit(True))
@@ -163,19 +166,21 @@ def unknown_identities(identities: DataFrame, writes: DataFrame, out: str) -> Da
 def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SECOND, strict: bool = False) -> DataFrame:
     """Rules on report entries (line, pos, us, src, dst, origin, ctl), one row an entry.
 
-    Writes of a line stand before its entries. Adds
+    Writes of a line stand before its entries. Where writes have a boolean column ``learned``,
+    only learned ones make origins and counters known; all of them answer reports. Adds
     report_origin_not_seen_in_writes, report_ctlnum_regression,
     report_ctlnum_below_write_baseline, report_ctlnum_not_seen_in_writes,
     report_without_matching_write and unmatched_severity.
     """
     named = entries.where(F.coalesce(F.col("origin"), F.lit("")) != "")
-    known = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "")
-    first = known.agg(F.min("line").alias("start"))
-    e = named.select(F.lit(1).alias("side"), "line", "pos", "us", "src", "dst", "origin", "ctl", F.lit(None).cast("bigint").alias("wctl"), F.lit(None).cast("bigint").alias("wus"))
+    learned = F.col("learned") if "learned" in writes.columns else F.lit(True)
+    known = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "").withColumn("_learned", learned)
+    first = known.where("_learned").agg(F.min("line").alias("start"))
+    e = named.select(F.lit(1).alias("side"), "line", "pos", "us", "src", "dst", "origin", "ctl", F.lit(None).cast("bigint").alias("wctl"), F.lit(None).cast("bigint").alias("wus"), F.lit(0).alias("names"))
     # a write's channel is turned around, so that it meets the reports that answer it
     w = known.select(
         F.lit(0).alias("side"), "line", F.lit(-1).alias("pos"), "us", F.col("dst").alias("src"), F.col("src").alias("dst"), "origin", "ctl",
-        F.col("ctl").alias("wctl"), F.when(F.col("ctl").isNotNull(), F.col("us")).alias("wus"),
+        F.when(F.col("_learned"), F.col("ctl")).alias("wctl"), F.when(F.col("ctl").isNotNull(), F.col("us")).alias("wus"), F.col("_learned").cast("int").alias("names"),
     )
     both = e.unionByName(w)
     order = lambda *k: Window.partitionBy(*k).orderBy("line", "side", "pos")
@@ -186,7 +191,7 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
     seen = (
         both.withColumn("low", F.min("wctl").over(so_far(own)))
         .withColumn("high", F.max("wctl").over(so_far(own)))
-        .withColumn("seen", F.max(F.lit(1) - F.col("side")).over(so_far(own)))
+        .withColumn("seen", F.max("names").over(so_far(own)))
         .withColumn("used", F.count("wctl").over(so_far(pair)))
         .withColumn("report_high", F.max(F.when(F.col("side") == 1, F.col("ctl"))).over(before(channel)))
         .withColumn("last_write", F.last("wus", ignorenulls=True).over(so_far(answer)))

@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Label columns by preference, after the one that is asked for.
+LABEL_COLUMNS = ("supervised_is_anomaly", "is_anomaly")
+
+
+def label_column(df: DataFrame, wanted: str | None = None) -> str:
+    """The asked-for label column if the table has it, else the first usual one it has."""
+    for name in ([wanted] if wanted else []) + list(LABEL_COLUMNS):
+        if name in df.columns:
+            return name
+    raise ValueError(f"no label column among {df.columns}")
+
+
 def windows(rows: DataFrame, features: Sequence[str], size: int = 8, step: int = 1, least: int = 0, label: str = "label", mode: str = "end", keep: Sequence[str] = ()) -> DataFrame:
     """The last ``size`` rows up to each row of a group, every ``step`` rows.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fingerprint
-from ..operators import baseline, protocol, statistical
+from ..operators import baseline, detector, normalize, protocol, statistical
+from ..session import ship
 from .bind import DAY, EVENTS, HOUR, events, writes
 from .registry import query
 
@@ -258,3 +259,17 @@ def f11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{E} SELECT line, contains(props, '9') AS last_appl_error FROM e")
 def p1_token_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("line", F.col("props").contains("9").alias("last_appl_error"))
+
+
+@query()
+def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detector over the events and their nested payloads; its parts have twins of their own."""
+    from .normalization import raw_events
+
+    ship(spark)
+    e = events(spark, sf_dir).drop("final_tag")
+    model = baseline.model_tables(e, TRAIN, WINDOW)
+    options = detector.Options(WINDOW, 3 * HOUR, 4 * HOUR, 24 * HOUR, QUIET, sequence=True)
+    found = detector.detect(e, model, normalize.payload_values(raw_events(spark, sf_dir)), options)
+    lists = [c for c, k in found.dtypes if k.startswith("array")]
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ";") for c in lists})
