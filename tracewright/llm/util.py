@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import discard_tables, materialize, shared_dir, shared_path, ship
+
+__all__ = ["SPACE", "discard_tables", "held_out", "let", "materialize", "shared_dir", "shared_path", "small_batches", "words"]
 
 #: ASCII white space, which separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir.
-
-    Where that is unset (tests, a local session) a temporary folder of this machine is
-    made once and set, which is right only in local mode.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there,
-    a lost executor costs nothing that is already written, and both sides of a later
-    self-join read the same rows."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Make ready for Python on the executors: this package is sent there, and Arrow batches
     are bounded by rows, as one document can be of any length."""
