@@ -50,16 +50,24 @@ def number_scenarios(seeds: DataFrame) -> DataFrame:
     return spans.withColumn("no", no).withColumn("scenario", F.format_string("scenario_%04d", F.col("no")))
 
 
-def members(placed: DataFrame, spans: DataFrame, places: int = 4, around_us: int = 15 * SECOND) -> DataFrame:
-    """(no, line, seed) of the rows within so many places, or so much time, of a cluster.
+def _within(rows: DataFrame, spans: DataFrame, value: str, low: Column, high: Column, width: int) -> DataFrame:
+    """(no, line) of the rows whose value lies in a span of their group.
 
-    Two joins on the group with one range each, rather than one with both: a range alone
-    lets Spark filter while it joins. Clusters are few, so their side is the small one.
+    Values are cut into bins; a span goes to each bin it touches, so that rows meet the spans
+    near them by an equality, not all spans of their group.
     """
-    rows = placed.select("line", "grp", "pos", "us")
-    by_place = rows.join(spans.select("no", "grp", "first_pos", "last_pos"), "grp").where(F.col("pos").between(F.col("first_pos") - places, F.col("last_pos") + places))
-    by_time = rows.join(spans.select("no", "grp", "first_us", "last_us"), "grp").where(F.col("us").between(F.col("first_us") - around_us, F.col("last_us") + around_us))
-    return by_place.select("no", "line").union(by_time.select("no", "line")).distinct()
+    bins = spans.select("no", "grp", low.alias("low"), high.alias("high"))
+    bins = bins.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    binned = rows.select("line", "grp", F.col(value).alias("value"), F.floor(F.col(value) / width).alias("bin"))
+    return binned.join(bins, ["grp", "bin"]).where("value BETWEEN low AND high").select("no", "line")
+
+
+def members(placed: DataFrame, spans: DataFrame, places: int = 4, around_us: int = 15 * SECOND) -> DataFrame:
+    """(no, line) of the rows within so many places, or so much time, of a cluster: two joins with one range each."""
+    by_place = _within(placed, spans, "pos", F.col("first_pos") - places, F.col("last_pos") + places, max(64, 8 * places))
+    timed = spans.where("first_us IS NOT NULL")
+    by_time = _within(placed.where("us IS NOT NULL"), timed, "us", F.col("first_us") - around_us, F.col("last_us") + around_us, max(SECOND, 8 * around_us))
+    return by_place.union(by_time).distinct()
 
 
 def label(events: DataFrame, gap_us: int = 30 * SECOND, places: int = 4, around_us: int = 15 * SECOND) -> tuple[DataFrame, DataFrame]:
