@@ -36,29 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import small_batches
+from .wordhash import word_hashes
 
 ERRORS, SEED, WALKS, RECALL = 0.2, 3, 4, 0.999
 MOST_WORDS = 2_000_000
 _STRIP = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORD_HASH = _WordHash()
-
-
 def word_ids(text: str | None) -> np.ndarray:
     """64-bit ids of a text's words in lower case (A-Z), without ASCII punctuation."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _STRIP).split()
-    return np.fromiter(map(_WORD_HASH.__getitem__, w), dtype=np.uint64, count=len(w))
+    return word_hashes(w)
 
 
 def runs(a: np.ndarray, k: int) -> np.ndarray:

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .util import materialize, small_batches
+from .wordhash import word_hashes
 
 WORDS = 5
 #: A link needs den * intersection >= num * union.
@@ -50,7 +51,7 @@ EXTEND = 8
 #: An n-gram counts as frequent if a chunk of prefixes holds it so often, and all chunks together so often.
 CHUNK, IN_CHUNK, IN_ALL, MOST_FREQUENT = 1_000_000, 16, 64, 16384
 #: Tokens and classes of a tile.
-TILE_TOKENS, TILE_SETS = 1_500_000, 4096
+TILE_TOKENS, TILE_SETS = 1_000_000, 4096
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -58,19 +59,6 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 # -- sets -------------------------------------------------------------------------------
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORD_HASH = _WordHash()
-
-
 def _finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -82,7 +70,7 @@ def ngram_set(text: str | None) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    a = np.fromiter(map(_WORD_HASH.__getitem__, w), dtype=np.uint64, count=len(w))
+    a = word_hashes(w)
     k = min(WORDS, len(w))
     h = np.full(len(a) - k + 1, k, dtype=np.uint64)
     for i in range(k):
