@@ -385,7 +385,9 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row."""
     rows, classes = join_classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    found = rows.join(materialize(classes, "join-result"), "cls", "left")
+    # documents without words are many null keys, which a join would send to one task
+    found = rows.where("cls IS NOT NULL").join(materialize(classes, "join-result"), "cls", "left").select("doc_id", "n", "component_id")
+    found = found.unionByName(rows.where("cls IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
