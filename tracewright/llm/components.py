@@ -48,11 +48,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """One large star and one small star. edges: a > b."""
+    """One large star and one small star. edges: a > b.
+
+    The least neighbours are written before they are joined: both sides of the join are then
+    read anew, so that Spark can split a hub with very many edges over tasks.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
     large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    large = materialize(large, "large")
+    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
     moved = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
