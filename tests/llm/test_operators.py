@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -239,6 +240,44 @@ def test_recall_of_edited_passages(spark):
     assert total > 200 and found / total >= 0.99
 
 
+def plain_words(text):
+    """A normalisation of its own: lower case, then runs of letters, marks and digits, joined over punctuation."""
+    words = ["".join(c for c in w if c.isalnum() or unicodedata.category(c)[0] in "M") for w in unicodedata.normalize("NFC", text.lower()).split()]
+    return [w for w in words if w]
+
+
+def plain_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, word in enumerate(item):
+        nxt = [i + 1]
+        for j, other in enumerate(text):
+            nxt.append(min(row[j] + (word != other), row[j + 1] + 1, nxt[j] + 1))
+        row = nxt
+    return min(row)
+
+
+def test_leaks_in_capitals_and_other_punctuation(spark):
+    items = [
+        (1, "La publicación de la región mostró cómo la educación pública cambió según la opinión de más de cien jóvenes en España durante el último año"),
+        (2, "L'été dernier, les élèves français étaient déjà passés près du château où l'hôtel fermé côtoyait la forêt très âgée et la rivière gelée"),
+        (3, "Über die schönen Hügel führt ein schmaler Weg, der früher für Händler und Könige gefährlich war und später völlig überflüssig würde"),
+    ]
+    fill = "hier steht noch etwas anderes das mit den fragen nichts zu tun hat und lang genug ist"
+    shapes = [str, str.upper, str.title, lambda t: unicodedata.normalize("NFD", t.upper()), lambda t: "« " + t.replace(" ", " — ", 3).replace(" ", "\xa0") + " »", lambda t: "“" + t.replace("'", "’") + "…”"]
+    texts = [(i * 10 + k, f"{fill} {shape(t)} {fill}") for i, t in items for k, shape in enumerate(shapes)] + [(99, fill.upper())]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: {x["item_id"]: x["edits"] for x in r["leaks"]} for r in decontamination.find_leaks(docs, bench).collect()}
+    for doc_id, text in texts:
+        own = plain_words(text)
+        dist = {i: (plain_distance(plain_words(t), own), len(plain_words(t))) for i, t in items}
+        assert got[doc_id] == {i: d for i, (d, n) in dist.items() if d <= n // 5}
+    assert all(got[d] == {d // 10: 0} for d, _ in texts[:-1]) and not got[99]
+    assert [r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()] == [99]
+    for ascii_text in ("A-b, C.\x1cd -- e\x0bF_g\x00h", "", " ... "):
+        both = decontamination.word_ids(ascii_text + " ñ")
+        assert both[:-1].tolist() == decontamination.word_ids(ascii_text).tolist()
+
+
 # -- op8 ----------------------------------------------------------------------------------
 
 

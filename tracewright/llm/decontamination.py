@@ -19,7 +19,8 @@ Documents are searched where they lie: nothing is shuffled. Items are sent to al
 which is right for benchmarks up to ``most_words`` words in all; above that the items are dealt
 into blocks of that size, and the documents are searched once for each block.
 
-Defined results: a null text has no words and leaks nothing; null ids pass through; items
+Defined results: words are compared by Unicode case folding, in NFKC and without punctuation;
+a null text has no words and leaks nothing; null ids pass through; items
 without words, or with a null id, are left out; items shorter than SEED words must occur
 exactly; repeated rows each give a row; an empty table gives an empty result, and without
 items nothing leaks; other columns are ignored in ``find_leaks``. Texts are searched whole.
@@ -36,17 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import small_batches
-from .wordhash import word_hashes
+from .wordhash import folded_hashes
 
 ERRORS, SEED, WALKS, RECALL = 0.2, 3, 4, 0.999
 MOST_WORDS = 2_000_000
-_STRIP = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """64-bit ids of a text's words in lower case (A-Z), without ASCII punctuation."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _STRIP).split()
-    return word_hashes(w)
+    """64-bit ids of a text's words (between Unicode white space) without case and punctuation
+    of any script, see ``wordhash.folded``."""
+    return folded_hashes(text or "")
 
 
 def runs(a: np.ndarray, k: int) -> np.ndarray:
