@@ -10,6 +10,7 @@ import pytest
 
 from tracewright.llm import decontamination, mixing, ngram_join, quality_rules, rule_classifier, sharding, token_counts, warc
 from tracewright.llm.components import components
+from tracewright.llm.queries import LANG_TARGETS
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -168,6 +169,35 @@ def test_mix_expects_its_targets(spark):
     assert [r["kept"] for r in mixing.mix(docs, targets=target, budget=0.5).orderBy("doc_id").collect()] == [r["kept"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def test_kept_tokens_meet_the_marginals_without_weights(spark):
+    """Also where the budget asks scarce cells for more than they have."""
+    docs = mixing.prepared(read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source", "lang")).drop("text")
+    rows = mixing.mix(docs, targets=LANG_TARGETS).collect()
+    total, expected = sum(r["n_tokens"] for r in rows), sum(r["p"] * r["n_tokens"] for r in rows)
+    for d in mixing.DIMENSIONS:
+        had, got = Counter(), Counter()
+        for r in rows:
+            had[r[d]] += r["n_tokens"]
+            got[r[d]] += r["p"] * r["n_tokens"]
+        raw = {k: LANG_TARGETS[d].get(k, 0) if d in LANG_TARGETS else v**0.7 for k, v in had.items()}
+        assert all(abs(got[k] / expected - v / sum(raw.values())) < 1e-6 for k, v in raw.items())
+        # no more can be kept than the scarcest category allows
+        assert expected / total <= min(had[k] / total / (v / sum(raw.values())) for k, v in raw.items() if v) + 1e-9
+    assert max(r["p"] for r in rows) <= 1 and all(abs(r["weight"] - 1) < 1e-6 for r in rows)
+
+
+def test_bounded_raking_keeps_the_most():
+    mass, even = np.array([[[4.0], [1.0]], [[1.0], [4.0]]]) / 10, [np.array([0.5, 0.5]), np.array([0.8, 0.2]), np.array([1.0])]
+    fit = mixing.rake(mass, even)
+    got = mixing.largest(mass, fit, 0.9)
+    assert (got <= mass + 1e-9).all() and np.allclose(got.sum(axis=(1, 2)) / got.sum(), even[0], atol=1e-7) and np.allclose(got.sum(axis=(0, 2)) / got.sum(), even[1], atol=1e-7)
+    # the first column holds 0.5 and is 0.8 of what is kept; its rows hold 0.4 and 0.1, and the
+    # second row can be half of all only with 0.1 + 0.2 * kept of it
+    assert 0.325 < got.sum() < 1 / 3 + 1e-6 and got.sum() > 1.03 * fit.sum() / (fit / mass).max()
+    assert abs(mixing.largest(mass, fit, 0.2).sum() - 0.2) < 1e-9
+    assert mixing.largest(np.zeros((0, 0, 0)), np.zeros((0, 0, 0)), 0.0).shape == (0, 0, 0)
+
+
 # -- op6 ----------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 """The pipeline stage by stage against plain Python."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, shingles
 from tracewright.llm import decontamination, mixing, quality_rules
@@ -36,6 +38,17 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in placed.collect())
 
 
+def test_mixed_corpus_has_the_target_shares(spark):
+    """Tokens of the stage's rows as they are: no weight repairs them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").crossJoin(spark.range(60).withColumnRenamed("id", "copy"))
+    docs = docs.withColumn("doc_id", docs["doc_id"] * 60 + docs["copy"]).drop("copy")
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "")
+    tokens = {r["lang"]: r["n"] for r in mixing.prepared(mixed).groupBy("lang").agg(F.sum("n_tokens").alias("n")).collect()}
+    goal = {k: v for k, v in corpus_pipeline.LANG_TARGETS["lang"].items() if k in tokens}
+    off = {k: tokens[k] / sum(tokens.values()) - v / sum(goal.values()) for k, v in goal.items()}
+    assert set(tokens) == set(goal) and max(map(abs, off.values())) < 0.01, off
+
+
 def test_empty_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
