@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import hashlib
+
 import pytest
 
 from tracewright.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, rule_classifier, sharding, token_counts, warc
@@ -115,6 +117,18 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_with_several_payloads_of_a_page(spark):
+    a, b, c = ("<p>" + x * 1200 for x in "abc")
+    rows = [(5, a), (5, b), (9, a), (6, a), (6, c), (9, c), (6, "d" * 1200), (6, "d" * 1200)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    found = warc.round_trip(pages).collect()
+    text = {hashlib.sha1(h.encode()).hexdigest(): h for _, h in rows}
+    assert sorted((r["page_id"], text[r["payload_digest"]], r["refers_to"] or 0) for r in found) == sorted((i, h, 9 if i != 9 and h in (a, c) else 0) for i, h in rows)
+    stored = {bytes(r["payload"]).decode() for r in found if r["record_type"] == "response"}
+    assert stored == set(text.values())
+    assert all(bytes(r["payload"]) == b"" for r in found if r["record_type"] == "revisit")
+
+
 def test_language(spark, docs):
     train = spark.createDataFrame([("the house and the tree " * 5, "en"), ("das haus und der baum " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
     rows = [(1, "http://h.org/a", "<p>the tree and the house</p>"), (2, None, None), (3, "http://h.org/", ""), (None, "bad", "<html lang=de><p>das haus"), (3, "http://h.org/", "")]

@@ -9,7 +9,8 @@ The reader takes whole archives (a partition of pages each) and decodes frame af
 
 Defined results: a null html is an empty payload; a null url is left out of the record, and
 pages of a null page_id are left out, as a record needs an identity; repeated rows give
-repeated records (equal payloads of one page_id never refer to each other); an empty table
+repeated records (equal payloads of one page_id never refer to each other), and different
+payloads of one page_id are records of their own, each a revisit or not; an empty table
 gives an empty result; other columns are ignored. Payloads of any length are whole.
 """
 
@@ -156,12 +157,12 @@ def described(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def references(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """page_id, refers_to of the pages that revisit another: payloads of at least ``least``
+    """page_id, payload_digest, refers_to of the payloads that revisit another page's: those of at least ``least``
     bytes that the page with the largest id also has. Only payloads had twice are joined."""
     meta = materialize(described(pages).where(F.col("size") >= least).select("page_id", "payload_digest"), "warc-digests")
     first = meta.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
     twice = first.where(F.col("refers_to") != F.col("least")).select("payload_digest", "refers_to")
-    return meta.join(twice, "payload_digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+    return meta.join(twice, "payload_digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
@@ -190,7 +191,7 @@ def write_archives(pages: DataFrame, path: str, level: int = 3, id_col: str = "p
     rows = pages.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
     )
-    rows = rows.join(refs, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    rows = rows.withColumn("payload_digest", F.sha1("payload")).join(refs, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "refers_to")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
