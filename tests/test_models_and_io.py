@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import scalar
 from tracewright.operators import evaluation, history, models, normalize, ordering, rules, sequences, statistical
+from tracewright.plans import catalog
 from tracewright.sources import io
 
 
@@ -167,3 +168,19 @@ def test_rules_without_scenarios(spark):
     got = {r["line"]: (r["predicted"], r["confidence"], r["escalated"]) for r in rows.collect()}
     assert got == {1: (1, 3, 0), 2: (0, 0, 0), 3: (1, 1, 0), 4: (0, 0, 0)}
     assert rules.level_metrics(rows).count() == 3
+
+
+def test_model_queries_fit_the_whole_forest(spark, sf_dir, monkeypatch):
+    """Trees, depth, leaf and window size of the studied branches; the fits stand aside."""
+    seen, fit = [], models.fit_forest
+
+    def small(train, features, label="label", trees=models.TREES, depth=models.DEPTH, leaf=models.LEAF, seed=models.SEED):
+        seen.append((trees, depth, leaf, len(features)))
+        return fit(train, features, label, 2, 2, leaf, seed)
+
+    monkeypatch.setattr(models, "fit_forest", small)
+    wide = {"m6_m7_forest_branch": {4}, "d6_rules_only_branch": {2}, "m8_sequence_branch": {24}, "m10_m13_fusion": {3, 24}}
+    for name, features in wide.items():
+        seen.clear()
+        catalog.queries()[name](spark, sf_dir)
+        assert {x[:3] for x in seen} == {(300, 12, 2)} and {x[3] for x in seen} == features

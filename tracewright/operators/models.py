@@ -69,7 +69,7 @@ def train_branch(rows: DataFrame, features: Sequence[str], **options) -> Branch:
     return Branch(final, threshold, scores(final, rows.where("split = 'test'")))
 
 
-def sequence_branch(found: DataFrame, features: Sequence[str], size: int, **options) -> Branch:
+def sequence_branch(found: DataFrame, features: Sequence[str], size: int = 8, **options) -> Branch:
     """The same over flattened windows (with split and label)."""
     wide = flatten(found, features, size)
     inputs = [c for c in wide.columns if "_t_minus_" in c or c.endswith("_t0")]

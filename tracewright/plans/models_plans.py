@@ -11,7 +11,7 @@ from .bind import events
 from .registry import query
 
 FEATURES = ["n_chars", "spaces", "symbols", "capitals"]
-SMALL = {"trees": 20, "depth": 5}
+STEPS = ["ctl", "size", "failed"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,38 +23,38 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m6_m7_forest_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branch = models.train_branch(_documents(spark, sf_dir), FEATURES, **SMALL)
+    branch = models.train_branch(_documents(spark, sf_dir), FEATURES)
     return evaluation.predictions(branch.scored, branch.threshold)
 
 
 @query()
 def d6_rules_only_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branch = models.train_branch(_documents(spark, sf_dir), ["symbols", "capitals"], **SMALL)
+    branch = models.train_branch(_documents(spark, sf_dir), ["symbols", "capitals"])
     return evaluation.predictions(branch.scored, branch.threshold)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("line", "us", F.col("stream").alias("grp"), F.col("ctl").cast("double").alias("ctl"), "size", (F.col("service") == "error").cast("double").alias("failed"), F.col("seed").cast("int").alias("label"))
-    found = sequences.windows(rows, ["ctl", "size", "failed"], 4)
+    found = sequences.windows(rows, STEPS)
     split = evaluation.chronological_split(found.select(F.col("end_line").alias("id"), F.col("end_us").alias("us")), bucket_us=24 * 3600 * 1_000_000).select(F.col("id").alias("end_line"), "split")
     return materialize(found.join(split, "end_line"), "branch-windows")
 
 
 @query()
 def m8_sequence_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branch = models.sequence_branch(_windows(spark, sf_dir), ["ctl", "size", "failed"], 4, **SMALL)
+    branch = models.sequence_branch(_windows(spark, sf_dir), STEPS)
     return evaluation.predictions(branch.scored, branch.threshold, ("end_line", "label"))
 
 
 @query()
 def m10_m13_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two branches scored out of fold, joined with two rule scores, and combined."""
-    wide = sequences.flatten(_windows(spark, sf_dir), ["ctl", "size", "failed"], 4)
+    wide = sequences.flatten(_windows(spark, sf_dir), STEPS)
     e = events(spark, sf_dir).select("line", (F.col("ctl") / 2.0).alias("protocol_score"), F.least(F.col("size"), F.lit(50.0)).alias("stat_score"))
     rows = materialize(evaluation.time_folds(models.align(wide, e).withColumn("id", F.col("end_line")).withColumn("us", F.col("end_us")), 3, 24 * 3600 * 1_000_000), "fusion-rows")
     steps = [c for c in rows.columns if "_t_minus_" in c or c.endswith("_t0")]
-    tabular = models.out_of_fold(rows, ["ctl_t0", "size_t0", "failed_t0"], "tabular", 3, expanding=True, **SMALL)
-    sequence = models.out_of_fold(rows, steps, "sequence", 3, expanding=True, **SMALL).select("id", "sequence")
+    tabular = models.out_of_fold(rows, ["ctl_t0", "size_t0", "failed_t0"], "tabular", 3, expanding=True)
+    sequence = models.out_of_fold(rows, steps, "sequence", 3, expanding=True).select("id", "sequence")
     joined = tabular.join(sequence, "id")
     joined = materialize(joined, "fusion-scores")
     meta = models.meta_features(joined, F.col("tabular"), F.col("sequence"), F.col("protocol_score"), F.col("stat_score"))
