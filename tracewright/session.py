@@ -60,10 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
     Where that is unset (tests, a local session) a temporary folder of this machine is
-    made once and set, which is right only in local mode.
+    made once and set, which is right only in local mode; on a cluster it's an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -79,16 +81,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def discard_tables(spark: SparkSession) -> int:
     """Delete what this process has written to the shared folder; how many paths there were.
 
     Results are read from these tables when they are used, so this is for the end of a job.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        gone += _delete(spark, _WRITTEN.pop())
     return gone
 
 
@@ -99,4 +104,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
