@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 import unicodedata
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm import decontamination, mixing, ngram_join, quality_rules, rule_classifier, sharding, token_counts, warc
+from tracewright.llm import shingles as shingle_sets
 from tracewright.llm.components import components
 from tracewright.llm.queries import LANG_TARGETS
 
@@ -101,7 +103,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("seed", "tile_sets", "chunk"), [(1, 4096, 1_000_000), (2, 7, 1_000_000), (3, 4096, 200), (4, 7, 200)])
+@pytest.mark.parametrize(("seed", "tile_sets", "chunk"), [(1, 512, 1_000_000), (2, 7, 1_000_000), (3, 512, 200), (4, 7, 200)])
 def test_similar_documents_against_all_pairs(spark, monkeypatch, seed, tile_sets, chunk):
     """Also with tiles far too small for the groups, and with frequent n-grams set apart."""
     monkeypatch.setattr(ngram_join, "TILE_SETS", tile_sets)
@@ -115,6 +117,34 @@ def test_similar_documents_against_all_pairs(spark, monkeypatch, seed, tile_sets
     assert got == {i: (len(shingles(t)), want[i]) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("piece", [1 << 17, 40, 3])
+def test_shingles_are_those_of_a_loop(monkeypatch, piece):
+    monkeypatch.setattr(shingle_sets, "PIECE", piece)
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "B", "cd ", " ", "\n", "\x0b", "é", "\xa0", "x y ", "文"]) for _ in range(r.randint(0, 90))) for _ in range(300)] + [None, "", " ", "w" * 500 + " v"]
+    sets = list(shingle_sets.ngram_sets([None if t is None else t.encode() for t in texts]))
+
+    def loop(t):
+        w = [x for x in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+
+    want = [loop(t) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want] and all((np.diff(s.astype(object)) > 0).all() for s in sets if len(s) > 1)
+    held = [set(s.tolist()) for s in sets]
+    assert all(len(held[i] & held[j]) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(0, i, 7))
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, near, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"a{i}" for i in range(39)), " ".join(f"b{i}" for i in range(40))
+    rows = [(2, a, "x"), (5, near, "x"), (5, b, "x"), (7, b, "x"), (7, b, "y"), (2, a, "z"), (8, " ", "x"), (8, "", "x"), (8, "", "y"), (None, a, "x")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, note string, head_id int, digest int")
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(2, a), (5, b), (8, " "), (8, ""), (0, a)])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.similar_documents(docs).collect())
+    assert got == sorted([(2, 2), (5, 2), (5, 5), (7, 5), (7, 5), (2, 2), (8, 8), (8, 8), (8, 8), (0, 0)])
+
+
 def test_trie_finds_every_link():
     r = np.random.default_rng(3)
     for _ in range(30):

@@ -2,7 +2,8 @@
 
 Edges never meet on the driver: it sees one checksum a round. Each round is written to the
 shared folder, so lineage stays short and a lost executor costs one round at most. Edges are
-first contracted within each partition, which leaves at most one edge for each node there.
+first contracted within each partition, which leaves at most one edge for each node that a
+task holds at once. A round's tables go once the next is written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialize, small_batches
+from .util import discard, materialize, small_batches
+
+#: Nodes a task holds at once while it contracts edges.
+HELD = 1_000_000
 
 
 class Forest:
@@ -40,15 +44,22 @@ class Forest:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
+
+    def tree_edges() -> pa.RecordBatch:
+        nodes = [x for x in forest.up if forest.find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             forest.join(x, y)
-    nodes = [x for x in forest.up if forest.find(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
+        if len(forest.up) >= HELD:
+            yield tree_edges()
+            forest = Forest()
+    yield tree_edges()
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """One large star and one small star. edges: a > b.
+    """One large star and one small star, written. edges: a > b.
 
     The least neighbours are written before they are joined: both sides of the join are then
     read anew, so that Spark can split a hub with very many edges over tasks.
@@ -59,7 +70,9 @@ def _round(edges: DataFrame) -> DataFrame:
     large = materialize(large, "large")
     low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
     moved = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    found = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    discard(least, large, low, edges)
+    return found
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -74,7 +87,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         sums = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if (tuple(sums)) == state or sums[0] == 0:
             break
-        state, found = tuple(sums), materialize(_round(found), "edges")
+        state, found = tuple(sums), _round(found)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = found.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -3,19 +3,20 @@
 Two documents link when their sets' Jaccard similarity reaches a bound. The result is one
 row per document with its connected component; links are never listed for whole groups.
 
-1.  Each text becomes a sorted set of 64-bit n-gram hashes. Documents with equal sets are one
-    class; only classes are joined.
+1.  In one pass over all texts each becomes a sorted set of 64-bit n-gram hashes. Documents with
+    equal sets are one class; only classes are joined, and copies within a task go no further.
 2.  Prefix filter over a global order (the hash): linked classes share a number of n-grams
     within their extended prefixes. Prefix n-grams meet in one shuffle, and a class stays
     only if enough of its own are held by another class. Of those it keeps the rarest, as
     many as the bound needs; classes with a kept n-gram in common form a candidate group.
-3.  Within a group the sets are stored in a trie, in the order of falling frequency, so that
-    alike sets share their path. A set is compared with all others in one traversal, which
+3.  Within a group the sets are stored in a trie, in the same global order, so that alike sets
+    share the start of their path. A set is compared with all others in one traversal, which
     adds up overlaps shared by all sets below a node and leaves out subtrees that, by
     the lengths that remain, can't reach the bound.
-4.  A group larger than one task should hold is dealt into tiles. Each tile is joined by
-    itself first; then only classes outside the group's largest component are compared
-    across tiles, so a large group of near copies costs little beyond its first pass.
+4.  A group larger than one task should hold is dealt into tiles, which share a few classes.
+    Each tile is joined by itself first; then only classes outside the group's largest
+    component are compared across tiles, so a large group of near copies costs little beyond
+    its first pass.
 
 N-grams in very many documents (counted over all documents, in bounded chunks) are known
 beforehand to be shared, so they are counted without being shuffled.
@@ -25,8 +26,9 @@ n-grams).
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 their own component; rows with a null id link with nothing and have no component; rows with
-the same id and text are alike; an empty table gives an empty result; other columns are
-ignored. Texts are taken whole.
+the same id and text are alike, and rows of one id with different texts are documents of
+their own; an empty table gives an empty result; other columns are ignored. Texts are taken
+whole.
 """
 
 from __future__ import annotations
@@ -34,50 +36,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import materialize, small_batches
-from .wordhash import word_hashes
+from .shingles import finish, ngram_sets
+from .util import discard, materialize, small_batches, unused
 
-WORDS = 5
 #: A link needs den * intersection >= num * union.
 NUM, DEN = 3, 4
 #: Prefixes are extended by 1/EXTEND of a set.
 EXTEND = 8
 #: An n-gram counts as frequent if a chunk of prefixes holds it so often, and all chunks together so often.
 CHUNK, IN_CHUNK, IN_ALL, MOST_FREQUENT = 1_000_000, 16, 64, 16384
-#: Tokens and classes of a tile.
-TILE_TOKENS, TILE_SETS = 1_000_000, 4096
+#: Tokens and classes of a tile, and the classes that all tiles of a group share.
+TILE_TOKENS, TILE_SETS, PIVOTS = 500_000, 512, 8
+#: Classes a task remembers so as to leave out their copies.
+REMEMBERED = 500_000
 
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 # -- sets -------------------------------------------------------------------------------
 
 
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-def ngram_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text; of its whole sequence if it is shorter."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    a = word_hashes(w)
-    k = min(WORDS, len(w))
-    h = np.full(len(a) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        h += a[i : len(a) - k + 1 + i] * _ODD[i]
-    return np.unique(_finish(h))
-
-
 def class_of(s: np.ndarray) -> int | None:
     """The class key of a set: equal for equal sets; None for the empty set."""
     import xxhash
@@ -184,19 +166,15 @@ class Trie:
 
 
 def linked_pairs(sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Pairs of places that span the components of the sets' links. Sets of one ``known``
-    component count as linked already."""
+    """Pairs of places that span the components of the links of sorted sets. Sets of one
+    ``known`` component count as linked already."""
     if len(sets) < 2:
         return []
-    every = np.concatenate(sets)
-    _, ids, count = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), dtype=np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-    cut = np.cumsum([len(s) for s in sets])[:-1]
-    trie = Trie([np.sort(x) for x in np.split(rank[ids], cut)])
+    distinct, rank = np.unique(np.concatenate(sets), return_inverse=True)
+    trie = Trie(np.split(rank, np.cumsum([len(s) for s in sets])[:-1]))
     _, root = np.unique(np.array(known), return_inverse=True) if known is not None else (None, np.arange(len(sets)))
     root = root[np.array(trie.order)]
-    flags, pairs = np.zeros(len(count), dtype=bool), []
+    flags, pairs = np.zeros(len(distinct), dtype=bool), []
     for probe in range(len(sets)):
         partners = trie.partners(probe, flags)
         other = partners[root[partners] != root[probe]]
@@ -212,73 +190,97 @@ def linked_pairs(sets: list[np.ndarray], known: list[int] | None = None) -> list
 # -- Spark ------------------------------------------------------------------------------
 
 
-def _batch(columns: list[tuple[np.ndarray, pa.DataType]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _raw(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def describe(rows: DataFrame) -> DataFrame:
-    """doc_id, n, cls for each row, and (token, seen) rows of n-grams frequent in a chunk."""
+    """The one pass over all texts. rows: doc_id, digest, text.
+
+    Gives doc_id, digest, n, cls for each row, with the extended prefix at the first row of a
+    class in a task (copies carry none), and (token, seen) rows of n-grams frequent in a chunk.
+    """
+    names = ["doc_id", "digest", "n", "cls", "prefix", "token", "seen"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        names = ["doc_id", "n", "cls", "token", "seen"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        known: set[int] = set()
 
-        def frequent() -> Iterator[pa.RecordBatch]:
+        def frequent() -> pa.RecordBatch:
             token, seen = np.unique(np.concatenate(held), return_counts=True)
             token, seen = token[seen >= IN_CHUNK].view(np.int64), seen[seen >= IN_CHUNK]
-            none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(seen, pa.int64())], names=names)
             held.clear()
+            return _batch(names, kinds, [*[pa.nulls(len(token), k) for k in kinds[:5]], token, seen])
 
+        waiting = 0
         for b in batches:
-            out: list[list] = [[], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = ngram_set(text)
-                for column, value in zip(out, (doc_id, len(s), class_of(s)), strict=True):
-                    column.append(value)
-                held.append(s[: prefix_and_need(len(s))[0]])
+            sizes, classes, prefixes = [], [], []
+            for s in ngram_sets(_raw(b.column(2))):
+                cls, prefix = class_of(s), None
+                if cls is not None and cls not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known.add(cls)
+                    head = s[: prefix_and_need(len(s))[0]]
+                    held.append(head)
+                    waiting += len(head)
+                    prefix = head.tobytes()
+                sizes.append(len(s)), classes.append(cls), prefixes.append(prefix)
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), none, none], names=names)
-            if sum(map(len, held)) >= CHUNK:
-                yield from frequent()
+            yield _batch(names, kinds, [b.column(0), b.column(1), sizes, classes, prefixes, none, none])
+            if waiting >= CHUNK:
+                yield frequent()
+                waiting = 0
         if held:
-            yield from frequent()
+            yield frequent()
 
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, token long, seen long")
+    return rows.mapInArrow(run, "doc_id long, digest long, n long, cls long, prefix binary, token long, seen long")
 
 
-def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, cls, need: extended prefixes without frequent n-grams.
+def prefixes(heads: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """token, cls, need: extended prefixes (n, cls, prefix) without frequent n-grams.
 
     need is what the class still needs besides its frequent ones. Where they suffice, one
     row with need 0 and a token of its own says so.
     """
+    names, kinds = ["token", "cls", "need"], [pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, classes, needs = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = ngram_set(text)
-                if not len(s):
-                    continue
-                length, need = prefix_and_need(len(s))
-                head = s[:length]
-                rare = head[~np.isin(head, frequent)] if len(frequent) else head
-                need -= length - len(rare)
-                cls = class_of(s)
-                if need <= 0:
-                    own = _finish(np.array([cls, doc_id], dtype=np.int64).view(np.uint64))
-                    tokens.append(own[:1] ^ own[1:]), classes.append(np.full(1, cls)), needs.append(np.zeros(1, np.int32))
-                tokens.append(rare), classes.append(np.full(len(rare), cls)), needs.append(np.full(len(rare), max(1, need), np.int32))
-            if tokens:
-                yield _batch([(np.concatenate(tokens).view(np.int64), pa.int64()), (np.concatenate(classes), pa.int64()), (np.concatenate(needs), pa.int32())], ["token", "cls", "need"])
-
-    return rows.mapInArrow(run, "token long, cls long, need int")
+            n, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            each = [np.frombuffer(p, np.uint64) for p in b.column(2).to_pylist()]
+            row = np.repeat(np.arange(len(each)), [len(p) for p in each])
+            token = np.concatenate(each) if each else np.empty(0, np.uint64)
+            hot = _is_in(token, frequent)
+            need = np.array([prefix_and_need(int(x))[1] for x in n], np.int64) - np.bincount(row[hot], minlength=len(n))
+            sure = need <= 0
+            row, token = row[~hot], token[~hot]
+            own = finish(cls[sure].view(np.uint64) ^ np.uint64(len(names)))
+            tokens = np.concatenate([own, token]).view(np.int64)
+            needs = np.concatenate([np.zeros(len(own), np.int64), np.maximum(1, need)[row]])
+            yield _batch(names, kinds, [tokens, np.concatenate([cls[sure], cls[row]]), needs])
+
+    return heads.mapInArrow(run, "token long, cls long, need int")
 
 
 def survivors(heads: DataFrame) -> DataFrame:
-    """cls, keys: classes that share enough of their prefix, and the n-grams they meet by."""
+    """cls, keys: classes that share enough of their prefix, and the n-grams they meet by.
+
+    The windows by n-gram aren't long: those in very many prefixes were set apart, and beyond
+    the MOST_FREQUENT an n-gram has less than 1/MOST_FREQUENT of all prefix rows.
+    """
     sql = F.expr
     seen = heads.selectExpr(
         "token", "cls", "need", "count(*) OVER (PARTITION BY token) AS df", "min(cls) OVER (PARTITION BY token) AS low", "max(cls) OVER (PARTITION BY token) AS high"
@@ -294,35 +296,69 @@ def survivors(heads: DataFrame) -> DataFrame:
 
 def sets_of(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     """cls, n, tokens, hot: the sets of texts (cls, text), and the frequent n-grams to meet by."""
+    names, kinds = ["cls", "n", "tokens", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = ngram_set(text)
-                if class_of(s) != cls:  # another row has the same id
+            for cls, s in zip(b.column(0).to_pylist(), ngram_sets(_raw(b.column(1))), strict=True):
+                if cls in known:
                     continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(cls)
                 length, need = prefix_and_need(len(s))
-                at = np.searchsorted(frequent, s[:length])
-                hot = s[:length][(at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == s[:length])] if len(frequent) else s[:0]
+                hot = s[:length][_is_in(s[:length], frequent)]
                 keep = max(0, len(hot) - need + 1)
                 for column, value in zip(out, (cls, len(s), s.tobytes(), hot[:keep].view(np.int64).tolist()), strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cls", "n", "tokens", "hot"])
+            yield _batch(names, kinds, out)
 
     return texts.mapInArrow(run, "cls long, n long, tokens binary, hot array<long>")
 
 
-def _join_tile(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.drop_duplicates("cls")
-    pairs = linked_pairs([np.frombuffer(t, dtype=np.uint64) for t in part["tokens"]], part["known"].tolist())
-    cls = part["cls"].to_numpy()
-    return pd.DataFrame({"a": [cls[i] for i, _ in pairs], "b": [cls[j] for _, j in pairs]}, dtype="int64")
+def _join_tiles(rows: DataFrame, *keys: str) -> DataFrame:
+    """a, b: links that span the components of each tile. rows: keys, cls, known, tokens.
 
+    Tiles are dealt over tasks whole and follow each other there, so a task holds one at a time.
+    """
 
-def _join_tiles(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).applyInPandas(_join_tile, "a long, b long")
+    def links(tile: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+        cls = list(tile)
+        found = linked_pairs([np.frombuffer(t, np.uint64) for _, t in tile.values()], [k for k, _ in tile.values()])
+        return [(cls[i], cls[j]) for i, j in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile = None, {}
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            columns = [c.to_pylist() for c in b.columns]
+            for *key, cls, known, tokens in zip(*columns, strict=True):
+                if key != now:
+                    found += links(tile)
+                    now, tile = key, {}
+                tile[cls] = known, tokens
+            yield _batch(["a", "b"], [pa.int64()] * 2, [[x for x, _ in found], [y for _, y in found]])
+        found = links(tile)
+        yield _batch(["a", "b"], [pa.int64()] * 2, [[x for x, _ in found], [y for _, y in found]])
+
+    dealt = rows.select(*keys, "cls", "known", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def within_tiles(placed: DataFrame) -> DataFrame:
+    """Links within tiles. placed: cls, grp, tiles, tile, tokens.
+
+    All tiles of a group share PIVOTS of its classes, so what is alike them becomes one
+    component over all tiles at once.
+    """
+    large = placed.where(f"tiles > 1 AND tile < {PIVOTS}")
+    pivots = large.groupBy("grp", "tile").agg(F.min("cls").alias("cls"), F.first("tiles").alias("tiles"))
+    seats = pivots.select("grp", "cls", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    shared = seats.join(placed.select("cls", "tokens"), "cls")
+    every = placed.select("grp", "tile", "cls", "tokens").unionByName(shared.select("grp", "tile", "cls", "tokens"))
+    return _join_tiles(every.withColumn("known", F.col("cls")), "grp", "tile")
 
 
 def across_tiles(placed: DataFrame, links: DataFrame) -> DataFrame:
@@ -332,12 +368,13 @@ def across_tiles(placed: DataFrame, links: DataFrame) -> DataFrame:
     core) needn't be compared with each other.
     """
     found = components(links)
-    large = placed.where("tiles > 1").select("cls", "grp", "tiles", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    large = materialize(large.select("cls", "grp", "tiles", "n", F.coalesce("root", "cls").alias("known")), "join-large")
+    large = placed.where("tiles > 1").select("cls", "grp", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    large = materialize(large.select("cls", "grp", "n", F.coalesce("root", "cls").alias("known")), "join-large")
     by_part = large.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("ns"))
     core = by_part.groupBy("grp").agg(F.max_by("known", F.struct("sets", "known")).alias("core"), F.max_by("ns", F.struct("sets", "known")).alias("core_n"), F.max("sets").alias("core_sets"), F.sum("ns").alias("all_n"), F.sum("sets").alias("all_sets"))
     tiles = lambda n, sets: F.greatest(F.ceil(2 * n / TILE_TOKENS), F.ceil(2 * sets / TILE_SETS), F.lit(1)).cast("int")
-    core = materialize(core.select("grp", "core", tiles(F.col("core_n"), F.col("core_sets")).alias("core_tiles"), tiles(F.col("all_n") - F.col("core_n"), F.col("all_sets") - F.col("core_sets")).alias("rest_tiles")), "join-core")
+    core = core.where("all_sets > core_sets").select("grp", "core", tiles(F.col("core_n"), F.col("core_sets")).alias("core_tiles"), tiles(F.col("all_n") - F.col("core_n"), F.col("all_sets") - F.col("core_sets")).alias("rest_tiles"))
+    core = materialize(core, "join-core")
     side = large.join(core, "grp").withColumn("inner", F.col("known") == F.col("core"))
     side = side.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("inner"), F.col("core_tiles")).otherwise(F.col("rest_tiles"))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -348,43 +385,54 @@ def across_tiles(placed: DataFrame, links: DataFrame) -> DataFrame:
         )
     )
     seated = side.select("cls", "grp", "known", F.explode(seats).alias("s")).join(placed.select("cls", "tokens"), "cls")
-    return _join_tiles(seated.select("cls", "grp", "known", "tokens", "s.x", "s.y", "s.z"), "grp", "x", "y", "z")
+    return _join_tiles(seated.select("grp", "s.x", "s.y", "s.z", "cls", "known", "tokens"), "grp", "x", "y", "z")
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id, n, cls of each row; cls, component_id of each class."""
+    """(rows, classes) of docs (doc_id, digest, text): doc_id, digest, n, cls of each row; cls,
+    root (a class that stands for its component) and component_id (its smallest id) of each class."""
     small_batches(docs.sparkSession)
     described = materialize(describe(docs), "join-docs")
-    rows = described.where("token IS NULL").select("doc_id", "n", "cls")
+    rows = materialize(described.where("token IS NULL").select("doc_id", "digest", "n", "cls"), "join-rows")
     top = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= IN_ALL)
     frequent = np.sort(np.array([r["token"] for r in top.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).collect()], dtype=np.int64).view(np.uint64))
     known = docs.where("doc_id IS NOT NULL")
-    classes = materialize(rows.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "join-classes")
+    classes = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "digest")).alias("m"))
+    classes = materialize(classes.select("cls", "m.doc_id", "m.digest"), "join-classes")
 
-    alive = materialize(survivors(prefixes(known, frequent)), "join-survivors")
-    texts = alive.select("cls").join(classes, "cls").join(known, "doc_id").select("cls", "text")
+    alive = materialize(survivors(prefixes(described.where("prefix IS NOT NULL").select("n", "cls", "prefix"), frequent)), "join-survivors")
+    discard(described)
+    texts = alive.select("cls").join(classes, "cls").join(known, ["doc_id", "digest"]).select("cls", "text")
     sets = materialize(sets_of(texts, frequent), "join-sets")
     rare = alive.select("cls", F.explode("keys").alias("token")).selectExpr("cls AS a", "min(cls) OVER (PARTITION BY token) AS b")
-    hot = materialize(sets.select("cls", F.explode("hot").alias("token")), "join-hot")
+    hot = sets.select("cls", F.explode("hot").alias("token"))
     hubs = hot.groupBy("token").agg(F.min("cls").alias("b"))  # at most MOST_FREQUENT rows
     edges = rare.unionByName(hot.join(F.broadcast(hubs), "token").select(F.col("cls").alias("a"), "b"))
     groups = materialize(components(edges), "join-groups")
 
     member = sets.select("cls", "n", "tokens").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls")
     member = materialize(member.dropDuplicates(["cls"]), "join-members")
+    discard(alive, sets, groups)
     total = member.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / TILE_TOKENS), F.ceil(F.count(F.lit(1)) / TILE_SETS)).cast("int").alias("tiles"))
-    placed = member.join(materialize(total, "join-tiles"), "grp").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    links = materialize(_join_tiles(placed.withColumn("known", F.col("cls")).select("cls", "grp", "tile", "known", "tokens"), "grp", "tile"), "join-links")
-    links = links.unionByName(across_tiles(placed, links))
+    total = materialize(total, "join-tiles")
+    placed = member.join(total, "grp").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    links = materialize(within_tiles(placed), "join-links")
+    if not total.where("tiles > 1").isEmpty():
+        links = links.unionByName(across_tiles(placed, links))
     found = components(links).withColumnRenamed("node", "cls")
     joined = materialize(classes.join(found, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")), "join-roots")
+    discard(member, total)
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows, joined.join(least, "root").select("cls", "component_id")
+    return rows, joined.join(least, "root").select("cls", "root", "component_id")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row."""
-    rows, classes = join_classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows, classes = join_classes(_keyed(docs, id_col, text_col))
     # documents without words are many null keys, which a join would send to one task
     found = rows.where("cls IS NOT NULL").join(materialize(classes, "join-result"), "cls", "left").select("doc_id", "n", "component_id")
     found = found.unionByName(rows.where("cls IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
@@ -393,8 +441,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows with a null id stay."""
-    found = similar_documents(docs, id_col, text_col)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(materialize(heads, "join-heads"), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component: that of the smallest id, and of those of the smallest
+    digest of the text. Rows of the same id and text count as one; rows with a null id stay."""
+    rows, classes = join_classes(_keyed(docs, id_col, text_col))
+    same = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "digest", "cls").agg(F.count(F.lit(1)).alias("copies"))
+    joined = same.where("cls IS NOT NULL").join(materialize(classes, "join-result"), "cls")
+    heads = joined.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("m")).select("m.*")
+    heads = heads.unionByName(same.where("cls IS NULL").select("doc_id", "digest", "copies"))
+    key, digest, copies = (unused(docs, c) for c in ("head_id", "head_digest", "head_copies"))
+    heads = materialize(heads.toDF(key, digest, copies), "join-heads")
+    own = F.xxhash64(F.col(text_col))
+    kept = docs.join(heads, (F.col(id_col).cast("long") == F.col(key)) & (own == F.col(digest)))
+    repeated = kept.where(F.col(copies) > 1).dropDuplicates([key, digest])
+    found = kept.where(F.col(copies) == 1).unionByName(repeated).drop(key, digest, copies)
+    return found.unionByName(docs.where(F.col(id_col).isNull()))

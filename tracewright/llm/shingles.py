@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-PIECE = 1 << 20
+PIECE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard_tables, materialize, shared_dir, shared_path, ship
+from ..session import discard, discard_tables, materialize, shared_dir, shared_path, ship
 
-__all__ = ["SPACE", "discard_tables", "held_out", "let", "materialize", "shared_dir", "shared_path", "small_batches", "words"]
+__all__ = ["SPACE", "discard", "discard_tables", "held_out", "let", "materialize", "shared_dir", "shared_path", "small_batches", "unused", "words"]
 
 #: ASCII white space, which separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, also within lambdas."""
     return F.transform(F.array(value), body)[0]
