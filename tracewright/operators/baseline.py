@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import channel_key
+from ..session import materialize
 
 SECOND = 1_000_000
 
@@ -87,7 +88,7 @@ def most_common_origin(events: DataFrame) -> DataFrame:
 
 def model_tables(events: DataFrame, duration_us: int, window_us: int) -> dict[str, DataFrame]:
     """The baseline model as tables: meta, service_prob, channel_stats and origin_ctl."""
-    train = training_prefix(events, duration_us)
+    train = materialize(training_prefix(events, duration_us), "training-prefix")
     meta = train.agg(F.count(F.lit(1)).alias("trained_rows"), F.min("train_start").alias("train_start"), F.max("train_end").alias("train_end"), F.lit(window_us).alias("window_us"))
     return {
         "meta": meta.crossJoin(F.broadcast(most_common_origin(train))),

@@ -31,6 +31,7 @@ class Options:
     tolerance: int = 2
     strict: bool = False
     sequence: bool = False
+    duplicates: bool = False
     trained: bool = False
     include_training: bool = False
     emit_all: bool = False
@@ -46,13 +47,19 @@ ALERT = (
 def detect(events: DataFrame, model: dict[str, DataFrame], payloads: DataFrame | None = None, options: Options | None = None) -> DataFrame:
     """Alerts, one a row, and one for each select left without its operate.
 
-    events: the columns of the rule modules, and last_appl_error (boolean) if known. payloads:
-    line, refs, identities, flags, entries, report_name, report_seq (of normalize.payload_values).
+    events: the columns of the rule modules, and last_appl_error (boolean) or the text of
+    variables if known. payloads: line, report, refs, identities, flags, entries, report_name,
+    report_seq (of normalize.payload_values); only reports have a number. ``duplicates``
+    adds to ``sequence`` the rule on repeated numbers.
     """
     o = options or Options()
     meta = model["meta"].select("train_end")
     on = F.lit(True) if o.include_training else F.col("us").isNull() | F.col("train_end").isNull() | (F.col("us") > F.col("train_end"))
     rows = events.crossJoin(F.broadcast(meta)).withColumn("detected", on).drop("train_end")
+    if "last_appl_error" not in rows.columns and "variables" in rows.columns:
+        rows = rows.withColumn("last_appl_error", protocol.last_appl_error(F.col("variables")))
+    if payloads is not None and "report" in payloads.columns:
+        payloads = payloads.withColumn("report_seq", F.when(F.col("report"), F.col("report_seq"))).drop("report")
     writes = rows.where("write").withColumn("learned", F.col("detected"))
     learned, trained = writes.where("learned"), model["origin_ctl"] if o.trained else None
     rules = [protocol.pairing(writes, o.pair_us), protocol.invoke_rules(writes), protocol.ctl_rules(writes), protocol.origin_rule(learned)]
@@ -67,7 +74,8 @@ def detect(events: DataFrame, model: dict[str, DataFrame], payloads: DataFrame |
             keyed = at.where("report_seq IS NOT NULL").select("line", "us", F.col("report_seq").alias("seq"), F.explode("entries").alias("e"), "src", "dst", name.alias("name"), scope.alias("scope"))
             origin = F.when(F.coalesce("e.origin", F.lit("")) != "", F.col("e.origin")).otherwise(protocol.UNKNOWN)
             keyed = keyed.select("line", "us", "seq", F.concat_ws("|", "src", "dst", "name", origin, "scope").alias("key")).distinct()
-            rules.append(protocol.report_sequence(keyed, o.reset_us, o.tolerance))
+            numbers = protocol.report_sequence(keyed, o.reset_us, o.tolerance)
+            rules.append(numbers if o.duplicates else numbers.drop("report_seq_duplicate"))
         rules.append(protocol.report_rules(each, writes, o.match_us, o.strict))
     scored = statistical.score(rows, model["service_prob"], model["channel_stats"], o.window_us)
     found = protocol.with_scores(protocol.with_reasons(scored.where("detected"), rules))

@@ -214,18 +214,31 @@ def report_sequence(access: Column) -> dict[str, Column]:
 
 
 def payload_values(events: DataFrame) -> DataFrame:
-    """line and what the control payloads of its row say: refs, identities, flags, entries, report name and number.
+    """line and what the control payloads of its row say: report, refs, identities, flags, entries, report name and number.
 
-    Only rows with a hint, or reports, reach the UDF.
+    Rows in a control context (is_control, or a hint in variables or access_result) have refs,
+    identities, flags and entries; identities also come from control_parameters. Reports
+    outside of one have a name and a number only. A report without a name of its own has that
+    of its variable list. is_control, control_parameters and variable_list_name may be missing.
+    No other rows reach the UDF.
     """
-    wanted = events.where(F.col("report") | has_control_hint(F.col("variables")) | has_control_hint(F.col("access_result")))
-    walked = wanted.select("line", walk_tree(safe_json(F.col("variables"))).alias("v"), walk_tree(safe_json(F.col("access_result"))).alias("a"))
+    given = lambda c, kind: F.col(c).cast(kind) if c in events.columns else F.lit(None).cast(kind)
+    within = F.coalesce(given("is_control", "int") == 1, F.lit(False)) | has_control_hint(F.col("variables")) | has_control_hint(F.col("access_result"))
+    rows = events.withColumn("_within", F.coalesce(within, F.lit(False))).where(F.col("report") | F.col("_within"))
+    tree = lambda c, opening: walk_tree(F.when(F.ltrim(c).startswith(opening), c))
+    walked = rows.select(
+        "line", "report", "_within", given("variable_list_name", "string").alias("listed"), tree(safe_json(F.col("variables")), "[").alias("v"),
+        tree(safe_json(F.col("access_result")), "[").alias("a"), tree(safe_json(given("control_parameters", "string")), "{").alias("p"),
+    )
     a = F.col("a")
-    found = {
+    octets = F.concat(of_type(a, "octet-string", "sval"), of_type(F.col("p"), "octet-string", "sval"))
+    control = {
         "refs": control_refs(F.col("v"), a),
-        "identities": F.array_sort(F.array_distinct(of_type(a, "octet-string", "sval"))),
+        "identities": F.array_sort(F.array_distinct(octets)),
         "flags": F.transform(of_type(a, "boolean", "bval"), lambda x: x.cast("string")),
         "entries": report_entries(a),
-        **report_sequence(a),
     }
-    return walked.select("line", *[c.alias(n) for n, c in found.items()])
+    gated = [F.when(F.col("_within"), c).otherwise(F.slice(c, 1, 0)).alias(n) for n, c in control.items()]
+    said = report_sequence(a)
+    name = F.coalesce(F.nullif(said["report_name"], F.lit("")), F.trim("listed"), F.lit(""))
+    return walked.select("line", "report", *gated, name.alias("report_name"), said["report_seq"].alias("report_seq"))

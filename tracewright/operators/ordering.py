@@ -1,4 +1,4 @@
-"""Running values over one global order, without a single-partition window.
+"""Running values over one global order, or over keys of any size, without a window of a whole key.
 
 Rows are dealt into blocks that follow the order (a block is a function of the ordering
 value). A window runs within each block; the blocks' totals, a small table, are accumulated
@@ -7,14 +7,16 @@ by themselves and joined back.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 
 
-def line_block(line: str = "line", size: int = BLOCK) -> Column:
-    return F.floor(F.col(line) / size)
+def line_block(line: str = "line", size: int | None = None) -> Column:
+    return F.floor(F.col(line) / (size or BLOCK))
 
 
 def last_before(df: DataFrame, value: str, out: str, order: str = "line", block: Column | None = None) -> DataFrame:
@@ -47,3 +49,38 @@ def running_sums(df: DataFrame, sums: dict[str, str], order: Column, block: Colu
 def dense_numbers(df: DataFrame, out: str, order: Column, block: Column) -> DataFrame:
     """Number rows from 1 in a global order; ``order`` has no ties, ``block`` follows it."""
     return running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), {"_one": out}, order, block).drop("_one")
+
+
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running_by_key(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, Column]], order: Sequence[str], inclusive: bool = True, block: Column | None = None) -> DataFrame:
+    """Add running values of each key: name -> (sum, min, max or last, value).
+
+    A window runs within a key's block of lines, so a key with a third of all rows is spread
+    over as many tasks as it has blocks; what its earlier blocks say is joined back. Values
+    are those up to the row, with itself if ``inclusive``. ``last`` is the last that isn't null.
+    """
+    rows = df.withColumn("_block", line_block() if block is None else block).withColumns({f"_v_{n}": v for n, (_, v) in wanted.items()})
+    at = F.struct(*order)
+    of_block = {n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)) if kind == "last" else _MERGE[kind](f"_v_{n}") for n, (kind, _) in wanted.items()}
+    totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb")).agg(*[c.alias(f"_t_{n}") for n, c in of_block.items()])
+    own_keys = [f"_k{i}" for i in range(len(keys))]
+    prior = Window.partitionBy(*own_keys).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = {n: F.last(f"_t_{n}", ignorenulls=True) if kind == "last" else _MERGE[kind](f"_t_{n}") for n, (kind, _) in wanted.items()}
+    carried = totals.select(*own_keys, "_kb", *[c.over(prior).alias(f"_c_{n}") for n, c in carry.items()])
+    same = F.col("_block").eqNullSafe(F.col("_kb"))
+    for k, own in zip(keys, own_keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(own))
+    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    found = rows.join(carried, same, "left")
+    for n, (kind, _) in wanted.items():
+        value, before = F.col(f"_v_{n}"), F.col(f"_c_{n}")
+        if kind == "last":
+            here = F.coalesce(F.last(value, ignorenulls=True).over(within), before)
+        elif kind == "sum":
+            here = F.coalesce(F.sum(value).over(within), F.lit(0)) + F.coalesce(before, F.lit(0))
+        else:
+            here = (F.least if kind == "min" else F.greatest)(_MERGE[kind](value).over(within), before)
+        found = found.withColumn(n, here)
+    return found.select(*df.columns, *wanted)

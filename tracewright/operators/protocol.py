@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import last_before
+from .ordering import last_before, running_by_key
 
 SECOND = 1_000_000
 UNKNOWN = "UNKNOWN"
@@ -23,6 +23,7 @@ UNKNOWN = "UNKNOWN"
 TAGS = ("normal", "failed-control", "likely-attack")
 BASE_SCORE = (0.0, 45.0, 70.0)
 FAILED_FROM, LIKELY_FROM, PENDING_SCORE = 40.0, 70.0, 45.0
+ERROR_TOKEN = "LastApplError"
 
 #: Write rules in the order in which their reasons are given, with their severity.
 WRITE_RULES = {
@@ -94,6 +95,11 @@ def pending_selects(writes: DataFrame) -> DataFrame:
     )
 
 
+def last_appl_error(variables: Column) -> Column:
+    """Whether the variables' text carries the token of an application error."""
+    return F.coalesce(F.contains(variables, F.lit(ERROR_TOKEN)), F.lit(False))
+
+
 # -- counters and identifiers of writes ---------------------------------------------------
 
 
@@ -131,7 +137,7 @@ def allowed_origin(writes: DataFrame) -> DataFrame:
     origin that first reached the highest count so far.
     """
     named = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "")
-    counted = named.select("line", "origin", F.row_number().over(by_line("origin")).alias("k"))
+    counted = running_by_key(named.select("line", "origin"), ["origin"], {"k": ("sum", F.lit(1).cast("bigint"))}, ["line"])
     first = F.row_number().over(Window.partitionBy("k").orderBy("line")) == 1
     marked = counted.withColumn("leader", F.when(first, F.col("origin")))
     return last_before(marked, "leader", "allowed").select("line", "origin", "allowed")
@@ -183,19 +189,11 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
         F.when(F.col("_learned"), F.col("ctl")).alias("wctl"), F.when(F.col("ctl").isNotNull(), F.col("us")).alias("wus"), F.col("_learned").cast("int").alias("names"),
     )
     both = e.unionByName(w)
-    order = lambda *k: Window.partitionBy(*k).orderBy("line", "side", "pos")
-    own = order("origin")
-    pair = order("origin", "ctl")
-    answer = order("src", "dst", "origin", "ctl")
-    channel = order("src", "dst", "origin")
-    seen = (
-        both.withColumn("low", F.min("wctl").over(so_far(own)))
-        .withColumn("high", F.max("wctl").over(so_far(own)))
-        .withColumn("seen", F.max("names").over(so_far(own)))
-        .withColumn("used", F.count("wctl").over(so_far(pair)))
-        .withColumn("report_high", F.max(F.when(F.col("side") == 1, F.col("ctl"))).over(before(channel)))
-        .withColumn("last_write", F.last("wus", ignorenulls=True).over(so_far(answer)))
-    )
+    order, c = ("line", "side", "pos"), F.col
+    seen = running_by_key(both, ["origin"], {"low": ("min", c("wctl")), "high": ("max", c("wctl")), "seen": ("max", c("names"))}, order)
+    seen = running_by_key(seen, ["origin", "ctl"], {"used": ("sum", c("wctl").isNotNull().cast("bigint"))}, order)
+    seen = running_by_key(seen, ["src", "dst", "origin"], {"report_high": ("max", F.when(c("side") == 1, c("ctl")))}, order, inclusive=False)
+    seen = running_by_key(seen, ["src", "dst", "origin", "ctl"], {"last_write": ("last", c("wus"))}, order)
     rows = seen.where("side = 1").crossJoin(F.broadcast(first))
     no = F.lit(False)
     started, unknown, has = F.coalesce(F.col("start") <= F.col("line"), no), F.col("seen") == 0, F.col("ctl").isNotNull()

@@ -5,10 +5,11 @@ Columns: line, us, src, dst, origin, object, kind (of switchgear).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import entity_prefix
+from .ordering import dense_numbers, running_sums
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -22,18 +23,32 @@ def packets(attacks: DataFrame) -> DataFrame:
     )
 
 
-def sessions(rows: DataFrame, gap_us: int, *keys: str, order: tuple[str, ...] = ("us", "line")) -> DataFrame:
-    """Number the runs of rows of a key: a gap longer than gap_us begins a new one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.coalesce((F.col("us") - F.lag("us").over(w) > gap_us).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+BLOCK_US = 24 * 60 * MINUTE
+
+
+def _block() -> Column:
+    """Blocks of time; rows without a time stand before all others."""
+    return F.coalesce(F.floor(F.col("us") / BLOCK_US), F.lit(-(1 << 60)))
+
+
+def sessions(rows: DataFrame, gap_us: int) -> DataFrame:
+    """Number the runs of rows (us, line): a gap longer than gap_us begins a new one.
+
+    Rows are ordered within blocks of time; only the blocks' last times and counts are ordered as a whole.
+    """
+    blocks = rows.withColumn("_at", _block())
+    ends = blocks.groupBy("_at").agg(F.max("us").alias("_end"))
+    carried = ends.select("_at", F.max("_end").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
+    previous = F.coalesce(F.lag("us").over(Window.partitionBy("_at").orderBy("us", "line")), F.col("_prior"))
+    marked = blocks.join(carried, "_at").withColumn("_new", F.coalesce((F.col("us") - previous > gap_us).cast("int"), F.lit(1)))
+    numbered = running_sums(marked.drop("_at", "_prior"), {"_new": "session"}, F.struct("us", "line"), _block())
+    return numbered.withColumn("session", F.col("session").cast("int")).drop("_new")
 
 
 def campaigns(attacks: DataFrame, gap_us: int = 30 * MINUTE) -> DataFrame:
     """Runs of attack packets without a longer pause.
 
-    All packets are one sequence; attacks are the few rows that rules have left over, and
-    only their times and lines go through the one unkeyed window.
+    All packets are one sequence, which is numbered by blocks of time.
     """
     numbered = sessions(attacks.select("line", "us").distinct(), gap_us)
     rows = attacks.join(numbered.select("line", "session"), "line")
@@ -51,9 +66,8 @@ def sequences(attacks: DataFrame, gap_us: int = 30 * MINUTE) -> DataFrame:
 
 
 def packet_summary(attacks: DataFrame) -> DataFrame:
-    rows = packets(attacks)
-    seq = F.row_number().over(Window.orderBy("us", "line"))
-    return rows.select(seq.alias("seq"), "line", "us", "src", "dst", "origin", F.array_join("objects", "; ").alias("objects"), F.array_join("kinds", ", ").alias("kinds"), F.size("objects").alias("n_objects"))
+    rows = dense_numbers(packets(attacks), "seq", F.struct("us", "line"), _block()).withColumn("seq", F.col("seq").cast("int"))
+    return rows.select("seq", "line", "us", "src", "dst", "origin", F.array_join("objects", "; ").alias("objects"), F.array_join("kinds", ", ").alias("kinds"), F.size("objects").alias("n_objects"))
 
 
 def kind_counts(attacks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import dense_numbers
+
 SECOND = 1_000_000
 #: Tags that make a row a seed.
 SEED_TAGS = ("attack", "likely-attack", "failed-control", "masquerade", "malicious", "anomaly")
@@ -41,13 +43,13 @@ def cluster_seeds(placed: DataFrame, gap_us: int) -> DataFrame:
 
 
 def number_scenarios(seeds: DataFrame) -> DataFrame:
-    """One row per cluster, numbered over groups and clusters; the table is as small as there are scenarios."""
+    """One row per cluster, numbered over groups and clusters; only groups are ordered as a whole."""
     spans = seeds.groupBy("grp", "cluster").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.count(F.lit(1)).alias("seeds"), F.min("line").alias("core_start"), F.max("line").alias("core_end"),
     )
-    no = F.row_number().over(Window.orderBy("grp", "cluster"))
-    return spans.withColumn("no", no).withColumn("scenario", F.format_string("scenario_%04d", F.col("no")))
+    numbered = dense_numbers(spans, "no", F.struct("grp", "cluster"), F.struct("grp"))
+    return numbered.withColumn("no", F.col("no").cast("int")).withColumn("scenario", F.format_string("scenario_%04d", F.col("no")))
 
 
 def _within(rows: DataFrame, spans: DataFrame, value: str, low: Column, high: Column, width: int) -> DataFrame:

@@ -258,7 +258,26 @@ def f11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{E} SELECT line, contains(props, '9') AS last_appl_error FROM e")
 def p1_token_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("line", F.col("props").contains("9").alias("last_appl_error"))
+    token = F.replace(F.col("props"), F.lit("9"), F.lit("LastApplError"))
+    return events(spark, sf_dir).select("line", protocol.last_appl_error(token).alias("last_appl_error"))
+
+
+@query(f"""{W}, k AS (SELECT origin, min(line) AS since FROM w WHERE origin <> '' GROUP BY origin),
+i AS (SELECT line, unnest(list_distinct(['h' || (ctl % 8), origin])) AS identity FROM e WHERE ctl % 2 = 0 OR ctl % 4 = 1)
+SELECT i.line, coalesce(max(i.line >= (SELECT min(since) FROM k) AND coalesce(since > i.line, true)), false) AS unexpected_octet_identity_in_control_context
+FROM i LEFT JOIN k ON identity = origin WHERE identity <> '' GROUP BY i.line""")
+def p14_octet_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of nested results and parameters, of rows with a hint or of control by their own word."""
+    from .normalization import raw_events
+
+    ship(spark)
+    k = F.col("user_id") * 0 + F.col("ctl")
+    e = events(spark, sf_dir)
+    named = F.concat(F.lit('[{"type": "structure", "value": [{"type": "octet-string", "value": "h'), (k % 8).cast("string"), F.lit('"}]}]'))
+    said = e.select("line", "user_id", "ctl").select("line", named.alias("access_result"), (k % 4 == 1).cast("int").alias("is_control"), (k % 2 == 0).alias("hint"))
+    raw = raw_events(spark, sf_dir).drop("access_result").join(said, "line").withColumn("variables", F.when(F.col("hint"), F.col("variables")).otherwise("[]"))
+    found = normalize.payload_values(raw).select("line", F.explode("identities").alias("identity"))
+    return protocol.unknown_identities(found, e.where("write"), "unexpected_octet_identity_in_control_context")
 
 
 @query()
@@ -269,7 +288,7 @@ def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     e = events(spark, sf_dir).drop("final_tag")
     model = baseline.model_tables(e, TRAIN, WINDOW)
-    options = detector.Options(WINDOW, 3 * HOUR, 4 * HOUR, 24 * HOUR, QUIET, sequence=True)
+    options = detector.Options(WINDOW, 3 * HOUR, 4 * HOUR, 24 * HOUR, QUIET, sequence=True, duplicates=True)
     found = detector.detect(e, model, normalize.payload_values(raw_events(spark, sf_dir)), options)
     lists = [c for c, k in found.dtypes if k.startswith("array")]
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ";") for c in lists})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import label_codes
-from ..operators import evaluation, rules
+from ..operators import evaluation, rules, scenarios, sequences
 from ..session import table
 from .bind import EVENTS, SCORED, events, scored
 from .registry import query
@@ -31,6 +31,46 @@ def m2_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUND = "round_even({0}, 0)::BIGINT"
 
 
+@query(f"""{S}, g AS (SELECT grp || '|' || (id % 7) AS gid, max(label) AS positive, count(*) AS rows FROM s GROUP BY ALL), n AS (SELECT count(*) AS n, sum(positive)::BIGINT AS p FROM g),
+a AS (SELECT *, least(greatest({ROUND.format("n * 0.25")}, 2), n - 2) AS asked FROM n), b AS (SELECT *, least(greatest({ROUND.format("asked * p / n")}, 1), p - 1) AS want FROM a),
+c AS (SELECT *, least(greatest(asked - want, 1), n - p - 1) AS want_neg FROM b), d AS (SELECT *, asked - want_neg AS want_pos FROM c)
+SELECT 1 AS positive, 'test' AS split, want_pos AS groups FROM d UNION ALL SELECT 1, 'train', p - want_pos FROM d UNION ALL SELECT 0, 'test', want_neg FROM d UNION ALL SELECT 0, 'train', n - p - want_neg FROM d""")
+def m2_split_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each class on each side of the split."""
+    split = m2_group_split(spark, sf_dir).groupBy("gid", "split").agg(F.max("label").alias("positive"))
+    return split.groupBy("positive", "split").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query(f"{S} SELECT name, sum(label)::BIGINT AS positives, count(*) AS rows FROM s, (VALUES ('supervised_is_anomaly'), ('is_anomaly')) n(name) GROUP BY name")
+def q5_label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label column of a table with an asked-for name, and of one with the usual fallback only."""
+    both = scored(spark, sf_dir).select(F.col("label").alias("supervised_is_anomaly"), F.col("label").alias("is_anomaly"))
+    parts = []
+    for df, wanted in ((both, "missing"), (both.drop("supervised_is_anomaly"), "supervised_is_anomaly")):
+        name = sequences.label_column(df, wanted)
+        parts.append(df.agg(F.sum(name).alias("positives"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "positives", "rows"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH e AS ({EVENTS}) SELECT line, service IN ('error', 'signup') AS seed FROM e""")
+def l1_seed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("service") == "error", " Likely-Attack ").when(F.col("service") == "signup", "MASQUERADE").when(F.col("service") == "click", F.lit(None)).otherwise("normal")
+    return events(spark, sf_dir).select("line", scenarios.seed_flag(tag).alias("seed"))
+
+
+@query(f"""{S} SELECT c.flags, c.name, count(*) AS rows FROM s, (VALUES ('plain', 'gap'), ('plain', 'ratio'), ('expert', 'gap'), ('expert', 'ratio'), ('expert', 'stat_score'), ('identity', 'gap'), ('identity', 'ratio'), ('identity', 'service_cat')) c(flags, name) GROUP BY ALL""")
+def m5_feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that may be learned from, without what would leak labels, scores of experts or identities."""
+    n = F.col("id").cast("bigint")
+    rows = scored(spark, sf_dir).select(
+        n.alias("line_number"), n.alias("gap"), F.col("score").alias("ratio"), F.col("score").alias("stat_score"), n.alias("service_cat"), n.alias("scenario_seed_count"),
+        F.col("label").alias("is_anomaly"), F.col("label").alias("own_label"), F.col("grp").alias("source"), n.alias("unwanted"),
+    )
+    options = {"plain": {}, "expert": {"expert": True}, "identity": {"identity": True}}
+    found = [F.struct(F.lit(k).alias("flags"), F.lit(c).alias("name")) for k, o in options.items() for c in evaluation.feature_columns(rows, "own_label", drop=["unwanted"], **o)]
+    return rows.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*found)).alias("c"), "rows").select("c.flags", "c.name", "rows")
+
+
 @query(f"""{S}, p AS (SELECT id, row_number() OVER (ORDER BY us, id) AS k, count(*) OVER () AS n FROM s), c AS (SELECT *, least(greatest({ROUND.format("n * 0.2")}, 1), n - 2) AS t FROM p),
 d AS (SELECT *, least(greatest({ROUND.format("(n - t) * 0.2")}, 1), n - t - 1) AS v FROM c) SELECT id, CASE WHEN k <= n - t - v THEN 'train' WHEN k <= n - t THEN 'val' ELSE 'test' END AS split FROM d""")
 def m3_chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,18 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(found.join(split, "end_line"), "branch-windows")
 
 
+SPLIT = """WITH d AS (SELECT d.doc_id AS id, 1 - quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE text IS NOT NULL),
+p AS (SELECT *, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM d), c AS (SELECT *, least(greatest(round_even(n * 0.2, 0)::BIGINT, 1), n - 2) AS t FROM p)"""
+
+
+@query(f"{SPLIT} SELECT id, label, true AS scored, true AS decided FROM c WHERE k > n - t")
+def m6_m7_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows the refitted forest scores, their labels, and whether score and decision are such."""
+    branch = models.train_branch(_documents(spark, sf_dir), FEATURES)
+    rows = evaluation.predictions(branch.scored, branch.threshold)
+    return rows.select("id", "label", F.col("score").between(0, 1).alias("scored"), (F.col("predicted") == (F.col("score") >= branch.threshold).cast("int")).alias("decided"))
+
+
 @query()
 def m8_sequence_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     branch = models.sequence_branch(_windows(spark, sf_dir), STEPS)

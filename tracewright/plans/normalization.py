@@ -156,8 +156,15 @@ def s7_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{E} SELECT line, service FROM e WHERE line <= (SELECT count(*) // 2 FROM e)")
 def s8_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    half = e.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    return e.crossJoin(F.broadcast(half)).where("line <= half").select("line", "service")
+    return io.first_lines(e, e.count() // 2).select("line", "service")
+
+
+@query(f"{E} SELECT n.name, e.rows FROM (SELECT count(*) AS rows FROM e) e, (VALUES ('line'), ('event_time'), ('service'), ('control_object')) n(name)")
+def n10_dropped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four scalars of the record and its raw bytes, those that are left after the drop, with their rows."""
+    found = normalize.normalize(raw_events(spark, sf_dir), ["service", "control_object", "raw_mms_hex"], drop=["raw_mms_hex"])
+    names = [c for c in ("line", "event_time", "service", "control_object", "raw_mms_hex") if c in found.columns]
+    return found.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"), "rows")
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) AS line, event_id FROM events")
