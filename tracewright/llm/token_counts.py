@@ -12,7 +12,7 @@ whatever stands before or after, and BPE never merges across pieces. Special str
 white space, so they don't cross such a boundary either. As a further check, both encodings
 must have a token beginning at the boundary.
 
-By the same proof ordinary texts are counted piece by piece: a piece's count never depends
+By the same proof texts of one chunk are counted piece by piece: a piece's count never depends
 on its surroundings, so it is asked from the library once and remembered.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); null ids pass through;
@@ -36,7 +36,7 @@ from .util import small_batches
 #: Characters that are white space to no library, and a cut after one of them.
 SAFE = "!-~À-ɏ"
 CUT = re.compile(f"(?<=[{SAFE}])[ \\n\\t]")
-CHUNK, OVERLAP, REMEMBERED = 65536, 256, 400_000
+CHUNK, OVERLAP, REMEMBERED = 8192, 256, 400_000
 
 
 def splice_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -47,29 +47,26 @@ def splice_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHU
     the splice is kept of it.
     """
     done, begin, kept_from = 0, 0, 0  # tokens counted; where the open chunk begins; from where its tokens count
-    while True:
-        end = min(len(text), begin + chunk)
-        here = starts(text[begin:end])
-        if end == len(text):
-            return done + sum(begin + a >= kept_from for a in here)
-        width = overlap
-        while True:
+    end, here = min(len(text), chunk), starts(text[:chunk])
+    while end < len(text):
+        width, at = overlap, None
+        while at is None:
             low = max(kept_from + 1, end - width)
-            following = text[low : min(len(text), low + chunk)]
-            there, mine = set(starts(following[: 2 * width])), {begin + a for a in here}
-            found = [low + m.start() for m in CUT.finditer(following, 1, end - low)]
-            good = [p for p in found if p in mine and p - low in there]
+            there = starts(text[low : low + chunk])
+            mine, theirs = {begin + a for a in here}, {low + a for a in there}
+            good = [p for p in (m.start() for m in CUT.finditer(text, low + 1, end)) if p in mine and p in theirs]
             if good:
                 at = good[len(good) // 2]
-                done += sum(kept_from <= begin + a < at for a in here)
-                begin, kept_from = low, at
-                break
-            if low == kept_from + 1:  # nothing to splice at in the whole chunk: it grows
+            elif low == kept_from + 1:  # nothing to splice at in the whole chunk: it grows
                 end = min(len(text), 2 * end - begin)
                 here = starts(text[begin:end])
                 if end == len(text):
-                    return done + sum(begin + a >= kept_from for a in here)
+                    break
             width *= 2
+        if at is not None:
+            done += sum(kept_from <= begin + a < at for a in here)
+            begin, kept_from, end, here = low, at, min(len(text), low + chunk), there
+    return done + sum(begin + a >= kept_from for a in here)
 
 
 class Pieces(dict):
