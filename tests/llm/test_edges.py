@@ -57,12 +57,12 @@ def test_token_counts(docs, none):
 
 
 def test_line_dedup(spark, none):
-    rows = [(i, "same\nown " + str(i), "h") for i in range(6)] + [(90, "same\nx", None), (91, None, "h"), (92, "same", "small"), (None, "same\nq", "h")]
+    rows = [(i, "same\nown " + str(i), "h") for i in range(6)] + [(90, "same\nx", None), (91, None, "h"), (92, "same", "small"), (93, "same\nonce", "two"), (94, "same\nmore " + "long " * 50_000, "two"), (95, "half", "ten"), *((96 + i, f"x{i}", "ten") for i in range(9)), (95, "third", "ten"), (None, "same\nq", "h")]
     pages = spark.createDataFrame([r + (1, "z") for r in rows], "page_id long, text string, site string, keys long, lines string")
     f = __import__("pyspark.sql.functions", fromlist=["col"])
     got = line_dedup.dedup_lines(pages, f.col("site"), line_dedup.text_lines(f.col("text")))
     by = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()}
-    assert by[0] == (2, 1, "own 0") and by[90] == (2, 0, "same\nx") and by[91] == (0, 0, "") and by[92] == (1, 0, "same") and by[None] == (2, 1, "q")
+    assert by[0] == (2, 1, "own 0") and by[90] == (2, 0, "same\nx") and by[91] == (0, 0, "") and by[92] == (1, 0, "same") and by[93] == (2, 1, "once") and by[94][:2] == (2, 1) and len(by[94][2]) == 250_004 and by[96] == (1, 0, "x0") and by[None] == (2, 1, "q")
     assert line_dedup.dedup_lines(pages.limit(0), f.col("site"), line_dedup.text_lines(f.col("text"))).count() == 0
 
 

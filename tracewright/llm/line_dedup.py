@@ -1,7 +1,8 @@
 """Line removal by site-relative frequency, with DataFrame functions only.
 
 For each host, the pages holding a line are divided by the host's pages; lines above a ratio
-are boilerplate of that site and leave its pages, while the same line stays on other sites.
+are boilerplate of that site and leave its pages, while the same line stays on other sites. A line must stand
+on two pages at least: one page has nothing to be compared with.
 
 Lines are compared by a 128-bit digest, and counted after a partial count in each task, so a
 host with a third of all pages, or a line that all of them hold, costs one row a task. What a
@@ -10,8 +11,7 @@ the pages are fewer than the mean lines a page / ratio. That small list meets th
 one join by host, which Spark may broadcast or split where a host is hot.
 
 Defined results: pages of a null host form no site and keep all lines; a null text has no
-lines; hosts with fewer than ``least_pages`` rows keep all lines (a ratio says nothing
-there); each row counts as a page; an empty table gives an empty result; the result has the
+lines; each row counts as a page; an empty table gives an empty result; the result has the
 columns named below only, so clashing names in the input don't matter.
 """
 
@@ -49,22 +49,22 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(rows: DataFrame, ratio: float, least_pages: int) -> DataFrame:
+def boilerplate(rows: DataFrame, ratio: float) -> DataFrame:
     """host, keys: digests of the lines to drop there. rows: host, lines."""
     known = rows.where(F.col("host").isNotNull())
-    pages = materialize(known.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "line-hosts")
+    pages = materialize(known.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1"), "line-hosts")
     lines = known.select("host", F.explode(F.transform(F.array_distinct("lines"), _key)).alias("key"))
-    counts = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ratio * least_pages)
+    counts = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     frequent = counts.join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
     return materialize(frequent.groupBy("host").agg(F.collect_set("key").alias("keys")), "line-drops")
 
 
 def dedup_lines(
-    pages: DataFrame, host: Column, lines: Column, ratio: float = 0.3, least_pages: int = 5, id_col: str = "page_id"
+    pages: DataFrame, host: Column, lines: Column, ratio: float = 0.3, id_col: str = "page_id"
 ) -> DataFrame:
     """id, host, n_lines, n_dropped and the text that is left."""
     rows = pages.select(F.col(id_col).alias(id_col), host.alias("host"), lines.alias("lines"))
-    drops = boilerplate(rows.select("host", "lines"), ratio, least_pages)
+    drops = boilerplate(rows.select("host", "lines"), ratio)
     left = rows.join(drops, "host", "left").select(
         id_col, "host", F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("keys"), _key(x)))).alias("left"),

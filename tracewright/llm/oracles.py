@@ -45,9 +45,9 @@ WITH a AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9
     '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|article|section|nav|header|footer|title|body|html|head|main|aside|pre|blockquote)\b[^>]*>', chr(10), 'g'),
     '<[^>]*>', '', 'g') AS t FROM pages),
 l AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS lines FROM a),
-h AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
+h AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l WHERE host IS NOT NULL) GROUP BY ALL),
-k AS (SELECT host, list(line) AS drops FROM c JOIN h USING (host) WHERE n > 0.3 * pages GROUP BY host),
+k AS (SELECT host, list(line) AS drops FROM c JOIN h USING (host) WHERE n > 1 AND n > 0.3 * pages GROUP BY host),
 f AS (SELECT page_id, l.host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(drops, x), false)) AS rest FROM l LEFT JOIN k ON l.host = k.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(rest))::BIGINT AS n_dropped, array_to_string(rest, chr(10)) AS text FROM f
 """
