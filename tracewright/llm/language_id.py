@@ -13,7 +13,8 @@ share is taken out of its host's counts, so that it doesn't vouch for itself.
 Defined results: a null or empty page has no text evidence; an address without a host has
 the prior of all pages; missing declarations and suffixes say nothing; null ids pass
 through; repeated rows each give a row; an empty table gives an empty result, and without
-labelled documents every language is null; other columns are ignored. Texts are taken whole.
+labelled documents every language is null; where posteriors tie, the language that comes first
+by name wins; other columns are ignored. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .line_dedup import host_of, visible_lines
 from .util import materialize, small_batches
 
-BUCKETS, SAMPLE_ROWS, MOST_LANGUAGES = 1 << 15, 4000, 64
+BUCKETS, SAMPLE_ROWS = 1 << 15, 4000
 #: Overlapping n-grams aren't independent; their log-likelihood counts for this share.
 TEMPER = 0.2
 #: Pages that a level's counts are worth against the level above it.
@@ -53,17 +54,21 @@ class _Features(dict):
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(bucket | language), from a sample of about ``sample_rows`` rows
-    that a hash of the text picks. The counts are added up by Spark; the driver gets
-    languages x BUCKETS numbers at most."""
+    """Languages, and log P(bucket | language), from a sample of about ``sample_rows`` distinct
+    texts, as many of each language, that a hash of the text picks. The counts are added up by
+    Spark; the driver gets languages x BUCKETS numbers at most, and every labelled language has a model."""
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    langs, total = sorted(r["lang"] for r in sizes), sum(r["n"] for r in sizes)
+    key = F.xxhash64("text", F.lit(1))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(key).alias("n"))  # one row a language
+    counts_of = {r["lang"]: max(1, r["n"]) for r in sizes.collect()}
+    langs = sorted(counts_of)
     if not langs:
         return [], np.zeros((0, BUCKETS))
-    share = min(1.0, sample_rows / total)
-    picked = labelled.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.col("lang").isin(langs))
+    share = {x: min(1.0, sample_rows / len(langs) / n) for x, n in counts_of.items()}
+    bound = F.create_map(*[F.lit(v) for x in langs for v in (x, int(share[x] * 1_000_000) + 1)])
+    picked = labelled.withColumn("key", key).where(F.pmod("key", F.lit(1_000_000)) < F.element_at(bound, F.col("lang")))
+    picked = picked.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")  # copies count once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, memo = np.zeros((len(langs), BUCKETS), np.int64), _Features()
@@ -195,7 +200,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
         size = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(rest, above, lambda r, a: (r + HOST_STRENGTH * a) / (size + HOST_STRENGTH))
 
-    joined = scored.join(hosts, "host", "left").join(domains, "domain", "left").join(F.broadcast(declared), "declared", "left").join(F.broadcast(suffix), "suffix", "left")
+    # pages without a host are many null keys, which a join would send to one task
+    placed = scored.where("host IS NOT NULL").join(hosts, "host", "left").join(domains, "domain", "left")
+    unplaced = scored.where("host IS NULL").select("*", *[F.lit(None).cast("array<double>").alias(f"{x}_mass") for x in ("host", "domain")])
+    joined = placed.unionByName(unplaced).join(F.broadcast(declared), "declared", "left").join(F.broadcast(suffix), "suffix", "left")
     host_prior = smoothed(F.col("host_mass"), smoothed(F.col("domain_mass"), const(prior)))
     zero = const(np.zeros(n))
     post = joined.withColumn("prior", F.transform(host_prior, lambda v: F.log(v))).withColumn("post", _softmax(_plus(F.col("ll"), F.col("prior"), F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero))))
