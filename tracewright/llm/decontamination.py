@@ -5,13 +5,16 @@ inserted, deleted or replaced. Search and proof:
 
 1.  Windows. Of an item's runs of SEED words (fewer for short items) an edit spoils SEED at
     most, so a leaking passage still has a known number of them. Runs are looked up for every
-    place of every text, and give the item-sized windows that can leak an item at all.
+    place of every text, and leave the item-sized windows that can leak any item at all. This
+    loses nothing; which item a window may leak is left to the tables.
 2.  Embedding. Window and item are mapped by the same random walk (at each step a random bit
     for the step and the word under the pointer says whether the pointer moves on), which
     turns edit distance into Hamming distance, within a quadratic factor.
-3.  Bit sampling. Each of several walks is sampled at random steps into short keys; a window
-    is a candidate of an item if any key agrees. The number of tables follows from the
-    wanted recall and the share of steps that may differ.
+3.  Bit sampling. Items are stored in hash tables, by keys of the symbols at random steps of
+    several walks; the keys of an embedded window are looked up there, and the items of its
+    buckets are its candidates. Steps are drawn from the part of a walk that hardly any pointer
+    has left, and keys that hold padding count for nothing. The number of tables follows from
+    the wanted recall and the share of steps that may differ.
 4.  Proof. Candidates are compared by exact edit distance between the item and the best
     passage of the text around the window.
 
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from .util import small_batches
 from .wordhash import folded_hashes
 
-ERRORS, SEED, WALKS, RECALL = 0.2, 3, 4, 0.999
+ERRORS, SEED, WALKS, RECALL, BITS = 0.2, 3, 4, 0.999, 2
 MOST_WORDS = 2_000_000
 
 
@@ -81,33 +84,49 @@ def _coin(step: int, walk: int, words: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(33))) >> np.uint64(17)) & np.uint64(1)
 
 
+def walk_length(n: int) -> int:
+    """Steps that a pointer, which moves on at every other step, spends within n words but for rare cases."""
+    return max(1, int(2 * n - 2 * math.sqrt(2 * n)))
+
+
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """Random-walk embedding of equally long rows of words: 3 steps for each word.
+    """Random-walk embedding of equally long rows of words, a symbol for each step.
 
     A pointer that has left its row gives the padding symbol 0 from then on.
     """
     rows, n = windows.shape
     padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], axis=1)
-    at, each, out = np.zeros(rows, np.int64), np.arange(rows), np.empty((rows, 3 * n), np.uint64)
-    for step in range(3 * n):
+    at, each, out = np.zeros(rows, np.int64), np.arange(rows), np.empty((rows, walk_length(n)), np.uint64)
+    for step in range(out.shape[1]):
         here = padded[each, at]
         out[:, step] = here
         at = np.minimum(n, at + _coin(step, walk, here).astype(np.int64))
     return out
 
 
-def tables(n: int, errors: float, recall: float = RECALL, bits: int = 2) -> list[np.ndarray]:
-    """The sampled steps of each table for items of n words.
+def tables(n: int, errors: float, recall: float = RECALL, bits: int = BITS) -> np.ndarray:
+    """The sampled steps of each table (a row) for items of n words.
 
-    A walk of edit distance k differs in about 2 k steps for each edit as it resynchronises,
-    at most in all; a table of ``bits`` steps agrees with the chance (1 - share)^bits, and
-    enough tables are taken for the recall.
+    Walks of edit distance k differ in about 2 k steps for each edit as they resynchronise, at
+    most in all; a table of ``bits`` steps agrees with the chance (1 - share)^bits, and enough
+    tables are taken for the recall.
     """
-    share = min(0.75, 2.0 * max(1, 2 * allowed(n, errors)) / (3 * n) + 0.1)
-    agree = (1 - share) ** bits
-    count = max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    steps = walk_length(n)
+    share = min(0.75, 2.0 * max(1, 2 * allowed(n, errors)) / (2 * n) + 0.1)
+    bits = min(bits, steps)
+    count = max(4, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits)))
     rng = np.random.default_rng(n * 7919 + bits)
-    return [rng.choice(3 * n, size=min(bits, 3 * n), replace=False) for _ in range(count)]
+    return np.stack([rng.choice(steps, size=bits, replace=False) for _ in range(count)])
+
+
+def table_keys(windows: np.ndarray, steps: np.ndarray, walk: int) -> np.ndarray:
+    """The key of each window in each table of a walk; 0 where it holds padding."""
+    symbols = embed(windows, walk)[:, steps]
+    keys = np.full(symbols.shape[:2], walk + 1, np.uint64) + np.arange(len(steps), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for i in range(steps.shape[1]):
+        keys = (keys ^ symbols[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return np.where((symbols == 0).any(axis=2), np.uint64(0), keys)
 
 
 def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -124,12 +143,13 @@ def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """Items of a block: their runs, embeddings and tables."""
+    """Items of a block: their runs, and the hash tables of their embeddings."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, recall: float = RECALL):
         words = [(i, word_ids(t)) for i, t in items]
         words = [(i, w) for i, w in words if len(w)]
         self.ids, self.words, self.errors = [i for i, _ in words], [w for _, w in words], errors
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         grouped: dict[int, list[tuple[int, int, int]]] = {}
         for place, w in enumerate(self.words):
@@ -141,8 +161,14 @@ class Items:
             self.by_length[k] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
         self.least = np.array([least_runs(w, errors) for w in self.words], np.int64)
         self.sieve = {k: self._sieve(v[0]) for k, v in self.by_length.items()}
-        self.tables = {n: tables(n, errors, recall) for n in {len(w) for w in self.words}}
-        self.embedded = [[embed(w[None, :], walk)[0] for walk in range(WALKS)] for w in self.words]
+        self.steps = {n: tables(n, errors, recall) for n in set(self.sizes.tolist())}
+        self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, steps in self.steps.items():
+            own = np.flatnonzero(self.sizes == n)
+            keys = np.concatenate([table_keys(np.stack([self.words[i] for i in own]), steps, walk) for walk in range(WALKS)], axis=1)
+            place, keys = np.repeat(own, keys.shape[1])[keys.ravel() != 0], keys.ravel()[keys.ravel() != 0]
+            order = np.argsort(keys, kind="stable")
+            self.buckets[n] = keys[order], place[order]
 
     @staticmethod
     def _sieve(hashes: np.ndarray) -> np.ndarray:
@@ -150,10 +176,10 @@ class Items:
         bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
         return bits
 
-    def windows(self, a: np.ndarray) -> set[tuple[int, int]]:
-        """(item, first word of the window) of the windows that can leak an item: those at runs
-        shared with an item of whose runs the text has as many as any leaking passage has."""
-        found: set[tuple[int, int]] = set()
+    def windows(self, a: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length of items the first words of the windows that can leak one of them: those
+        at runs shared with an item of whose runs the text has as many as any leaking passage has."""
+        found: dict[int, list[np.ndarray]] = {}
         for k, (hashes, place, at) in self.by_length.items():
             h = runs(a, k)
             near = np.flatnonzero(self.sieve[k][(h >> np.uint64(44)).astype(np.int64)])
@@ -168,49 +194,71 @@ class Items:
             distinct = np.unique(row)
             enough = np.bincount(place[distinct], minlength=len(self.words)) >= self.least
             keep = enough[place[row]]
-            found.update(zip(place[row[keep]].tolist(), (np.repeat(near, width)[keep] - at[row[keep]]).tolist(), strict=True))
-        return found
+            size, start = self.sizes[place[row[keep]]], np.repeat(near, width)[keep] - at[row[keep]]
+            for n in np.unique(size).tolist():
+                found.setdefault(n, []).append(start[size == n])
+        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+
+    def candidates(self, a: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item the windows that fall into one of its buckets."""
+        found: dict[int, list[np.ndarray]] = {}
+        for n, starts in self.windows(a).items():
+            starts = starts[(starts > -n) & (starts < len(a))]
+            keys, place = self.buckets[n]
+            padded = np.concatenate([np.zeros(n, np.uint64), a, np.zeros(2 * n, np.uint64)])
+            for part in np.split(starts, range(WINDOWS, len(starts), WINDOWS)):
+                rows = padded[(part + n)[:, None] + np.arange(n)[None, :]]
+                own = np.concatenate([table_keys(rows, self.steps[n], walk) for walk in range(WALKS)], axis=1)
+                start, own = np.repeat(part, own.shape[1]), own.ravel()
+                low = np.searchsorted(keys, own, "left")
+                width = np.where(own != 0, np.searchsorted(keys, own, "right") - low, 0)
+                hit = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+                item, at = place[hit], np.repeat(start, width)
+                for i in np.unique(item).tolist():
+                    found.setdefault(i, []).append(at[item == i])
+        return {i: np.unique(np.concatenate(x)) for i, x in found.items()}
 
     def leaks(self, a: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, edit distance, word where the passage ends) of the items a text leaks."""
-        starts: dict[int, list[int]] = {}
-        for place, start in self.windows(a):
-            starts.setdefault(place, []).append(start)
         found = []
-        for place, begin in starts.items():
+        for place, starts in self.candidates(a).items():
             item = self.words[place]
             n, k = len(item), allowed(len(item), self.errors)
-            padded = np.concatenate([np.zeros(n, np.uint64), a, np.zeros(2 * n, np.uint64)])
-            begin = np.array(sorted(s for s in begin if -n < s < len(a)))
-            candidates = self._agree(place, padded[(begin + n)[:, None] + np.arange(n)[None, :]])
             best: tuple[int, int] | None = None
-            seen = -1
-            for s in begin[candidates].tolist():
-                if s < seen:  # the last comparison covered this window
-                    continue
-                low, high = max(0, s - k), min(len(a), s + n + k)
+            for low, high in spans(starts, n, k, len(a)):
                 d, end = passage_distance(item, a[low:high])
-                seen = s + 1
                 if d <= k and (best is None or d < best[0]):
                     best = (d, low + end)
             if best:
                 found.append((self.ids[place], *best))
         return found
 
-    def _agree(self, place: int, windows: np.ndarray) -> np.ndarray:
-        """Which windows share a sampled key of any walk with the item."""
-        agree = np.zeros(len(windows), dtype=bool)
-        steps = self.tables[len(self.words[place])]
-        for walk in range(WALKS):
-            rest = np.flatnonzero(~agree)
-            if not len(rest):
-                break
-            same = embed(windows[rest], walk) == self.embedded[place][walk][None, :]
-            hit = np.zeros(len(rest), dtype=bool)
-            for t in steps:
-                hit |= same[:, t].all(axis=1)
-            agree[rest[hit]] = True
-        return agree
+
+#: Windows that are embedded at once.
+WINDOWS = 4096
+
+
+def spans(starts: np.ndarray, n: int, k: int, words: int) -> list[tuple[int, int]]:
+    """The parts of a text around windows of n words, k more on both sides; parts that overlap are one."""
+    found: list[tuple[int, int]] = []
+    for s in starts.tolist():
+        low, high = max(0, s - k), min(words, s + n + k)
+        if found and low <= found[-1][1]:
+            found[-1] = found[-1][0], high
+        else:
+            found.append((low, high))
+    return found
+
+
+_INDEX: list = [None, None]
+
+
+def index_of(items: list[tuple[int, str]], errors: float, recall: float) -> Items:
+    """The index of a block, kept by the Python worker until another block is asked for."""
+    key = hash((tuple(items), errors, recall))
+    if _INDEX[0] != key:
+        _INDEX[:] = key, Items(items, errors, recall)
+    return _INDEX[1]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -229,7 +277,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) ->
 
 def _search(rows: DataFrame, items: list[tuple[int, str]], errors: float, recall: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, errors, recall)
+        index = index_of(items, errors, recall)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end_word", pa.int64())]))
         for b in batches:
             found = [[{"item_id": i, "edits": d, "end_word": e} for i, d, e in sorted(index.leaks(word_ids(t)))] for t in b.column(b.num_columns - 1).to_pylist()]
