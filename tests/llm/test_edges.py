@@ -112,12 +112,18 @@ def test_warc(spark):
     rows = [(1, "http://a/\n1", big), (2, None, big), (3, "u", None), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (6, "u", big), (None, "u", big), (7, "ü", "文" * 100_000)]
     pages = spark.createDataFrame([r + (9, "q") for r in rows], "page_id long, url string, html string, payload long, refers_to string")
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
-    assert got == {1: (1203, "revisit", 6), 2: (1203, "revisit", 6), 3: (0, "response", None), 4: (5, "response", None), 5: (5, "response", None), 6: (1203, "response", None), 7: (300_000, "response", None)}
+    assert got == {1: (1203, "revisit", 6), 2: (1203, "revisit", 6), 3: (0, "response", None), 4: (5, "response", None), 5: (5, "response", None), 6: (1203, "response", None), 7: (300_000, "response", None), None: (1203, "revisit", 6)}
+    assert warc.round_trip(pages).count() == len(rows)
+    unnamed = warc.round_trip(pages.where("page_id IS NULL").unionAll(pages.where("page_id IS NULL"))).collect()
+    assert [(r["page_id"], r["record_type"], bytes(r["payload"]).decode()) for r in unnamed] == [(None, "response", big)] * 2
     assert warc.round_trip(pages).where("page_id = 3").count() == 2
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_with_several_payloads_of_a_page(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc_with_several_payloads_of_a_page(spark, monkeypatch, most):
+    """Also with references too many to be sent to all tasks."""
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)
     a, b, c = ("<p>" + x * 1200 for x in "abc")
     rows = [(5, a), (5, b), (9, a), (6, a), (6, c), (9, c), (6, "d" * 1200), (6, "d" * 1200)]
     pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")

@@ -5,10 +5,12 @@ that is published for WARC files in Zstandard), followed by one frame for each r
 writes the archives with its text writer: a row is a frame, and the line separator is an
 empty skippable frame, which every Zstandard decoder steps over. So the files reach any file
 system Spark can write, under its commit protocol; a lost executor's files are never seen.
-The reader takes whole archives (a partition of pages each) and decodes frame after frame.
+The reader takes whole archives (a partition of pages each, so as large as an input split, or
+as a partition of the shuffle where there are many revisits) and decodes frame after frame.
 
-Defined results: a null html is an empty payload; a null url is left out of the record, and
-pages of a null page_id are left out, as a record needs an identity; repeated rows give
+Defined results: a null html is an empty payload; a null url is left out of the record; a page
+of a null page_id has a record named by its digest, task and ordinal, which is read back as
+null, and which revisits a page with an id but is never revisited; repeated rows give
 repeated records (equal payloads of one page_id never refer to each other), and different
 payloads of one page_id are records of their own, each a revisit or not; an empty table
 gives an empty result; other columns are ignored. Payloads of any length are whole.
@@ -38,6 +40,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: The dictionary is trained on so many pages at most, each of at most so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16384, 65536
 REVISIT_FROM = 1000
+#: So many references are sent to all tasks; more of them are joined by a shuffle of the pages.
+MOST_BROADCAST = 200_000
 FIELDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -48,16 +52,22 @@ class BadArchive(ValueError):
 # -- one record -------------------------------------------------------------------------
 
 
-def urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def urn(page_id: int | None, spare: str = "") -> str:
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:page:null:{spare}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit carries the digest and length of its payload, not the payload."""
+def page_of(name: str) -> int | None:
+    own = name.removeprefix("<urn:page:").removesuffix(">")
+    return None if own.startswith("null:") else int(own)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, spare: str = "") -> bytes:
+    """One WARC record; a revisit carries the digest and length of its payload, not the payload.
+    ``spare`` names the record where the page has no id."""
     body = payload if refers_to is None else b""
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": urn(page_id),
+        "WARC-Record-ID": urn(page_id, f"{digest}.{spare}"),
         "WARC-Date": DATE,
         "WARC-Target-URI": None if url is None else "".join(url.split()),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -91,8 +101,7 @@ def parse(raw: bytes) -> tuple:
         raise BadArchive(f"{fields['WARC-Record-ID']}: the payload doesn't match its digest or length")
     if kind not in ("response", "revisit") or (kind == "revisit") != (refers is not None):
         raise BadArchive(f"{fields['WARC-Record-ID']}: type {kind} with reference {refers}")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
-    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, full, digest, None if refers is None else number(refers), body
+    return page_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, full, digest, None if refers is None else page_of(refers), body
 
 
 # -- frames -----------------------------------------------------------------------------
@@ -151,7 +160,7 @@ def skippable(magic: int, content: bytes) -> bytes:
 
 def described(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     raw = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    return pages.where(F.col(id_col).isNotNull()).select(
+    return pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("size"), F.sha1(raw).alias("payload_digest")
     )
 
@@ -160,9 +169,9 @@ def references(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """page_id, payload_digest, refers_to of the payloads that revisit another page's: those of at least ``least``
     bytes that the page with the largest id also has. Only payloads had twice are joined."""
     meta = materialize(described(pages).where(F.col("size") >= least).select("page_id", "payload_digest"), "warc-digests")
-    first = meta.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-    twice = first.where(F.col("refers_to") != F.col("least")).select("payload_digest", "refers_to")
-    return meta.join(twice, "payload_digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
+    first = meta.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count_if(F.col("page_id").isNull()).alias("unnamed"))
+    twice = first.where((F.col("refers_to") != F.col("least")) | (F.col("refers_to").isNotNull() & (F.col("unnamed") > 0))).select("payload_digest", "refers_to")
+    return meta.join(twice, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
@@ -187,15 +196,19 @@ def write_archives(pages: DataFrame, path: str, level: int = 3, id_col: str = "p
     spark = pages.sparkSession
     small_batches(spark)
     dictionary = train_dictionary(pages, html_col)
-    refs = references(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")))
-    rows = pages.where(F.col(id_col).isNotNull()).select(
+    refs = materialize(references(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))), "warc-references").toDF("ref_id", "ref_digest", "refers_to")
+    refs = F.broadcast(refs) if refs.count() <= MOST_BROADCAST else refs
+    rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
     )
-    rows = rows.withColumn("payload_digest", F.sha1("payload")).join(refs, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "refers_to")
+    same = F.col("page_id").eqNullSafe(F.col("ref_id")) & (F.sha1("payload") == F.col("ref_digest"))
+    rows = rows.join(refs, same, "left").select("page_id", "url", "payload", "refers_to")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
+        task, nth = TaskContext.get().partitionId(), 0
         own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         encoder = zstandard.ZstdCompressor(level=level, dict_data=own, write_checksum=True, write_content_size=True)
         begun = not dictionary
@@ -203,7 +216,8 @@ def write_archives(pages: DataFrame, path: str, level: int = 3, id_col: str = "p
             out = [] if begun else [skippable(DICTIONARY_MAGIC, dictionary)]
             begun = begun or b.num_rows > 0
             for page_id, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append(encoder.compress(record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers)))
+                out.append(encoder.compress(record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers, f"{task}.{nth}")))
+                nth += 1
             yield pa.RecordBatch.from_arrays([pa.array(out if begun else [], pa.binary())], names=["frame"])
 
     rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
