@@ -1,6 +1,5 @@
 """Operators against brute force, exact round trips and held-out labels."""
 
-import heapq
 import random
 import re
 import unicodedata
@@ -231,19 +230,33 @@ def test_bounded_raking_keeps_the_most():
 # -- op6 ----------------------------------------------------------------------------------
 
 
-def test_schedule_is_lpt():
-    r = random.Random(2)
-    items = [(r.randint(1, 1000), f"k{i}") for i in range(500)]
-    load, heap = Counter(), [(0, s) for s in range(8)]
-    for size, _ in sorted(items, key=lambda x: (-x[0], x[1])):
-        at, s = heapq.heappop(heap)
-        load[s] = at + size
-        heapq.heappush(heap, (at + size, s))
-    got = Counter()
-    sizes = {k: s for s, k in items}
-    for k, s in sharding.schedule(items, 8):
-        got[s] += sizes[k]
-    assert got == load
+def plain_lpt(sizes, shards):
+    """Loads of the shards, each item placed by a search of the least load."""
+    load = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += size
+    return load
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_is_lpt(seed):
+    r = random.Random(seed)
+    sizes = [(size, r.choice([1, 2, 7, 8, 9, 100, 1000])) for size in r.sample(range(1, 400), 40)]
+    placed = sharding.schedule(sizes, 8)
+    assert {size: sum(n) for size, n in placed} == dict(sizes)
+    assert [sum(size * n[s] for size, n in placed) for s in range(8)] == plain_lpt([x for x, n in sizes for _ in range(n)], 8)
+    assert sharding.schedule([], 8) == []
+
+
+def test_shards_of_documents_are_those_of_lpt(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").unionByName(read(spark, "/root/testdata/sf0.01", "documents").where("doc_id % 3 = 0"))
+    groups = Counter()
+    for x in docs.collect():
+        groups[x["text"] or ""] += len((x["text"] or "").encode()) + 16
+    load = Counter()
+    for x in sharding.assign(docs, shards=7).collect():
+        load[x["shard"]] += x["size"]
+    assert [load[s] for s in range(7)] == plain_lpt(groups.values(), 7)
 
 
 def test_shards_are_even_and_whole(spark):

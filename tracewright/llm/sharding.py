@@ -1,18 +1,15 @@
 """Sharding by longest-processing-time scheduling.
 
 Items that must stay together (equal texts) form a group; groups are placed largest first,
-each on the shard that is least loaded so far, which a heap finds. Placing every group one
-by one would pass the whole corpus through one process, so only a bounded number of
-schedulable items exists at any size of the corpus:
+each on the shard that is least loaded so far, which a heap finds. Groups of the same bytes
+are alike to the schedule, so it is made for sizes and their number of groups: the heap deals
+a size's groups to the shards, and where they are more than the shards, the level that they
+fill the shards up to gives the same counts at once. A group's place among those of its size
+then says which shard it is.
 
-* a group larger than 1/(shards * items_per_shard) of all bytes is an item of its own; there
-  can be at most shards * items_per_shard of those,
-* the other groups are dealt by their key into shards * items_per_shard bundles, and a bundle
-  is an item.
-
-A small corpus thus gets nearly plain LPT, and a large one differs from it by less than a
-bundle. Loads, bundles and slots are computed by grouped aggregation; the schedule itself
-(at most 2 * shards * items_per_shard rows) is the only thing the driver sees.
+The driver sees one row for each distinct size of a group. Sizes are distinct numbers that add
+up to the corpus' bytes at most, so there are fewer than the root of twice the bytes, and in
+practice about as many as texts have lengths. All else is grouped aggregation and joins.
 
 Defined results: a null text has no bytes and size 16, and null and empty texts are one
 group; a null id is placed as any other row; repeated rows each get a slot; an empty table
@@ -27,21 +24,50 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_by_key
 from .util import materialize
 
 OVERHEAD = 16
 SLICES = 64
 
 
-def schedule(items: Iterable[tuple], shards: int) -> list[tuple]:
-    """LPT: items (size, *key) largest first, each to the least-loaded shard; ties go by key
-    and by shard number, so that the same items always get the same places."""
+def level(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` items of a size each shard gets, one by one to the least loaded.
+
+    Each shard offers its load, then that plus size, and so on; the least offers are taken.
+    """
+    taken = lambda t: [max(0, -((x - t) // size)) for x in loads]  # offers below t
+    low, high = min(loads), max(loads) + size * (count + 1)
+    while low < high:  # the largest t with no more than count offers below it
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= count else (low, middle - 1)
+    found = taken(low)
+    rest = count - sum(found)
+    for s, x in enumerate(loads):
+        if rest and x <= low and (low - x) % size == 0:
+            found[s] += 1
+            rest -= 1
+    return found
+
+
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """LPT of (size, groups), largest size first: how many of a size's groups each shard gets.
+    Ties of load go by shard number."""
     heap = [(0, s) for s in range(shards)]
     placed = []
-    for item in sorted(items, key=lambda x: (-x[0], *map(str, x[1:]))):
-        load, shard = heapq.heappop(heap)
-        placed.append((*item[1:], shard))
-        heapq.heappush(heap, (load + item[0], shard))
+    for size, count in sorted(sizes, reverse=True):
+        if count > shards:
+            loads = [x for _, x in sorted((s, x) for x, s in heap)]
+            dealt = level(loads, size, count)
+            heap = [(x + size * n, s) for s, (x, n) in enumerate(zip(loads, dealt, strict=True))]
+            heapq.heapify(heap)
+        else:
+            dealt = [0] * shards
+            for _ in range(count):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                dealt[shard] += 1
+        placed.append((size, dealt))
     return placed
 
 
@@ -56,29 +82,26 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def assign(docs: DataFrame, shards: int = 40, items_per_shard: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 within the shard)."""
     spark = docs.sparkSession
-    bundles = shards * items_per_shard
-    rows = materialize(describe(docs, id_col, text_col).withColumn("bundle", F.pmod(F.xxhash64("group_key"), F.lit(bundles)).cast("int")), "shard-rows")
-    groups = rows.groupBy("group_key", "bundle").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    large = (F.col("bytes") * bundles > total).alias("large")
-    groups = materialize(groups.select("group_key", "bundle", "bytes", large), "shard-groups")
-
-    own = groups.where("large").select("bytes", "group_key")  # fewer than shards * items_per_shard, as their bytes add up
-    rest = groups.where("not large").groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
-    items = [(r["bytes"], bytes(r["group_key"]).hex(), -1) for r in own.toLocalIterator()]
-    items += [(r["bytes"], "", r["bundle"]) for r in rest.select("bytes", "bundle").toLocalIterator()]
-    placed = schedule(items, shards)
-    large_at = spark.createDataFrame([(bytes.fromhex(k), s) for k, b, s in placed if b < 0], "group_key binary, own_shard int")
-    bundle_at = spark.createDataFrame([(b, s) for k, b, s in placed if b >= 0], "bundle int, bundle_shard int")
-    found = (
-        rows.join(F.broadcast(large_at), "group_key", "left")
-        .join(F.broadcast(bundle_at), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"))
-    )
-    return with_slots(found)
+    rows = materialize(describe(docs, id_col, text_col), "shard-rows")
+    groups = rows.groupBy("group_key").agg(F.sum("size").alias("bytes"))
+    groups = materialize(groups.withColumn("slice", F.pmod(F.xxhash64("group_key"), F.lit(SLICES)).cast("int")), "shard-groups")
+    sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
+    placed = []
+    for size, dealt in schedule([(r["bytes"], r["n"]) for r in sizes.toLocalIterator()], shards):
+        ends, end = [], 0
+        for n in dealt:
+            end += n
+            ends.append(end)
+        placed.append((size, ends))
+    ends = spark.createDataFrame(placed, "bytes long, ends array<long>")
+    # the place of a group among those of its size; a size may have very many groups
+    nth = running_by_key(groups, ["bytes"], {"nth": ("sum", F.lit(1).cast("long"))}, ["slice", "group_key"], block=F.col("slice"))
+    shard = F.size(F.filter("ends", lambda e: e < F.col("nth")))
+    homes = materialize(nth.join(ends, "bytes").select("group_key", shard.alias("shard")), "shard-homes")
+    return with_slots(rows.join(homes, "group_key").select("doc_id", "size", "text_crc32", "shard"))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
