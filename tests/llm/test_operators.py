@@ -479,3 +479,28 @@ def test_languages_of_held_out_documents(spark):
     pages = held.selectExpr("doc_id AS page_id", "CAST(NULL AS string) AS url", "replace(text, '<', ' ') AS html", "lang AS truth")
     got = language_id.identify(pages, language_id.train(seen)).join(pages.select("page_id", "truth"), "page_id").collect()
     assert len(got) > 300 and sum(r["lang"] == r["truth"] for r in got) / len(got) > 0.9
+
+
+# -- op5: topics ----------------------------------------------------------------------------
+
+
+def test_topics_follow_the_terms(spark):
+    r = random.Random(12)
+    themes = [[f"{t}{i}" for i in range(12)] for t in ("star", "cook", "law", "ship")]
+    rows = [(i, " ".join(r.choices(themes[i % 4], k=40)), i % 4) for i in range(400)] + [(900, None, 9), (901, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, theme int")
+    model = mixing.fit_topics(docs, topics=4)
+    got = mixing.with_topic(docs, model).collect()
+    pairs = {(x["theme"], x["topic"]) for x in got}
+    assert len(pairs) == 5 and len({t for _, t in pairs}) == 5 and (9, mixing.NONE) in pairs
+    again = mixing.with_topic(docs.repartition(3), mixing.fit_topics(docs.repartition(5), topics=4)).collect()
+    assert {x["doc_id"]: x["topic"] for x in again} == {x["doc_id"]: x["topic"] for x in got}
+    named = mixing.prepared(docs.withColumnRenamed("theme", "topic"))
+    assert {x["topic"] for x in named.collect()} == {0, 1, 2, 3, 9}
+
+
+def test_every_source_is_raked_by_itself(spark):
+    rows = [(i, f"s{i % 300}", "en", "t", 10) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long")
+    cells, known = mixing.cell_weights(docs, {"lang": {"en": 1.0}})
+    assert len(cells) == 300 and set(known) == {"lang"} and all(abs(p - 0.8) < 1e-6 for *_, p, _ in cells)
