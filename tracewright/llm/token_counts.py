@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ CHUNK, OVERLAP, REMEMBERED = 8192, 256, 400_000
 def splice_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text, encoded in overlapping chunks.
 
-    starts(t) gives the offset of each token of t. The left chunk counts up to the splice,
+    starts(t) gives the offset of each token of t, in order. The left chunk counts up to the splice,
     the next one begins there: it was encoded from the chunk's start, and only what follows
     the splice is kept of it.
     """
@@ -53,7 +54,8 @@ def splice_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHU
         while at is None:
             low = max(kept_from + 1, end - width)
             there = starts(text[low : low + chunk])
-            mine, theirs = {begin + a for a in here}, {low + a for a in there}
+            mine = {begin + a for a in here[bisect_left(here, low - begin) :]}
+            theirs = {low + a for a in there[: bisect_left(there, end - low)]}
             good = [p for p in (m.start() for m in CUT.finditer(text, low + 1, end)) if p in mine and p in theirs]
             if good:
                 at = good[len(good) // 2]
@@ -64,9 +66,9 @@ def splice_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHU
                     break
             width *= 2
         if at is not None:
-            done += sum(kept_from <= begin + a < at for a in here)
+            done += bisect_left(here, at - begin) - bisect_left(here, kept_from - begin)
             begin, kept_from, end, here = low, at, min(len(text), low + chunk), there
-    return done + sum(begin + a >= kept_from for a in here)
+    return done + len(here) - bisect_left(here, kept_from - begin)
 
 
 class Pieces(dict):
