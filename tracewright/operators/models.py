@@ -25,10 +25,17 @@ def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).withColumn("weight", F.col("_n") / (2.0 * F.greatest(own, F.lit(1)))).drop("_n", "_p")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over at least as many partitions as there are cores. A small table is read as one
+    partition, and a forest passes over its rows once a level: on one core, that is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = SEED) -> PipelineModel:
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
-    return Pipeline(stages=[assemble, forest]).fit(with_weights(train, label))
+    return Pipeline(stages=[assemble, forest]).fit(with_weights(spread(train), label))
 
 
 def fit_combiner(train: DataFrame, features: Sequence[str], label: str = "label") -> PipelineModel:
