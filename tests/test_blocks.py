@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracewright.operators import ordering, protocol, reports
+from tracewright.operators import history, ordering, protocol, reports
 
 
 @pytest.fixture()
@@ -53,3 +53,23 @@ def test_sessions_over_blocks_of_time(hot, monkeypatch):
     for block in (reports.BLOCK_US, 5_000_000):
         monkeypatch.setattr(reports, "BLOCK_US", block)
         assert {r["line"]: r["session"] for r in reports.sessions(hot.select("us", "line"), 900_000).collect()} == want
+
+
+def test_prior_counts_of_hot_keys_are_a_loops(hot, monkeypatch):
+    f = __import__("pyspark.sql.functions", fromlist=["col"])
+    rows = hot.withColumn("us", f.when(f.col("line") % 50 != 0, f.col("us"))).selectExpr("*", "cast(null AS long) AS invoke", "cast(null AS long) AS seq").fillna("", ["origin"])
+    monkeypatch.setattr(ordering, "BLOCK", 16)
+    keyed = history.with_keys(rows)
+    distinct = history.prior_distinct(history.prior_counts(keyed), {"srcs": ("origin", "src", f.col("has_origin") == 1)})
+    counts, met = {}, {}
+    for r in sorted(distinct.collect(), key=lambda r: (r["us"] is None, r["us"], r["line"]) if r["us"] is not None else (True, 0, r["line"])):
+        for key, out in (("src", "src_prior"), ("action", "action_prior"), ("origin", "origin_prior"), ("actor_object_action", "actor_object_action_prior")):
+            assert r[out] == (counts.get((key, r[key]), 0) if r[key] else 0), (key, r)
+            counts[key, r[key]] = counts.get((key, r[key]), 0) + 1
+        assert r["srcs"] == (len(met.setdefault(r["origin"], set())) if r["origin"] else 0)
+        met.setdefault(r["origin"], set()).add(r["src"])
+
+
+def test_prior_counts_of_no_rows(hot):
+    empty = hot.selectExpr("*", "cast(null AS long) AS invoke", "cast(null AS long) AS seq").limit(0)
+    assert history.prior_counts(history.with_keys(empty)).count() == 0

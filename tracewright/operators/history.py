@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import actor, calendar, finite, guarded_ratio, joint_key
+from .ordering import running_totals, time_block
 
 SECOND = 1_000_000
 NONE = -1
@@ -79,38 +80,35 @@ def with_keys(events: DataFrame) -> DataFrame:
     )
 
 
-def _prior(key: str, mask: Column | None) -> Column:
-    n = F.row_number().over(_keyed(key, mask)) - 1
-    return n if mask is None else F.when(mask, n).otherwise(0)
-
-
-def prior_counts(rows: DataFrame) -> DataFrame:
-    """Rows before this one with the same key, for eleven keys."""
-    on = lambda c: F.col(c) == 1
-    filled = lambda c: F.col(c) != ""
-    return (
-        rows.withColumn("actor_prior", _prior("actor", None))
-        .withColumn("source_origin_prior", _prior("source_origin", on("has_origin")))
-        .withColumn("src_prior", _prior("src", None))
-        .withColumn("origin_prior", _prior("origin", on("has_origin")))
-        .withColumn("object_prior", _prior("object", on("has_object")))
-        .withColumn("action_prior", _prior("action", on("has_action")))
-        .withColumn("actor_object_prior", _prior("actor_object", filled("actor_object")))
-        .withColumn("actor_action_prior", _prior("actor_action", filled("actor_action")))
-        .withColumn("object_action_prior", _prior("object_action", filled("object_action")))
-        .withColumn("origin_object_prior", _prior("origin_object", filled("origin_object")))
-        .withColumn("actor_object_action_prior", _prior("actor_object_action", filled("actor_object_action")))
-    )
-
+def prior_counts(rows: DataFrame, block: Column | None = None) -> DataFrame:
+    """Rows before this one with the same key, for eleven keys; a blank key has none.
 
-def prior_distinct(rows: DataFrame, key: str, other: str, mask: Column, out: str) -> DataFrame:
-    """Distinct values of ``other`` among the key's earlier rows: first sightings are flagged, then summed."""
-    alone = F.when(mask, F.lit(None).cast("bigint")).otherwise(F.col("line"))
-    pair = Window.partitionBy(F.when(mask, F.col(key)), F.when(mask, F.col(other)), alone).orderBy(*_order())
-    first = (F.row_number().over(pair) == 1).cast("int")
-    so_far = _keyed(key, mask).rowsBetween(Window.unboundedPreceding, 0)
-    flagged = rows.withColumn("_first", first)
-    return flagged.withColumn(out, F.when(mask, F.sum("_first").over(so_far) - F.col("_first")).otherwise(0)).drop("_first")
+    All keys share one shuffle by spans of time, so hot keys (there are few actions) are
+    spread as widely as others.
+    """
+    always, on = (lambda c: F.col(c)), (lambda c, flag: F.when(F.col(flag) == 1, F.col(c)))
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    keys = {
+        "actor_prior": always("actor"), "source_origin_prior": on("source_origin", "has_origin"), "src_prior": always("src"),
+        "origin_prior": on("origin", "has_origin"), "object_prior": on("object", "has_object"), "action_prior": on("action", "has_action"),
+        "actor_object_prior": filled("actor_object"), "actor_action_prior": filled("actor_action"), "object_action_prior": filled("object_action"),
+        "origin_object_prior": filled("origin_object"), "actor_object_action_prior": filled("actor_object_action"),
+    }
+    found = running_totals(rows, {n: (k, F.lit(1)) for n, k in keys.items()}, _order(), time_block(rows) if block is None else block)
+    return found.withColumns({n: F.coalesce(F.col(n) - 1, F.lit(0)) for n in keys})
+
+
+def prior_distinct(rows: DataFrame, wanted: dict[str, tuple[str, str, Column]], block: Column | None = None) -> DataFrame:
+    """name -> (key, other, mask): distinct values of ``other`` among the key's earlier rows.
+
+    First sightings of pairs are flagged, then summed by key; a null is a value like "".
+    """
+    block = time_block(rows) if block is None else block
+    keys = {n: F.when(mask, F.coalesce(F.col(key), F.lit(""))) for n, (key, _, mask) in wanted.items()}
+    pairs = {f"_seen_{n}": (F.concat(F.length(k).cast("string"), F.lit(":"), k, F.coalesce(F.col(wanted[n][1]), F.lit(""))), F.lit(1)) for n, k in keys.items()}
+    first = lambda n: F.coalesce((F.col(f"_seen_{n}") == 1).cast("int"), F.lit(0))
+    found = running_totals(running_totals(rows, pairs, _order(), block), {n: (k, first(n)) for n, k in keys.items()}, _order(), block)
+    return found.withColumns({n: F.coalesce(F.col(n) - first(n), F.lit(0)) for n in wanted}).drop(*pairs)
 
 
 def novelty(rows: DataFrame) -> DataFrame:
@@ -221,9 +219,9 @@ def target(rows: DataFrame, label: str | None = None, fall_back: bool = True) ->
 def features(events: DataFrame) -> DataFrame:
     """All history features. Windows with one key follow each other, so they share a shuffle."""
     rows = calendar(with_keys(events))
-    rows = prior_counts(rows)
-    rows = prior_distinct(rows, "object", "actor", F.col("has_object") == 1, "object_actors_prior")
-    rows = prior_distinct(rows, "origin", "src", F.col("has_origin") == 1, "origin_srcs_prior")
+    block = time_block(events)
+    rows = prior_counts(rows, block)
+    rows = prior_distinct(rows, {"object_actors_prior": ("object", "actor", F.col("has_object") == 1), "origin_srcs_prior": ("origin", "src", F.col("has_origin") == 1)}, block)
     return ratios(time_z(counters(transitions(novelty(rows)))))
 
 

@@ -84,3 +84,34 @@ def running_by_key(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[s
             here = (F.least if kind == "min" else F.greatest)(_MERGE[kind](value).over(within), before)
         found = found.withColumn(n, here)
     return found.select(*df.columns, *wanted)
+
+
+def time_block(df: DataFrame, us: str = "us", line: str = "line", size: int | None = None) -> Column:
+    """A block that follows (us with nulls last, line): spans of time that hold ``size`` rows on
+    the average. Least and greatest time and their count are asked of df at once (one row)."""
+    size = size or BLOCK
+    low, high, n = df.agg(F.min(us), F.max(us), F.count(us)).first()
+    width = max(1, ((high or 0) - (low or 0)) * size // max(n, 1))
+    return F.coalesce(F.floor((F.col(us) - F.lit(low or 0)) / F.lit(width)), F.lit(1 << 62) + line_block(line, size))
+
+
+def running_totals(df: DataFrame, wanted: dict[str, tuple[Column, Column]], order: Sequence[Column], block: Column) -> DataFrame:
+    """Add running sums, with each row's own value, over many keys at once: name -> (key, value).
+
+    block follows the order. Rows are shuffled once for all keys, by block: a key's sum over
+    earlier blocks comes in as one more row before its first row of the block. What is grouped
+    by key is only the blocks' totals, so no key is a task of its own. A null key gives null.
+    """
+    names = list(wanted)
+    rows = df.withColumns({"_block": block} | {f"_k{i}": wanted[n][0].cast("string") for i, n in enumerate(names)} | {f"_w{i}": wanted[n][1].cast("bigint") for i, n in enumerate(names)})
+    entries = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"_k{i}").alias("key"), F.col(f"_w{i}").alias("w")) for i in range(len(names))])
+    totals = rows.select("_block", F.explode(entries).alias("e")).where("e.key IS NOT NULL").groupBy("e.kind", "e.key", "_block").agg(F.sum("e.w").alias("_t"))
+    prior = Window.partitionBy("kind", "key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_t", F.sum("_t").over(prior)).where("_t <> 0")
+    of = lambda i, c: F.when(F.col("kind") == i, F.col(c))
+    ahead = carried.select("_block", F.lit(0).alias("_own"), *[of(i, "key").alias(f"_k{i}") for i in range(len(names))], *[of(i, "_t").alias(f"_w{i}") for i in range(len(names))])
+    found = rows.withColumn("_own", F.lit(1)).unionByName(ahead, allowMissingColumns=True).repartition("_block")
+    for i, n in enumerate(names):
+        within = Window.partitionBy("_block", f"_k{i}").orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn(n, F.when(F.col(f"_k{i}").isNotNull(), F.sum(f"_w{i}").over(within)))
+    return found.where("_own = 1").select(*df.columns, *names)

@@ -82,8 +82,8 @@ FIRST = """f AS (SELECT *, (row_number() OVER (PARTITION BY object, actor ORDER
 @query(f"""{K}, {FIRST} SELECT line, (CASE WHEN object <> '' THEN sum(fa) OVER (PARTITION BY object ORDER BY us, line) - fa ELSE 0 END)::INTEGER AS object_actors_prior,
   (CASE WHEN origin <> '' THEN sum(fs) OVER (PARTITION BY origin ORDER BY us, line) - fs ELSE 0 END)::INTEGER AS origin_srcs_prior FROM f""")
 def h10_prior_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.prior_distinct(_keys(spark, sf_dir), "object", "actor", F.col("has_object") == 1, "object_actors_prior")
-    return _ints(history.prior_distinct(rows, "origin", "src", F.col("has_origin") == 1, "origin_srcs_prior"), "object_actors_prior", "origin_srcs_prior")
+    wanted = {"object_actors_prior": ("object", "actor", F.col("has_object") == 1), "origin_srcs_prior": ("origin", "src", F.col("has_origin") == 1)}
+    return _ints(history.prior_distinct(_keys(spark, sf_dir), wanted), *wanted)
 
 
 @query(f"""{K}, c AS (SELECT *, {COUNTS} FROM y), n AS (SELECT *, (origin_prior > 0 AND source_origin_prior = 0)::INT AS origin_new_src FROM c)
