@@ -73,3 +73,25 @@ def test_prior_counts_of_hot_keys_are_a_loops(hot, monkeypatch):
 def test_prior_counts_of_no_rows(hot):
     empty = hot.selectExpr("*", "cast(null AS long) AS invoke", "cast(null AS long) AS seq").limit(0)
     assert history.prior_counts(history.with_keys(empty)).count() == 0
+
+
+def test_rules_and_history_of_hot_keys_do_not_hang_on_blocks(hot, monkeypatch):
+    rows = hot.selectExpr("*", "line % 9 AS invoke", "if(line % 4 = 0, null, line % 5) AS seq", "src AS stream", "action AS service", "ctl * 1.5 AS size").fillna("", ["origin"])
+
+    def found():
+        keyed = history.prior_counts(history.with_keys(rows))
+        return rows_of(protocol.write_rules(rows)), rows_of(protocol.pairing(rows)), rows_of(history.counters(history.transitions(keyed)))
+
+    whole = found()
+    monkeypatch.setattr(ordering, "BLOCK", 16)
+    assert found() == whole
+
+
+def test_one_long_burst_is_read_as_a_stream(hot, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 16)
+    alerts = hot.selectExpr("line", "us", "'same' AS fingerprint")
+    sent, want = None, {}
+    for line, us in sorted((r["line"], r["us"]) for r in alerts.collect()):
+        want[line] = sent is not None and us - sent < 30_000_000
+        sent = sent if want[line] else us
+    assert {r["line"]: r["suppressed"] for r in protocol.suppress(alerts).collect()} == want

@@ -3,8 +3,8 @@
 Event columns: line, us, stream, src, dst, service, action, object, origin (text, "" for
 none), ctl, invoke, seq (bigint), size, final_tag, is_control. Order is time, then line.
 
-A feature over a key that is blank is 0 there: such rows are left out of the key's window by
-giving each its own partition, so that a blank key is never one huge group.
+A feature over a key that is blank is 0 there: such rows are left out of the key's running values.
+Keys of any size are spread over blocks of time.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import actor, calendar, finite, guarded_ratio, joint_key
-from .ordering import running_totals, time_block
+from .ordering import exact_key, running_totals, running_values, time_block
 
 SECOND = 1_000_000
 NONE = -1
@@ -26,12 +26,8 @@ def _order():
     return (F.col("us").asc_nulls_last(), F.col("line"))
 
 
-def _keyed(key: str, mask: Column | None = None):
-    """A window over a key; rows outside the mask stand alone."""
-    if mask is None:
-        return Window.partitionBy(key).orderBy(*_order())
-    alone = F.when(mask, F.lit(None).cast("bigint")).otherwise(F.col("line"))
-    return Window.partitionBy(F.when(mask, F.col(key)), alone).orderBy(*_order())
+def _at() -> Column:
+    return F.struct(F.coalesce(F.col("us"), F.lit((1 << 63) - 1)), F.col("line"))
 
 
 def dedup_alerts(alerts: DataFrame) -> DataFrame:
@@ -94,7 +90,7 @@ def prior_counts(rows: DataFrame, block: Column | None = None) -> DataFrame:
         "actor_object_prior": filled("actor_object"), "actor_action_prior": filled("actor_action"), "object_action_prior": filled("object_action"),
         "origin_object_prior": filled("origin_object"), "actor_object_action_prior": filled("actor_object_action"),
     }
-    found = running_totals(rows, {n: (k, F.lit(1)) for n, k in keys.items()}, _order(), time_block(rows) if block is None else block)
+    found = running_totals(rows, {n: (k, F.lit(1)) for n, k in keys.items()}, _order(), _at(), time_block(rows) if block is None else block)
     return found.withColumns({n: F.coalesce(F.col(n) - 1, F.lit(0)) for n in keys})
 
 
@@ -107,7 +103,7 @@ def prior_distinct(rows: DataFrame, wanted: dict[str, tuple[str, str, Column]],
     keys = {n: F.when(mask, F.coalesce(F.col(key), F.lit(""))) for n, (key, _, mask) in wanted.items()}
     pairs = {f"_seen_{n}": (F.concat(F.length(k).cast("string"), F.lit(":"), k, F.coalesce(F.col(wanted[n][1]), F.lit(""))), F.lit(1)) for n, k in keys.items()}
     first = lambda n: F.coalesce((F.col(f"_seen_{n}") == 1).cast("int"), F.lit(0))
-    found = running_totals(running_totals(rows, pairs, _order(), block), {n: (k, first(n)) for n, k in keys.items()}, _order(), block)
+    found = running_totals(running_totals(rows, pairs, _order(), _at(), block), {n: (k, first(n)) for n, k in keys.items()}, _order(), _at(), block)
     return found.withColumns({n: F.coalesce(F.col(n) - first(n), F.lit(0)) for n in wanted}).drop(*pairs)
 
 
@@ -126,28 +122,33 @@ def novelty(rows: DataFrame) -> DataFrame:
     )
 
 
-def _elapsed(key: str, mask: Column | None = None) -> Column:
-    gap = (F.col("us") - F.lag("us").over(_keyed(key, mask))) / SECOND
-    return F.coalesce(gap if mask is None else F.when(mask, gap), F.lit(0.0))
-
-
-def transitions(rows: DataFrame) -> DataFrame:
+def transitions(rows: DataFrame, block: Column | None = None) -> DataFrame:
     """Index, previous values and times since the previous row, per stream and per object."""
-    stream, on_object = _keyed("stream"), F.col("has_object") == 1
-    objects = _keyed("object", on_object)
-    was = lambda c, w: F.coalesce(F.lag(c).over(w), F.lit(START))
+    c, on_object = F.col, F.col("has_object") == 1
+    keys = {
+        "stream": exact_key(c("stream")), "object": F.when(on_object, c("object")),
+        "actor_object": F.when(c("actor_object") != "", c("actor_object")), "origin": F.when(c("has_origin") == 1, c("source_origin")),
+    }
+    last = lambda key, *of: (key, "last", F.struct(*of), False)
+    wanted = {
+        "_rows": ("stream", "sum", F.lit(1).cast("bigint"), True), "_stream": last("stream", "service", "us"), "_object": last("object", "action", "actor", "us"),
+        "_pair": last("actor_object", "us"), "_origin": last("origin", "us"),
+    }
+    rows = running_values(rows, keys, wanted, _order(), _at(), time_block(rows) if block is None else block)
+    was = lambda of, field: F.coalesce(c(of)[field], F.lit(START))
+    elapsed = lambda of: F.coalesce((c("us") - c(of)["us"]) / SECOND, F.lit(0.0))
     rows = rows.withColumns(
         {
-            "stream_index": F.row_number().over(stream) - 1,
-            "prev_service": was("service", stream),
-            "since_stream": _elapsed("stream"),
-            "prev_action_object": F.when(on_object, was("action", objects)).otherwise(""),
-            "prev_actor_object": F.when(on_object, was("actor", objects)).otherwise(""),
-            "since_actor_object": _elapsed("actor_object", F.col("actor_object") != ""),
-            "since_object": _elapsed("object", on_object),
-            "since_origin_source": _elapsed("source_origin", F.col("has_origin") == 1),
+            "stream_index": c("_rows") - 1,
+            "prev_service": was("_stream", "service"),
+            "since_stream": elapsed("_stream"),
+            "prev_action_object": F.when(on_object, was("_object", "action")).otherwise(""),
+            "prev_actor_object": F.when(on_object, was("_object", "actor")).otherwise(""),
+            "since_actor_object": elapsed("_pair"),
+            "since_object": elapsed("_object"),
+            "since_origin_source": elapsed("_origin"),
         }
-    )
+    ).drop(*wanted)
     changed = on_object & (F.col("object_prior") > 0) & ~F.col("prev_actor_object").isin("", START) & (F.col("prev_actor_object") != F.col("actor"))
     return rows.withColumns(
         {
@@ -158,37 +159,38 @@ def transitions(rows: DataFrame) -> DataFrame:
     )
 
 
-def _reused(mask: Column, *keys: str) -> Column:
-    alone = F.when(mask, F.lit(None).cast("bigint")).otherwise(F.col("line"))
-    w = Window.partitionBy(*[F.when(mask, F.col(k)) for k in keys], alone).orderBy(*_order())
-    return (mask & (F.row_number().over(w) > 1)).cast("int")
-
-
-def counters(rows: DataFrame) -> DataFrame:
+def counters(rows: DataFrame, block: Column | None = None) -> DataFrame:
     """Reuse, change and fall of invoke ids, report sequences, counters and payload sizes.
 
     Missing numbers are -1 and take part in changes along a stream.
     """
-    c, stream = F.col, _keyed("stream")
+    c = F.col
+    block = time_block(rows) if block is None else block
     rows = rows.withColumns({"invoke_value": F.coalesce(F.when(F.abs("invoke") <= 1_000_000_000, c("invoke")), F.lit(NONE)), "ctl_value": F.coalesce("ctl", F.lit(NONE)), "seq_value": F.coalesce("seq", F.lit(NONE))})
     pair = (c("actor_object") != "") & (c("has_ctl") == 1)
-    was_ctl = F.when(pair, F.lag("ctl_value").over(_keyed("actor_object", pair)))
-    was_seq = F.lag("seq_value").over(stream)
-    change = lambda col: F.coalesce(c(col) - F.lag(col).over(stream), F.lit(0))
+    keys = {
+        "stream": exact_key(c("stream")), "pair": F.when(pair, c("actor_object")), "invoke": F.when(c("has_invoke") == 1, exact_key(c("stream"), c("invoke"))),
+        "seq": F.when(c("has_seq") == 1, exact_key(c("stream"), c("seq_value"))), "ctl": F.when(pair, exact_key(c("actor_object"), c("ctl_value"))),
+    }
+    uses = {f"_{k}_uses": (k, "sum", F.lit(1).cast("bigint"), True) for k in ("invoke", "seq", "ctl")}
+    was = {"_was": ("stream", "last", F.struct("invoke_value", "ctl_value", "seq_value", "size"), False), "_was_ctl": ("pair", "last", c("ctl_value"), False)}
+    rows = running_values(rows, keys, uses | was, _order(), _at(), block)
+    change = lambda col: F.coalesce(c(col) - c("_was")[col], F.lit(0))
+    flag = lambda on: F.coalesce(on, F.lit(False)).cast("int")
     return rows.withColumns(
         {
-            "invoke_reused": _reused(c("has_invoke") == 1, "stream", "invoke"),
+            "invoke_reused": flag(c("_invoke_uses") > 1),
             "invoke_delta": change("invoke_value"),
             "ctl_delta": change("ctl_value"),
             "seq_delta": change("seq_value"),
-            "seq_reused": _reused(c("has_seq") == 1, "stream", "seq_value"),
-            "seq_regression": ((c("has_seq") == 1) & F.coalesce(c("seq_value") < was_seq, F.lit(False))).cast("int"),
-            "ctl_delta_actor_object": F.coalesce(c("ctl_value") - was_ctl, F.lit(0)),
-            "ctl_reused": _reused(pair, "actor_object", "ctl_value"),
-            "ctl_regression": (pair & F.coalesce(c("ctl_value") < was_ctl, F.lit(False))).cast("int"),
+            "seq_reused": flag(c("_seq_uses") > 1),
+            "seq_regression": flag((c("has_seq") == 1) & (c("seq_value") < c("_was")["seq_value"])),
+            "ctl_delta_actor_object": F.coalesce(c("ctl_value") - c("_was_ctl"), F.lit(0)),
+            "ctl_reused": flag(c("_ctl_uses") > 1),
+            "ctl_regression": flag(c("ctl_value") < c("_was_ctl")),
             "size_delta": change("size"),
         }
-    )
+    ).drop(*uses, *was)
 
 
 def time_z(rows: DataFrame) -> DataFrame:
@@ -217,12 +219,12 @@ def target(rows: DataFrame, label: str | None = None, fall_back: bool = True) ->
 
 
 def features(events: DataFrame) -> DataFrame:
-    """All history features. Windows with one key follow each other, so they share a shuffle."""
+    """All history features. Those over keys share a shuffle by spans of time, one for each kind."""
     rows = calendar(with_keys(events))
     block = time_block(events)
     rows = prior_counts(rows, block)
     rows = prior_distinct(rows, {"object_actors_prior": ("object", "actor", F.col("has_object") == 1), "origin_srcs_prior": ("origin", "src", F.col("has_origin") == 1)}, block)
-    return ratios(time_z(counters(transitions(novelty(rows)))))
+    return ratios(time_z(counters(transitions(novelty(rows), block), block)))
 
 
 def select_features(rows: DataFrame, keep: Sequence[str], numeric: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def line_block(line: str = "line", size: int | None = None) -> Column:
@@ -95,23 +95,45 @@ def time_block(df: DataFrame, us: str = "us", line: str = "line", size: int | No
     return F.coalesce(F.floor((F.col(us) - F.lit(low or 0)) / F.lit(width)), F.lit(1 << 62) + line_block(line, size))
 
 
-def running_totals(df: DataFrame, wanted: dict[str, tuple[Column, Column]], order: Sequence[Column], block: Column) -> DataFrame:
-    """Add running sums, with each row's own value, over many keys at once: name -> (key, value).
+def exact_key(*parts: Column) -> Column:
+    """One text for several columns, different wherever any of them is (a null is a value)."""
+    texts = [p.cast("string") for p in parts]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
-    block follows the order. Rows are shuffled once for all keys, by block: a key's sum over
-    earlier blocks comes in as one more row before its first row of the block. What is grouped
-    by key is only the blocks' totals, so no key is a task of its own. A null key gives null.
+
+def running_values(df: DataFrame, keys: dict[str, Column], wanted: dict[str, tuple[str, str, Column, bool]], order: Sequence[Column], at: Column, block: Column) -> DataFrame:
+    """Add running values over many keys at once: name -> (name of a key, sum, min, max or last,
+    value, whether a row's own value is in).
+
+    block follows the order, and at is a value that sorts like it. Rows are shuffled once for
+    all keys, by block: what a key's earlier blocks say comes in as one more row before the
+    block's own. What is grouped by key is only the blocks' totals, so no key is a task of its
+    own. ``last`` is the last value that isn't null; a null key gives null. Hashes of the keys
+    stand before them, so that sorts compare numbers.
     """
-    names = list(wanted)
-    rows = df.withColumns({"_block": block} | {f"_k{i}": wanted[n][0].cast("string") for i, n in enumerate(names)} | {f"_w{i}": wanted[n][1].cast("bigint") for i, n in enumerate(names)})
-    entries = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"_k{i}").alias("key"), F.col(f"_w{i}").alias("w")) for i in range(len(names))])
-    totals = rows.select("_block", F.explode(entries).alias("e")).where("e.key IS NOT NULL").groupBy("e.kind", "e.key", "_block").agg(F.sum("e.w").alias("_t"))
-    prior = Window.partitionBy("kind", "key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("_t", F.sum("_t").over(prior)).where("_t <> 0")
-    of = lambda i, c: F.when(F.col("kind") == i, F.col(c))
-    ahead = carried.select("_block", F.lit(0).alias("_own"), *[of(i, "key").alias(f"_k{i}") for i in range(len(names))], *[of(i, "_t").alias(f"_w{i}") for i in range(len(names))])
+    place = {k: i for i, k in enumerate(keys)}
+    rows = df.withColumns({"_block": block} | {f"_k{i}": keys[k].cast("string") for k, i in place.items()} | {f"_v{j}": w[2] for j, w in enumerate(wanted.values())})
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"_k{i}").alias("key")) for i in place.values()]))
+    spread = rows.select("_block", at.alias("_at"), *[f"_v{j}" for j in range(len(wanted))], each.alias("e")).where("e.key IS NOT NULL")
+    total, carry, frame = [], [], Window.unboundedPreceding
+    prior = Window.partitionBy("hash", "key", "kind").orderBy("_block").rowsBetween(frame, -1)
+    for j, (key, kind, _, _) in enumerate(wanted.values()):
+        own = F.when(F.col("e.kind") == place[key], F.col(f"_v{j}"))
+        total.append((F.max_by(own, F.when(own.isNotNull(), F.col("_at"))) if kind == "last" else _MERGE[kind](own)).alias(f"_v{j}"))
+        carry.append((F.last(f"_v{j}", ignorenulls=True) if kind == "last" else _MERGE[kind](f"_v{j}")).over(prior).alias(f"_v{j}"))
+    carried = spread.groupBy(F.xxhash64("e.key").alias("hash"), "e.key", "e.kind", "_block").agg(*total).select("kind", "key", "_block", *carry)
+    carried = carried.where(F.coalesce(*[F.col(f"_v{j}").isNotNull() | F.lit(None) for j in range(len(wanted))], F.lit(False)))
+    ahead = carried.select("_block", F.lit(0).alias("_own"), *[F.when(F.col("kind") == i, F.col("key")).alias(f"_k{i}") for i in place.values()], *[f"_v{j}" for j in range(len(wanted))])
     found = rows.withColumn("_own", F.lit(1)).unionByName(ahead, allowMissingColumns=True).repartition("_block")
-    for i, n in enumerate(names):
-        within = Window.partitionBy("_block", f"_k{i}").orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, 0)
-        found = found.withColumn(n, F.when(F.col(f"_k{i}").isNotNull(), F.sum(f"_w{i}").over(within)))
-    return found.where("_own = 1").select(*df.columns, *names)
+    merged = {}
+    for j, (name, (key, kind, _, inclusive)) in enumerate(wanted.items()):
+        own = f"_k{place[key]}"
+        within = Window.partitionBy(F.xxhash64(own), own, "_block").orderBy("_own", *order).rowsBetween(frame, 0 if inclusive else -1)
+        value = F.last(f"_v{j}", ignorenulls=True) if kind == "last" else _MERGE[kind](f"_v{j}")
+        merged[name] = F.when(F.col(own).isNotNull(), value.over(within))
+    return found.withColumns(merged).where("_own = 1").select(*df.columns, *wanted)
+
+
+def running_totals(df: DataFrame, wanted: dict[str, tuple[Column, Column]], order: Sequence[Column], at: Column, block: Column) -> DataFrame:
+    """Running sums, with each row's own value: name -> (key, value)."""
+    return running_values(df, {n: k for n, (k, _) in wanted.items()}, {n: (n, "sum", v.cast("bigint"), True) for n, (_, v) in wanted.items()}, order, at, block)

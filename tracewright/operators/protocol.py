@@ -2,20 +2,23 @@
 
 Event columns: line, us, src, dst, direction, service, stream, action, object, origin, ctl,
 invoke (bigint), write and report (boolean). Every window orders by line, which is the order
-of the capture; windows with the same key share one shuffle.
+of the capture; rules over writes share one shuffle by blocks of lines, whatever their keys.
 
 A rule adds a boolean column named after its reason. Rules over writes are computed on the
-writes alone, so a key's window never holds rows that can't take part.
+writes alone, so a key never holds rows that can't take part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import last_before, running_by_key
+from ..session import ship
+from . import ordering
+from .ordering import exact_key, last_before, running_by_key, running_values
 
 SECOND = 1_000_000
 UNKNOWN = "UNKNOWN"
@@ -64,11 +67,35 @@ def _origin_key() -> Column:
     return F.when(F.coalesce(F.col("origin"), F.lit("")) != "", F.col("origin")).otherwise(UNKNOWN)
 
 
+def _no(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _along(writes: DataFrame, *parts: tuple[dict, dict]) -> DataFrame:
+    """Running values of all parts (their keys and what is wanted of them) in one shuffle."""
+    keys, wanted = {}, {}
+    for own_keys, own_wanted in parts:
+        keys |= own_keys
+        wanted |= own_wanted
+    return running_values(writes, keys, wanted, (F.col("line"),), F.col("line"), ordering.line_block())
+
+
 # -- select and operate -----------------------------------------------------------------
 
 PAIR = ("src", "dst", "object", "ctl")
 
 
+def _steps() -> tuple[dict, dict]:
+    step = F.col("action").isin("SBOw", "Oper")
+    return {"pair": F.when(step, exact_key(*map(F.col, PAIR)))}, {"_step": ("pair", "last", F.struct("action", "us"), False)}
+
+
+def _pair_columns(timeout_us: int) -> dict[str, Column]:
+    operate, selected = F.col("action") == "Oper", _no(F.col("_step.action") == "SBOw")
+    delay = F.when(operate & selected, F.col("us") - F.col("_step.us"))
+    return {"oper_without_matching_sbow": _no(operate & ~selected), "late_oper": _no(delay > timeout_us), "delay_us": delay}
+
+
 def pairing(writes: DataFrame, timeout_us: int = 15 * SECOND) -> DataFrame:
     """An operate needs a select just before it on its key, which it uses up.
 
@@ -76,21 +103,22 @@ def pairing(writes: DataFrame, timeout_us: int = 15 * SECOND) -> DataFrame:
     follows on its key). A select that another select follows is replaced.
     """
     steps = writes.where(F.col("action").isin("SBOw", "Oper"))
-    w = by_line(*PAIR)
-    steps = steps.select("line", *PAIR, "action", "us", F.lag("action").over(w).alias("was"), F.lag("us").over(w).alias("was_us"), F.lead("action").over(w).alias("then"))
-    operate, selected = F.col("action") == "Oper", F.coalesce(F.col("was") == "SBOw", F.lit(False))
-    delay = F.when(operate & selected, F.col("us") - F.col("was_us"))
-    return steps.select(
-        "line", (operate & ~selected).alias("oper_without_matching_sbow"), F.coalesce(delay > timeout_us, F.lit(False)).alias("late_oper"),
-        delay.alias("delay_us"), ((F.col("action") == "SBOw") & F.col("then").isNull()).alias("pending"),
-    )
+    found = _along(steps.select("line", *PAIR, "action", "us"), _steps()).select("line", *[c.alias(n) for n, c in _pair_columns(timeout_us).items()])
+    return found.join(_armed(writes, "line").withColumn("pending", F.lit(True)), "line", "left").withColumn("pending", _no(F.col("pending")))
+
+
+def _armed(writes: DataFrame, *columns: str) -> DataFrame:
+    """Selects that nothing follows on their key: its last step, found by partial aggregation."""
+    steps = writes.where(F.col("action").isin("SBOw", "Oper"))
+    last = steps.groupBy(*[F.col(c).alias(f"_{c}") for c in PAIR]).agg(F.max_by(F.struct("action", *columns), "line").alias("w"))
+    return last.where("w.action = 'SBOw'").select(*[F.col(f"w.{c}").alias(c) for c in columns])
 
 
 def pending_selects(writes: DataFrame) -> DataFrame:
     """A synthetic alert for each select still armed at the end."""
-    left = writes.join(pairing(writes).where("pending").select("line"), "line", "left_semi")
-    return left.select(
-        F.lit("synthetic").alias("event_source"), "line", "us", "src", "dst", "stream", "service", "object", "action", "ctl", "origin",
+    own = ("line", "us", "src", "dst", "stream", "service", "object", "ctl", "origin")
+    return _armed(writes, *own).select(
+        F.lit("synthetic").alias("event_source"), "line", "us", "src", "dst", "stream", "service", "object", F.lit("SBOw").alias("action"), "ctl", "origin",
         F.lit("sbow_without_matching_oper").alias("reason"), F.lit(PENDING_SCORE).alias("protocol_score"), F.lit(TAGS[1]).alias("final_tag"),
     )
 
@@ -103,28 +131,52 @@ def last_appl_error(variables: Column) -> Column:
 # -- counters and identifiers of writes ---------------------------------------------------
 
 
+def _invokes() -> tuple[dict, dict]:
+    invoke = F.col("invoke")
+    keys = {"channel": exact_key(F.col("src"), F.col("dst")), "invoke": F.when(invoke.isNotNull(), exact_key(F.col("src"), F.col("dst"), invoke))}
+    return keys, {"_invoke_high": ("channel", "max", invoke, False), "_invoke_uses": ("invoke", "sum", F.lit(1).cast("bigint"), True)}
+
+
+def _invoke_columns() -> dict[str, Column]:
+    return {
+        "missing_invoke_id_on_write": F.col("invoke").isNull(), "write_invoke_id_regression": _no(F.col("invoke") < F.col("_invoke_high")),
+        "duplicate_write_invoke_id": _no(F.col("_invoke_uses") > 1),
+    }
+
+
 def invoke_rules(writes: DataFrame) -> DataFrame:
     """Missing, falling and repeated invoke ids per channel. Every id seen is remembered."""
-    known = writes.where("invoke IS NOT NULL")
-    high = F.max("invoke").over(before(by_line("src", "dst")))
-    nth = F.row_number().over(by_line("src", "dst", "invoke"))
-    rules = known.select("line", F.coalesce(F.col("invoke") < high, F.lit(False)).alias("write_invoke_id_regression"), (nth > 1).alias("duplicate_write_invoke_id"))
-    no = F.lit(False)
-    missing = writes.where("invoke IS NULL").select("line", no.alias("write_invoke_id_regression"), no.alias("duplicate_write_invoke_id"))
-    return rules.withColumn("missing_invoke_id_on_write", no).unionByName(missing.withColumn("missing_invoke_id_on_write", F.lit(True)))
+    return _along(writes.select("line", "src", "dst", "invoke"), _invokes()).select("line", *[c.alias(n) for n, c in _invoke_columns().items()])
+
+
+def _ctls() -> tuple[dict, dict]:
+    ctl, named = F.col("ctl"), F.nullif(F.col("object"), F.lit(""))
+    party = [F.col("src"), F.col("dst"), _origin_key()]
+    keys = {"party": F.when(ctl.isNotNull(), exact_key(*party)), "use": F.when(ctl.isNotNull(), exact_key(*party, ctl))}
+    return keys, {
+        "_ctl_high": ("party", "max", ctl, False), "_first_object": ("use", "min", named, True), "_last_object": ("use", "max", named, True),
+        "_ctl_uses": ("use", "sum", F.lit(1).cast("bigint"), True),
+    }
+
+
+def _ctl_columns() -> dict[str, Column]:
+    return {
+        "write_ctlnum_regression": _no(F.col("ctl") < F.col("_ctl_high")), "write_ctlnum_reused_across_objects": _no(F.col("_first_object") != F.col("_last_object")),
+        "write_ctlnum_reused_excessively": _no(F.col("_ctl_uses") > 2),
+    }
 
 
 def ctl_rules(writes: DataFrame) -> DataFrame:
     """Falling counters per channel and origin; counters used for two objects, or a third time."""
-    known = writes.where("ctl IS NOT NULL").withColumn("okey", _origin_key())
-    high = F.max("ctl").over(before(by_line("src", "dst", "okey")))
-    use = by_line("src", "dst", "okey", "ctl")
-    named = F.nullif(F.col("object"), F.lit(""))
-    return known.select(
-        "line", F.coalesce(F.col("ctl") < high, F.lit(False)).alias("write_ctlnum_regression"),
-        F.coalesce(F.min(named).over(so_far(use)) != F.max(named).over(so_far(use)), F.lit(False)).alias("write_ctlnum_reused_across_objects"),
-        (F.row_number().over(use) > 2).alias("write_ctlnum_reused_excessively"),
-    )
+    known = writes.where("ctl IS NOT NULL").select("line", "src", "dst", "origin", "object", "ctl")
+    return _along(known, _ctls()).select("line", *[c.alias(n) for n, c in _ctl_columns().items()])
+
+
+def write_rules(writes: DataFrame, timeout_us: int = 15 * SECOND) -> DataFrame:
+    """The columns of pairing (but pending), invoke_rules and ctl_rules for every write, in one pass."""
+    rows = writes.select("line", *PAIR, "action", "us", "invoke", "origin")
+    found = _along(rows, _steps(), _invokes(), _ctls())
+    return found.select("line", *[c.alias(n) for n, c in {**_pair_columns(timeout_us), **_invoke_columns(), **_ctl_columns()}.items()])
 
 
 # -- origins ------------------------------------------------------------------------------
@@ -268,23 +320,34 @@ def suppress(alerts: DataFrame, quiet_us: int = 30 * SECOND, key: str = "fingerp
     """Add suppressed: a repeat within ``quiet_us`` of the last one of its key that was sent.
 
     Whether a row is sent hangs on the last sent row, not on the last row, so windows can't
-    say it. Rows further apart than quiet_us from their predecessor are always sent; so each
-    key falls into independent bursts at such gaps, and only a burst's rows (their times and
-    lines) are folded in order, not a key's.
+    say it. Rows further apart than quiet_us from all before them are always sent; so each
+    key falls into independent bursts at such gaps. Bursts are sorted, and read as a stream
+    with the last sent time as its only state, so that one of any length fits in a task.
     """
-    timed = alerts.where(F.col("us").isNotNull() & F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy("line")
-    apart = F.coalesce((F.col("us") - F.max("us").over(before(w)) >= quiet_us).cast("int"), F.lit(1))
-    bursts = timed.select(key, "line", "us", apart.alias("apart")).withColumn("burst", F.sum("apart").over(so_far(w)))
-    listed = bursts.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("line", "us"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("bigint").alias("sent"), F.array().cast("array<bigint>").alias("quiet"))
-
-    def step(state: Column, row: Column) -> Column:
-        hush = F.coalesce(row["us"] - state["sent"] < quiet_us, F.lit(False))
-        return F.struct(F.when(hush, state["sent"]).otherwise(row["us"]).alias("sent"), F.when(hush, F.array_append(state["quiet"], row["line"])).otherwise(state["quiet"]).alias("quiet"))
-
-    quiet = listed.select(F.explode(F.aggregate("rows", start, step)["quiet"]).alias("line")).withColumn("suppressed", F.lit(True))
-    return alerts.join(quiet, "line", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+    ship(alerts.sparkSession)
+    timed = alerts.where(F.col("us").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "line", "us")
+    before_it = running_by_key(timed, ["key"], {"high": ("max", F.col("us"))}, ["line"], inclusive=False)
+    apart = F.coalesce((F.col("us") - F.col("high") >= quiet_us).cast("bigint"), F.lit(1).cast("bigint"))
+    bursts = running_by_key(before_it, ["key"], {"burst": ("sum", apart)}, ["line"]).select("key", "burst", "line", "us")
+    quiet = bursts.repartition("key", "burst").sortWithinPartitions("key", "burst", "line").mapInPandas(_quiet(quiet_us), "line bigint")
+    return alerts.join(quiet.withColumn("suppressed", F.lit(True)), "line", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+
+
+def _quiet(quiet_us: int):
+    """Lines of sorted bursts that come within quiet_us of the last one sent."""
+
+    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        burst, sent = None, 0
+        for part in parts:
+            hushed = []
+            for own, line, us in zip(zip(part["key"], part["burst"], strict=True), part["line"].tolist(), part["us"].tolist(), strict=True):
+                if own == burst and us - sent < quiet_us:
+                    hushed.append(line)
+                else:
+                    burst, sent = own, us
+            yield pd.DataFrame({"line": hushed}, dtype="int64")
+
+    return lines
 
 
 def emitted(alerts: DataFrame, emit_all: bool = False) -> DataFrame:

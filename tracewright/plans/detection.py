@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fingerprint
 from ..operators import baseline, detector, normalize, protocol, statistical
-from ..session import ship
+from ..session import materialize, ship
 from .bind import DAY, EVENTS, HOUR, events, writes
 from .registry import query
 
@@ -92,7 +92,7 @@ SELECT line, round(least(100, (CASE WHEN a THEN least(25, 5 + 4 * (zi - 3)) ELSE
   concat_ws(';', CASE WHEN a THEN 'interarrival_outlier' END, CASE WHEN b THEN 'payload_size_outlier' END, CASE WHEN c THEN 'rare_service_combo' END,
     CASE WHEN d THEN 'rate_spike' END, CASE WHEN g THEN 'unknown_channel_rate_spike' END) AS stat_reasons FROM f""")
 def t1_t5_statistical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _train(spark, sf_dir)
+    train = materialize(baseline.with_channel(_train(spark, sf_dir)).select("line", "us", "src", "dst", "direction", "service", "size"), "training-prefix")
     stats = baseline.interarrival_stats(train, DAY).withColumn("metric", F.lit("interarrival"))
     stats = stats.unionByName(baseline.size_stats(train).withColumn("metric", F.lit("size"))).unionByName(baseline.rate_stats(train, WINDOW).withColumn("metric", F.lit("rate")))
     found = statistical.score(events(spark, sf_dir), baseline.service_probability(train), stats, WINDOW)
@@ -193,7 +193,7 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write rules, their reasons, scores and tags, past the training span."""
     e = events(spark, sf_dir)
     w = e.where("write")
-    rules = [protocol.pairing(w, 3 * HOUR), protocol.invoke_rules(w), protocol.ctl_rules(w), protocol.origin_rule(w)]
+    rules = [protocol.write_rules(w, 3 * HOUR), protocol.origin_rule(w)]
     rows = protocol.with_scores(protocol.with_reasons(e.withColumn("stat_score", F.when(F.col("seed"), 42.0).otherwise(0.0)).drop("final_tag"), rules))
     # training rows feed every state above, but are neither scored nor shown
     end = e.agg((F.min_by("us", "line") + TRAIN).alias("train_end"))
@@ -232,7 +232,8 @@ sup AS (SELECT a.*, s.us IS NULL AS suppressed FROM al2 a LEFT JOIN sent s ON a.
 def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = _tagged(spark, sf_dir).where("final_tag <> 'normal'")
     key = F.concat_ws("|", "final_tag", "src", "dst", "service")
-    return protocol.suppress(alerts.withColumn("fingerprint", key), QUIET)
+    shown = alerts.select("line", "us", "final_tag", key.alias("fingerprint"))
+    return protocol.suppress(materialize(shown, "alerts"), QUIET)
 
 
 @query(f"{SENT} SELECT line, key AS fingerprint, suppressed FROM sup")
