@@ -8,7 +8,7 @@ have a control hint; everything else on top of that is higher-order functions.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,20 +78,35 @@ def pass_through(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return [blank_to_null(F.col(c).cast("string")).alias(c) for c in columns if c in df.columns]
 
 
-def dissection_fields(raw: Column) -> dict[str, Column]:
-    """Fourteen fields of a dissection; the two beside prp.sequence only where that is given."""
+def text_schema(paths: Iterable[str]) -> T.StructType:
+    """The nested structure in which every path ends in a text."""
+    children: dict[str, list[str]] = {}
+    for path in paths:
+        name, _, rest = path.partition(".")
+        children.setdefault(name, []).extend([rest] if rest else [])
+    return T.StructType([T.StructField(n, text_schema(below) if below else T.StringType()) for n, below in children.items()])
+
+
+DISSECTION_SCHEMA = text_schema(DISSECTION.values())
+PARAMETER_SCHEMA = text_schema(f"{p}.value" for p in PARAMETERS.values())
+
+
+def dissection_fields(parsed: Column) -> dict[str, Column]:
+    """Fourteen fields of a dissection (of DISSECTION_SCHEMA); the two beside prp.sequence only where that is given."""
     found = {}
     for name, path in DISSECTION.items():
-        value = F.get_json_object(raw, f"$.{path}")
+        value = parsed
+        for step in path.split("."):
+            value = value[step]
         found[name] = blank_to_null(value) if name in _BLANK_IS_MISSING else value
     for name in ("prp_lan_id", "prp_lsdu_size"):
         found[name] = F.when(found["prp_sequence"].isNotNull(), found[name])
     return found
 
 
-def parameter_fields(raw: Column) -> dict[str, Column]:
-    """Values of typed control parameters, {name: {type, value}}."""
-    return {name: F.get_json_object(raw, f"$.{path}.value") for name, path in PARAMETERS.items()}
+def parameter_fields(parsed: Column) -> dict[str, Column]:
+    """Values of typed control parameters, {name: {type, value}} (of PARAMETER_SCHEMA)."""
+    return {name: parsed[path]["value"] for name, path in PARAMETERS.items()}
 
 
 def control_value_fields(raw: Column) -> dict[str, Column]:
@@ -122,7 +137,9 @@ def normalize(events: DataFrame, scalars: Sequence[str], structured: Sequence[st
     has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
     json_of = {c: safe_json(has(c)) for c in ("dissection", "control_parameters", "control_value", "control_variables", *structured)}
     ready = events.withColumns({f"_{c}": v for c, v in json_of.items()})
-    fields = {**dissection_fields(F.col("_dissection")), **parameter_fields(F.col("_control_parameters")), **control_value_fields(F.col("_control_value"))}
+    # columns of their own, so that each text is parsed once for all its fields
+    ready = ready.withColumns({"_d": F.from_json("_dissection", DISSECTION_SCHEMA), "_p": F.from_json("_control_parameters", PARAMETER_SCHEMA)})
+    fields = {**dissection_fields(F.col("_d")), **parameter_fields(F.col("_p")), **control_value_fields(F.col("_control_value"))}
     columns = [F.col("line"), canonical_timestamp(has("wtimestamp"), has("timestamp")).alias("event_time"), *pass_through(events, scalars)]
     columns += [F.col(f"_{c}").alias(c) for c in structured]
     columns += [v.alias(k) for k, v in fields.items()]
