@@ -28,18 +28,18 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _byte_values() -> np.ndarray:
-    """A random number for each byte; A-Z have those of a-z."""
+def _byte_values(fold: bool) -> np.ndarray:
+    """A random number for each byte; if ``fold``, A-Z have those of a-z."""
     lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += np.uint64(32)
+    lower[65:91] += np.uint64(32 * fold)
     return finish((lower + np.uint64(1)) * _ODD[1])
 
 
-_VALUE = _byte_values()
+_VALUE, AS_THEY_ARE = _byte_values(True), _byte_values(False)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base, and of its inverse, up to n at least."""
     size = max(1 << 12, 1 << (n - 1).bit_length())
     if size not in _POWERS:
@@ -50,34 +50,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def words_in(raw: bytes, value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a run of bytes begin, and their hashes."""
     d = np.frombuffer(raw, np.uint8)
     edge = np.flatnonzero(np.diff(_IS_BLANK[d], prepend=True, append=True))
     begin, end = edge[::2], edge[1::2]
-    rise, fall = _powers(len(d))
+    rise, fall = powers(len(d))
     sums = np.zeros(len(d) + 1, np.uint64)
-    np.cumsum(_VALUE[d] * rise[: len(d)], out=sums[1:])
+    np.cumsum(value[d] * rise[: len(d)], out=sums[1:])
     return begin, finish((sums[end] - sums[begin]) * fall[begin])
 
 
-def _giant(word: bytes) -> np.ndarray:
+def _giant(word: bytes, value: np.ndarray) -> np.ndarray:
     """The hash of a word that is longer than a piece."""
     total = 0
     for at in range(0, len(word), PIECE):
         d = np.frombuffer(word[at : at + PIECE], np.uint8)
-        total += int((_VALUE[d] * _powers(len(d))[0][: len(d)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+        total += int((value[d] * powers(len(d))[0][: len(d)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
     return finish(np.array([total & (2**64 - 1)], np.uint64))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
+def word_hashes(raw: bytes, value: np.ndarray = _VALUE) -> np.ndarray:
     """The hashes of a text's words, piece by piece; pieces end at white space."""
     found, at = [], 0
     while at < len(raw):
         cut = _NEXT_BLANK.search(raw, min(len(raw), at + PIECE))
         end = cut.start() if cut else len(raw)
         piece = raw[at:end]
-        found += [_words(piece)[1]] if len(piece) <= 2 * PIECE else [_giant(w) if len(w) > PIECE else _words(w)[1] for w in piece.split()]
+        found += [words_in(piece, value)[1]] if len(piece) <= 2 * PIECE else [_giant(w, value) if len(w) > PIECE else words_in(w, value)[1] for w in piece.split()]
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -103,7 +103,7 @@ def ngram_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     held: list[bytes] = []
 
     def together() -> Iterator[np.ndarray]:
-        begin, words = _words(b" ".join(held)) if held else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        begin, words = words_in(b" ".join(held)) if held else (np.empty(0, np.int64), np.empty(0, np.uint64))
         grams = _grams(words, WORDS)
         stop = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in held]))
         low = 0
