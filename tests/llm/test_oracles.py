@@ -14,4 +14,4 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert {n.split("_")[0] for n in catalog.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.queries()} == {f"op{i}" for i in range(1, 14)}

@@ -63,4 +63,40 @@ r AS (SELECT doc_id AS d, doc_id AS z FROM documents UNION SELECT r.d, l.y FROM
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.c AS component_id FROM s JOIN (SELECT d, min(z) AS c FROM r GROUP BY d) c ON c.d = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_ngram_join": OP4, "op8_warc": OP8, "op10_quality_rules": OP10}
+OP12 = """
+WITH l AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT c, s, list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS bits FROM l),
+k AS (SELECT c, s, xor(4294967295, list_reduce(bits, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 6 AS h FROM b),
+r AS (SELECT k.c, list_concat(coalesce(l.s[1:h], []), k.s[h + 1:]) AS s FROM k LEFT JOIN l ON l.c = k.c - k.c % 100),
+p AS (SELECT c, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM p GROUP BY d, p),
+q AS (SELECT n.*, coalesce(k.n, 0) AS n_children, o.conv_id AS parent_conv_id FROM n LEFT JOIN (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL) k ON k.d = n.d AND k.p = n.p
+      LEFT JOIN n o ON o.d = n.d - 1 AND o.p = n.p[1:n.d - 1] AND n.d > 0),
+u AS (SELECT a AS d, p[1:a] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(p[d].x) END) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM q) GROUP BY ALL)
+SELECT q.conv_id, q.d AS depth, q.parent_conv_id, q.n_convs, q.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, q.ends_sha256 FROM q JOIN u ON u.d = q.d AND u.p = q.p
+"""
+
+OP11 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+g AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+v AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM v) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, g.n),
+s AS (SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * p.n * g.n) // g.l))))::BIGINT AS score FROM v JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+OP13 = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g),
+r AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE again),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM e ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_ngram_join": OP4, "op8_warc": OP8, "op10_quality_rules": OP10, "op11_lexical_search": OP11, "op12_conversation_trie": OP12, "op13_substring_dedup": OP13}
