@@ -15,6 +15,8 @@ inserted, deleted or replaced. Search and proof:
     buckets are its candidates. Steps are drawn from the part of a walk that hardly any pointer
     has left, and keys that hold padding count for nothing. The number of tables follows from
     the wanted recall and the share of steps that may differ.
+    A walk over up to SHORT words has too few steps for that: such an item is a candidate of
+    every window the run filter leaves for it, so it is searched exactly.
 4.  Proof. Candidates are compared by exact edit distance between the item and the best
     passage of the text around the window.
 
@@ -44,6 +46,8 @@ from .wordhash import folded_hashes
 
 ERRORS, SEED, WALKS, RECALL, BITS = 0.2, 3, 4, 0.999, 2
 MOST_WORDS = 2_000_000
+#: Words of items that are searched without tables.
+SHORT = 16
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -120,8 +124,11 @@ def tables(n: int, errors: float, recall: float = RECALL, bits: int = BITS) -> n
 
 
 def table_keys(windows: np.ndarray, steps: np.ndarray, walk: int) -> np.ndarray:
-    """The key of each window in each table of a walk; 0 where it holds padding."""
-    symbols = embed(windows, walk)[:, steps]
+    """The key of each window in each table of a walk; 0 where it holds padding.
+
+    Every other walk goes backwards: a walk that meets an edit early is out of step for long.
+    """
+    symbols = embed(windows[:, ::-1] if walk % 2 else windows, walk)[:, steps]
     keys = np.full(symbols.shape[:2], walk + 1, np.uint64) + np.arange(len(steps), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     for i in range(steps.shape[1]):
         keys = (keys ^ symbols[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +171,8 @@ class Items:
         self.steps = {n: tables(n, errors, recall) for n in set(self.sizes.tolist())}
         self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, steps in self.steps.items():
+            if n <= SHORT:
+                continue
             own = np.flatnonzero(self.sizes == n)
             keys = np.concatenate([table_keys(np.stack([self.words[i] for i in own]), steps, walk) for walk in range(WALKS)], axis=1)
             place, keys = np.repeat(own, keys.shape[1])[keys.ravel() != 0], keys.ravel()[keys.ravel() != 0]
@@ -176,10 +185,12 @@ class Items:
         bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
         return bits
 
-    def windows(self, a: np.ndarray) -> dict[int, np.ndarray]:
-        """For each length of items the first words of the windows that can leak one of them: those
-        at runs shared with an item of whose runs the text has as many as any leaking passage has."""
+    def windows(self, a: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """For each length of long items the first words of the windows that can leak one of them, and
+        the same for each short item: windows at runs shared with an item of whose runs the text
+        has as many as any leaking passage has."""
         found: dict[int, list[np.ndarray]] = {}
+        short: dict[int, list[np.ndarray]] = {}
         for k, (hashes, place, at) in self.by_length.items():
             h = runs(a, k)
             near = np.flatnonzero(self.sieve[k][(h >> np.uint64(44)).astype(np.int64)])
@@ -194,15 +205,20 @@ class Items:
             distinct = np.unique(row)
             enough = np.bincount(place[distinct], minlength=len(self.words)) >= self.least
             keep = enough[place[row]]
-            size, start = self.sizes[place[row[keep]]], np.repeat(near, width)[keep] - at[row[keep]]
-            for n in np.unique(size).tolist():
+            item, start = place[row[keep]], np.repeat(near, width)[keep] - at[row[keep]]
+            size = self.sizes[item]
+            for n in np.unique(size[size > SHORT]).tolist():
                 found.setdefault(n, []).append(start[size == n])
-        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+            for i in np.unique(item[size <= SHORT]).tolist():
+                short.setdefault(i, []).append(start[item == i])
+        every = lambda starts: {k: np.unique(np.concatenate(x)) for k, x in starts.items()}
+        return every(found), every(short)
 
     def candidates(self, a: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item the windows that fall into one of its buckets."""
+        """For each item the windows that fall into one of its buckets; all that are left of a short one."""
         found: dict[int, list[np.ndarray]] = {}
-        for n, starts in self.windows(a).items():
+        long, short = self.windows(a)
+        for n, starts in long.items():
             starts = starts[(starts > -n) & (starts < len(a))]
             keys, place = self.buckets[n]
             padded = np.concatenate([np.zeros(n, np.uint64), a, np.zeros(2 * n, np.uint64)])
@@ -216,7 +232,7 @@ class Items:
                 item, at = place[hit], np.repeat(start, width)
                 for i in np.unique(item).tolist():
                     found.setdefault(i, []).append(at[item == i])
-        return {i: np.unique(np.concatenate(x)) for i, x in found.items()}
+        return short | {i: np.unique(np.concatenate(x)) for i, x in found.items()}
 
     def leaks(self, a: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, edit distance, word where the passage ends) of the items a text leaks."""
