@@ -278,13 +278,15 @@ def prefixes(heads: DataFrame, frequent: np.ndarray) -> DataFrame:
 def survivors(heads: DataFrame) -> DataFrame:
     """cls, keys: classes that share enough of their prefix, and the n-grams they meet by.
 
-    The windows by n-gram aren't long: those in very many prefixes were set apart, and beyond
-    the MOST_FREQUENT an n-gram has less than 1/MOST_FREQUENT of all prefix rows.
+    What is asked of an n-gram (whether two classes hold it, and how often it is held) is
+    aggregated within tasks first, and the few that are shared meet their rows in a join, so that
+    one in a third of all texts is spread over tasks. Copies of a class from several tasks
+    count as often in ``df``, which only orders n-grams by rarity.
     """
     sql = F.expr
-    seen = heads.selectExpr(
-        "token", "cls", "need", "count(*) OVER (PARTITION BY token) AS df", "min(cls) OVER (PARTITION BY token) AS low", "max(cls) OVER (PARTITION BY token) AS high"
-    ).where("need = 0 OR low <> high")
+    held_by = heads.where("need > 0").groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("df"))
+    shared = materialize(held_by.where("low <> high").select("token", "df"), "join-shared")
+    seen = heads.join(shared, "token", "left").where("need = 0 OR df IS NOT NULL")
     held = seen.groupBy("cls").agg(
         sql("collect_set(CASE WHEN need > 0 THEN struct(df, token) END)").alias("held"),
         sql("coalesce(min(CASE WHEN need > 0 THEN need END), 1)").alias("need"),
@@ -404,7 +406,9 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(described)
     texts = alive.select("cls").join(classes, "cls").join(known, ["doc_id", "digest"]).select("cls", "text")
     sets = materialize(sets_of(texts, frequent), "join-sets")
-    rare = alive.select("cls", F.explode("keys").alias("token")).selectExpr("cls AS a", "min(cls) OVER (PARTITION BY token) AS b")
+    keyed = alive.select(F.col("cls").alias("a"), F.explode("keys").alias("token"))
+    first = materialize(keyed.groupBy("token").agg(F.min("a").alias("b"), F.max("a").alias("c")).where("b <> c").select("token", "b"), "join-first")
+    rare = keyed.join(first, "token").select("a", "b")
     hot = sets.select("cls", F.explode("hot").alias("token"))
     hubs = hot.groupBy("token").agg(F.min("cls").alias("b"))  # at most MOST_FREQUENT rows
     edges = rare.unionByName(hot.join(F.broadcast(hubs), "token").select(F.col("cls").alias("a"), "b"))
