@@ -329,6 +329,29 @@ def plain_distance(item, text):
     return min(row)
 
 
+@pytest.mark.parametrize("place", ["first", "last", "any"])
+@pytest.mark.parametrize("kind", ["insert", "replace", "delete"])
+def test_recall_by_length_kind_and_place_of_edits(kind, place):
+    """As many edits as allowed, in items of 1 to 60 words: exact up to decontamination.SHORT words."""
+    r = random.Random(kind + place)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    missed, tried = Counter(), Counter()
+    for n in [*range(1, 21), 25, 30, 45, 60]:
+        for _ in range(12):
+            item, k = words(n), decontamination.allowed(n, decontamination.ERRORS)
+            own = list(item)
+            for _ in range(k):
+                at = {"first": 0, "last": len(own) - 1, "any": r.randrange(len(own))}[place]
+                own[at : at + (kind != "insert")] = [] if kind == "delete" else words(1)
+            text = words(25) + own + words(25)
+            assert plain_distance(item, text) <= k
+            tried[n] += 1
+            missed[n] += not decontamination.Items([(1, " ".join(item))]).leaks(decontamination.word_ids(" ".join(text)))
+    assert not any(missed[n] for n in range(1, decontamination.SHORT + 1))
+    assert sum(missed.values()) <= 0.01 * sum(tried.values())
+
+
 def test_leaks_in_capitals_and_other_punctuation(spark):
     items = [
         (1, "La publicación de la región mostró cómo la educación pública cambió según la opinión de más de cien jóvenes en España durante el último año"),
