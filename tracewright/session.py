@@ -103,7 +103,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     self-join read the same rows."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    # once it's written, nothing reads the shuffles that made it
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, held)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
