@@ -50,8 +50,8 @@ def test_sessions_over_blocks_of_time(hot, monkeypatch):
     for us, line in sorted((r["us"], r["line"]) for r in hot.collect()):
         session += last is None or us - last > 900_000
         want[line], last = session, us
-    for block in (reports.BLOCK_US, 5_000_000):
-        monkeypatch.setattr(reports, "BLOCK_US", block)
+    for block in (ordering.BLOCK, 16):
+        monkeypatch.setattr(ordering, "BLOCK", block)
         assert {r["line"]: r["session"] for r in reports.sessions(hot.select("us", "line"), 900_000).collect()} == want
 
 

@@ -184,3 +184,89 @@ def test_model_queries_fit_the_whole_forest(spark, sf_dir, monkeypatch):
         seen.clear()
         catalog.queries()[name](spark, sf_dir)
         assert {x[:3] for x in seen} == {(300, 12, 2)} and {x[3] for x in seen} == features
+
+
+# -- streams and growing baselines ---------------------------------------------------------
+
+
+def test_armed_selects_end_when_the_watermark_passes(spark, tmp_path):
+    """Several batches: what stays armed is told by its timer, and no state is left behind."""
+    import datetime
+
+    from tracewright.streaming import detector as stream
+
+    r = random.Random(12)
+    start, t, rows = datetime.datetime(2024, 1, 1), 0, []
+    for line in range(300):
+        t += r.choice([0, 1, 4, 20])
+        rows.append((line, t, r.choice(["SBOw", "Oper", ""]), r.choice("ab"), "x", r.choice("op"), r.choice([None, 1, 2])))
+    rows.append((300, t + 10**6, "Oper", "end", None, None, None))
+    schema = "line long, ts timestamp, action string, src string, dst string, object string, ctl long"
+    for i in range(0, len(rows), 60):
+        part = [(n, start + datetime.timedelta(seconds=s), *rest) for n, s, *rest in rows[i : i + 60]]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i:04d}")
+    keep = 60
+    armed, want = {}, []
+    for line, s, action, *key in rows:
+        key = tuple(key)
+        if not action:
+            continue
+        if key in armed and s - armed[key][1] > keep:
+            want.append((armed.pop(key)[0], stream.PENDING, None))
+        if action == "SBOw":
+            armed[key] = (line, s)
+        elif key not in armed:
+            want.append((line, stream.LONELY, None))
+        else:
+            delay = s - armed.pop(key)[1]
+            want += [(line, stream.LATE, delay * 1_000_000)] if delay > 15 else []
+    want += [(line, stream.PENDING, None) for line, _ in armed.values()]
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+    found = stream.paired_steps(source, keep_us=keep * 1_000_000, late="1 second")
+    query = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(x) for x in spark.read.parquet(f"file://{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {x[1] for x in got} == {stream.PENDING, stream.LONELY, stream.LATE}
+    assert len(query.recentProgress) > 4 and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_a_baseline_grows_by_merging(spark):
+    from tracewright.operators import baseline
+
+    r = random.Random(13)
+    t, rows = 0, []
+    for line in range(1, 500):
+        t += r.choice([0, 1, 3, 50, -2, 4000]) * 1_000_000
+        rows.append((line, None if r.random() < 0.1 else t, r.choice("ab"), "x", "REQUEST", r.choice(["R", "W", "rare" if r.random() < 0.02 else "R"]), None if r.random() < 0.2 else r.gauss(50, 9), r.choice(["g", "h", ""]), r.choice([None, 1, 2, 3]), r.random() < 0.5))
+    df = spark.createDataFrame(rows, "line long, us long, src string, dst string, direction string, service string, size double, origin string, ctl long, write boolean")
+    window = 30_000_000
+    cuts = [0, 120, 125, 400, 500]
+    states = [baseline.baseline_state(df.where((F.col("line") >= a) & (F.col("line") < b)), window) for a, b in zip(cuts, cuts[1:], strict=False)]
+    merged = states[0]
+    for s in states[1:]:
+        merged = baseline.merge_states(merged, s)
+    got = baseline.state_tables(merged)
+    near = lambda df, *key: {tuple(x[k] for k in key): [round(v, 6) if isinstance(v, float) else v for v in x] for x in df.collect()}
+    assert near(got["channel_stats"].select("channel", "metric", "n", "mean", "std"), "channel", "metric") == near(baseline.channel_stats(df, window).where("n > 0"), "channel", "metric")
+    assert near(got["service_prob"], "combo") == near(baseline.service_probability(df), "combo")
+    assert near(got["origin_ctl"], "origin") == near(baseline.origin_ctls(df), "origin")
+
+
+@pytest.mark.parametrize("block", [1 << 14, 8])
+def test_windows_of_a_hot_group_are_a_loops(spark, monkeypatch, block):
+    monkeypatch.setattr(ordering, "BLOCK", block)
+    r = random.Random(14)
+    rows = [(i, None if r.random() < 0.05 else r.randrange(2000), r.choice("aaaaaaaaab") if r.random() < 0.97 else None, float(i), r.choice([0, 0, 1, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "line long, us long, grp string, x double, label int").repartition(3)
+    for size, step, least, mode in ((8, 1, 0, "end"), (5, 3, 30, "any"), (1, 1, 0, "end")):
+        want = set()
+        for g in ("a", "b", None):
+            own = sorted((x for x in rows if x[2] == g), key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+            for e in range(size - 1, len(own), step):
+                part = own[e - size + 1 : e + 1]
+                labels = [x[4] for x in part]
+                label = (None if None in labels else max(labels)) if mode == "any" else labels[-1]
+                if label is not None and len(own) >= max(size, least):
+                    want.add((g, e - size + 1, e, part[0][0], part[-1][0], sum(x or 0 for x in labels), label, tuple(x[3] for x in part)))
+        got = {(x["grp"], x["start_index"], x["end_index"], x["start_line"], x["end_line"], x["positives"], x["label"], tuple(s["x"] for s in x["steps"])) for x in sequences.windows(df, ["x"], size, step, least, mode=mode).collect()}
+        assert got == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import channel_key
 from ..session import materialize
+from .ordering import line_block, running_values
 
 SECOND = 1_000_000
 
@@ -50,11 +51,16 @@ def _spread(values: Column) -> list[Column]:
     return [F.count(values).alias("n"), F.avg(values).alias("mean"), F.coalesce(F.stddev_samp(values), F.lit(0.0)).alias("std")]
 
 
+def gap_rows(timed: DataFrame, longest_us: int) -> DataFrame:
+    """channel, gap: time since the channel's row before, where it counts. timed: channel, line, us (not null)."""
+    line = F.col("line")
+    was = running_values(timed, {"channel": F.col("channel")}, {"was": ("channel", "last", F.col("us"), False)}, (line,), line, line_block())
+    return was.select("channel", (F.col("us") - F.col("was")).alias("gap")).where(F.col("gap").between(0, longest_us))
+
+
 def interarrival_stats(events: DataFrame, longest_us: int = 3600 * SECOND) -> DataFrame:
     """Seconds since the channel's previous row with a time, in order; negative and very long ones are left out."""
-    timed = with_channel(events).where("us IS NOT NULL")
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("channel").orderBy("line"))
-    gaps = timed.withColumn("gap", gap).where(F.col("gap").between(0, longest_us))
+    gaps = gap_rows(with_channel(events).where("us IS NOT NULL").select("channel", "line", "us"), longest_us)
     return gaps.groupBy("channel").agg(*_spread(F.col("gap") / SECOND))
 
 
@@ -75,6 +81,82 @@ def channel_stats(events: DataFrame, window_us: int) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+# -- a baseline that grows ----------------------------------------------------------------
+
+#: The parts of a baseline that later batches are merged into.
+STATE = ("moments", "edges", "buckets", "services", "origin_ctl")
+
+
+def _moments(values: Column) -> list[Column]:
+    return [F.count(values).alias("n"), F.avg(values).alias("mean"), (F.coalesce(F.var_pop(values), F.lit(0.0)) * F.count(values)).alias("m2")]
+
+
+def baseline_state(events: DataFrame, window_us: int, longest_us: int = 3600 * SECOND) -> dict[str, DataFrame]:
+    """What must be kept of some rows for baselines of them and later ones.
+
+    moments: n, mean and m2 (summed squares of the distance from the mean) of sizes and of the
+    gaps within these rows, by channel and metric. edges: first and last known time of each channel,
+    between which the gap to other rows lies. buckets: rows of each channel and window of time;
+    a window may be filled by several batches. services: rows of each direction and service.
+    """
+    rows = with_channel(events)
+    timed = rows.where("us IS NOT NULL").select("channel", "line", "us")
+    sizes = rows.where("size IS NOT NULL").groupBy("channel").agg(*_moments(F.col("size").cast("double"))).withColumn("metric", F.lit("size"))
+    gaps = gap_rows(timed, longest_us).groupBy("channel").agg(*_moments(F.col("gap") / SECOND)).withColumn("metric", F.lit("interarrival"))
+    ends = [F.min("line").alias("first_line"), F.min_by("us", "line").alias("first_us"), F.max("line").alias("last_line"), F.max_by("us", "line").alias("last_us")]
+    return {
+        "moments": sizes.unionByName(gaps).select("channel", "metric", "n", "mean", "m2"),
+        "edges": timed.groupBy("channel").agg(*ends),
+        "buckets": timed.groupBy("channel", F.floor(F.col("us") / window_us).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")),
+        "services": events.groupBy(F.concat_ws("|", "direction", "service").alias("combo")).agg(F.count(F.lit(1)).alias("n")),
+        "origin_ctl": origin_ctls(events),
+    }
+
+
+def _together(parts: Column) -> Column:
+    """n, mean, m2 of the union of some parts (array of structs), by pairwise updates."""
+
+    def both(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        mean = a["mean"] + apart * b["n"] / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"))
+
+    return F.aggregate(F.slice(parts, 2, F.size(parts)), parts[0], both)
+
+
+def merge_states(earlier: dict[str, DataFrame], later: dict[str, DataFrame], longest_us: int = 3600 * SECOND) -> dict[str, DataFrame]:
+    """The state of two runs of rows, of which all lines of one come before those of the other.
+
+    Neither run is read again: moments are merged by channel, and the gap between a channel's
+    last row of the first run and its first of the second is added as a part of one value.
+    """
+    then = later["edges"].select("channel", F.col("first_us").alias("_next"))
+    across = earlier["edges"].join(then, "channel").select("channel", (F.col("_next") - F.col("last_us")).alias("gap")).where(F.col("gap").between(0, longest_us))
+    joint = across.select("channel", F.lit("interarrival").alias("metric"), F.lit(1).cast("bigint").alias("n"), (F.col("gap") / SECOND).alias("mean"), F.lit(0.0).alias("m2"))
+    parts = earlier["moments"].unionByName(later["moments"]).unionByName(joint).where("n > 0")
+    # three parts a key at most, so the lists are short
+    merged = parts.groupBy("channel", "metric").agg(_together(F.array_sort(F.collect_list(F.struct("n", "mean", "m2")))).alias("m"))
+    both = {name: earlier[name].unionByName(later[name]) for name in STATE}
+    ends = [F.min("first_line").alias("first_line"), F.min_by("first_us", "first_line").alias("first_us"), F.max("last_line").alias("last_line"), F.max_by("last_us", "last_line").alias("last_us")]
+    return {
+        "moments": merged.select("channel", "metric", "m.n", "m.mean", "m.m2"),
+        "edges": both["edges"].groupBy("channel").agg(*ends),
+        "buckets": both["buckets"].groupBy("channel", "bucket").agg(F.sum("rows").alias("rows")),
+        "services": both["services"].groupBy("combo").agg(F.sum("n").alias("n")),
+        "origin_ctl": both["origin_ctl"].groupBy("origin").agg(
+            F.sum("writes").alias("writes"), F.min("first_line").alias("first_line"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ctls")))).alias("ctls")
+        ),
+    }
+
+
+def state_tables(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """service_prob, channel_stats and origin_ctl of a baseline from its state."""
+    spread = lambda df: df.select("channel", "metric", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0).alias("std"))
+    rates = state["buckets"].groupBy("channel").agg(*_moments(F.col("rows").cast("double"))).withColumn("metric", F.lit("rate"))
+    services = state["services"].select("combo", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    return {"service_prob": services, "channel_stats": spread(state["moments"]).unionByName(spread(rates)), "origin_ctl": state["origin_ctl"]}
+
+
 def origin_ctls(events: DataFrame) -> DataFrame:
     """Counters each origin wrote, and its number of writes."""
     writes = events.where(F.col("write") & (F.coalesce(F.col("origin"), F.lit("")) != ""))

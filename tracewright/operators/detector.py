@@ -28,6 +28,7 @@ class Options:
     match_us: int = 20 * SECOND
     reset_us: int = 120 * SECOND
     quiet_us: int = 30 * SECOND
+    memory: int = protocol.INVOKE_MEMORY
     tolerance: int = 2
     strict: bool = False
     sequence: bool = False
@@ -62,7 +63,7 @@ def detect(events: DataFrame, model: dict[str, DataFrame], payloads: DataFrame |
         payloads = payloads.withColumn("report_seq", F.when(F.col("report"), F.col("report_seq"))).drop("report")
     writes = rows.where("write").withColumn("learned", F.col("detected"))
     learned, trained = writes.where("learned"), model["origin_ctl"] if o.trained else None
-    rules = [protocol.write_rules(writes, o.pair_us), protocol.origin_rule(learned)]
+    rules = [protocol.write_rules(writes, o.pair_us, o.memory), protocol.origin_rule(learned)]
     if payloads is not None:
         at = payloads.join(rows.select("line", "us", "src", "dst"), "line")
         names = at.select("line", F.explode("identities").alias("identity"))

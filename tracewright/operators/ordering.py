@@ -134,6 +134,14 @@ def running_values(df: DataFrame, keys: dict[str, Column], wanted: dict[str, tup
     return found.withColumns(merged).where("_own = 1").select(*df.columns, *wanted)
 
 
+def group_places(df: DataFrame, out: str, group: str = "grp") -> DataFrame:
+    """Add each row's place in its group (from 0), by time with nulls last, then line. A null group is one too."""
+    us, line = F.col("us"), F.col("line")
+    one = {out: ("grp", "sum", F.lit(1).cast("bigint"), True)}
+    placed = running_values(df, {"grp": exact_key(F.col(group))}, one, (us.asc_nulls_last(), line), F.struct(us.isNull(), us, line), time_block(df))
+    return placed.withColumn(out, F.col(out) - 1)
+
+
 def running_totals(df: DataFrame, wanted: dict[str, tuple[Column, Column]], order: Sequence[Column], at: Column, block: Column) -> DataFrame:
     """Running sums, with each row's own value: name -> (key, value)."""
     return running_values(df, {n: k for n, (k, _) in wanted.items()}, {n: (n, "sum", v.cast("bigint"), True) for n, (_, v) in wanted.items()}, order, at, block)

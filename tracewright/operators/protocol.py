@@ -10,15 +10,14 @@ writes alone, so a key never holds rows that can't take part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from . import ordering
-from .ordering import exact_key, last_before, running_by_key, running_values
+from ..session import materialize
+from . import carried, ordering
+from .ordering import exact_key, running_values
 
 SECOND = 1_000_000
 UNKNOWN = "UNKNOWN"
@@ -27,6 +26,8 @@ TAGS = ("normal", "failed-control", "likely-attack")
 BASE_SCORE = (0.0, 45.0, 70.0)
 FAILED_FROM, LIKELY_FROM, PENDING_SCORE = 40.0, 70.0, 45.0
 ERROR_TOKEN = "LastApplError"
+#: Fixed value: invoke ids a channel remembers.
+INVOKE_MEMORY = 5000
 
 #: Write rules in the order in which their reasons are given, with their severity.
 WRITE_RULES = {
@@ -51,18 +52,6 @@ WRITE_RULES = {
 }
 
 
-def by_line(*keys: str):
-    return Window.partitionBy(*keys).orderBy("line")
-
-
-def before(window):
-    return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def so_far(window):
-    return window.rowsBetween(Window.unboundedPreceding, 0)
-
-
 def _origin_key() -> Column:
     return F.when(F.coalesce(F.col("origin"), F.lit("")) != "", F.col("origin")).otherwise(UNKNOWN)
 
@@ -144,9 +133,23 @@ def _invoke_columns() -> dict[str, Column]:
     }
 
 
-def invoke_rules(writes: DataFrame) -> DataFrame:
-    """Missing, falling and repeated invoke ids per channel. Every id seen is remembered."""
-    return _along(writes.select("line", "src", "dst", "invoke"), _invokes()).select("line", *[c.alias(n) for n, c in _invoke_columns().items()])
+def _with_memory(found: DataFrame, writes: DataFrame, memory: int | None) -> DataFrame:
+    """Ids that a channel has forgotten count as new again: channels with more ids than it
+    remembers are read once more, with that memory."""
+    if memory is None:
+        return found
+    ids = writes.where("invoke IS NOT NULL").select("line", exact_key(F.col("src"), F.col("dst")).alias("key"), F.col("invoke").alias("value"))
+    many = ids.select("key", "value").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > memory).select("key")
+    if many.isEmpty():
+        return found
+    again = carried.forgetful_repeats(ids.join(many, "key"), memory)
+    return found.join(again, "line", "left").withColumn("duplicate_write_invoke_id", F.coalesce("again", "duplicate_write_invoke_id")).drop("again")
+
+
+def invoke_rules(writes: DataFrame, memory: int | None = INVOKE_MEMORY) -> DataFrame:
+    """Missing, falling and repeated invoke ids per channel, which remembers the last ``memory`` ids it took in."""
+    found = _along(writes.select("line", "src", "dst", "invoke"), _invokes()).select("line", *[c.alias(n) for n, c in _invoke_columns().items()])
+    return _with_memory(found, writes, memory)
 
 
 def _ctls() -> tuple[dict, dict]:
@@ -172,11 +175,12 @@ def ctl_rules(writes: DataFrame) -> DataFrame:
     return _along(known, _ctls()).select("line", *[c.alias(n) for n, c in _ctl_columns().items()])
 
 
-def write_rules(writes: DataFrame, timeout_us: int = 15 * SECOND) -> DataFrame:
+def write_rules(writes: DataFrame, timeout_us: int = 15 * SECOND, memory: int | None = INVOKE_MEMORY) -> DataFrame:
     """The columns of pairing (but pending), invoke_rules and ctl_rules for every write, in one pass."""
     rows = writes.select("line", *PAIR, "action", "us", "invoke", "origin")
     found = _along(rows, _steps(), _invokes(), _ctls())
-    return found.select("line", *[c.alias(n) for n, c in {**_pair_columns(timeout_us), **_invoke_columns(), **_ctl_columns()}.items()])
+    found = found.select("line", *[c.alias(n) for n, c in {**_pair_columns(timeout_us), **_invoke_columns(), **_ctl_columns()}.items()])
+    return _with_memory(found, writes, memory)
 
 
 # -- origins ------------------------------------------------------------------------------
@@ -188,11 +192,12 @@ def allowed_origin(writes: DataFrame) -> DataFrame:
     The leader changes only when another origin's count exceeds the leader's, so it is the
     origin that first reached the highest count so far.
     """
-    named = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "")
-    counted = running_by_key(named.select("line", "origin"), ["origin"], {"k": ("sum", F.lit(1).cast("bigint"))}, ["line"])
-    first = F.row_number().over(Window.partitionBy("k").orderBy("line")) == 1
-    marked = counted.withColumn("leader", F.when(first, F.col("origin")))
-    return last_before(marked, "leader", "allowed").select("line", "origin", "allowed")
+    line, block = F.col("line"), ordering.line_block()
+    named = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "").select("line", "origin")
+    counted = running_values(named, {"origin": F.col("origin")}, {"k": ("origin", "sum", F.lit(1).cast("bigint"), True)}, (line,), line, block)
+    first_of_highest = F.struct(F.col("k"), (-line).alias("since"), F.col("origin"))
+    led = running_values(counted, {"all": F.lit("")}, {"top": ("all", "max", first_of_highest, False)}, (line,), line, block)
+    return led.select("line", "origin", F.col("top.origin").alias("allowed"))
 
 
 def origin_rule(writes: DataFrame) -> DataFrame:
@@ -210,10 +215,10 @@ def known_origins(writes: DataFrame, trained: DataFrame | None = None) -> DataFr
 
 def unknown_identities(identities: DataFrame, writes: DataFrame, out: str, trained: DataFrame | None = None) -> DataFrame:
     """line, out: whether the line names an identity that no write up to it has used, though
-    some origin was known. identities: line, identity (several rows a line)."""
+    some origin was known; an empty identity is known to none. identities: line, identity (several rows a line)."""
     known = known_origins(writes, trained)
     start = known.agg(F.min("since").alias("start"))
-    rows = identities.where(F.coalesce(F.col("identity"), F.lit("")) != "").join(known, F.col("identity") == F.col("origin"), "left").crossJoin(F.broadcast(start))
+    rows = identities.where(F.col("identity").isNotNull()).join(known, F.col("identity") == F.col("origin"), "left").crossJoin(F.broadcast(start))
     unknown = (F.col("line") >= F.col("start")) & F.coalesce(F.col("since") > F.col("line"), F.lit(True))
     return rows.groupBy("line").agg(F.coalesce(F.max(unknown), F.lit(False)).alias(out))
 
@@ -228,7 +233,9 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
     only learned ones make origins and counters known; all of them answer reports. Adds
     report_origin_not_seen_in_writes, report_ctlnum_regression,
     report_ctlnum_below_write_baseline, report_ctlnum_not_seen_in_writes,
-    report_without_matching_write and unmatched_severity.
+    report_without_matching_write and unmatched_severity. All running values come from one shuffle.
+    A report is answered by the last write before it that isn't later by time, if that is within
+    ``match_us``; while times rise that is the last write, for the rest see ``carried.answered``.
     """
     named = entries.where(F.coalesce(F.col("origin"), F.lit("")) != "")
     learned = F.col("learned") if "learned" in writes.columns else F.lit(True)
@@ -241,16 +248,27 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
         F.when(F.col("_learned"), F.col("ctl")).alias("wctl"), F.when(F.col("ctl").isNotNull(), F.col("us")).alias("wus"), F.col("_learned").cast("int").alias("names"),
     )
     both = e.unionByName(w)
-    order, c = ("line", "side", "pos"), F.col
-    seen = running_by_key(both, ["origin"], {"low": ("min", c("wctl")), "high": ("max", c("wctl")), "seen": ("max", c("names"))}, order)
-    seen = running_by_key(seen, ["origin", "ctl"], {"used": ("sum", c("wctl").isNotNull().cast("bigint"))}, order)
-    seen = running_by_key(seen, ["src", "dst", "origin"], {"report_high": ("max", F.when(c("side") == 1, c("ctl")))}, order, inclusive=False)
-    seen = running_by_key(seen, ["src", "dst", "origin", "ctl"], {"last_write": ("last", c("wus"))}, order)
-    rows = seen.where("side = 1").crossJoin(F.broadcast(first))
+    order, c = tuple(map(F.col, ("line", "side", "pos"))), F.col
+    counted = c("ctl").isNotNull()
+    keys = {
+        "origin": c("origin"), "counter": F.when(counted, exact_key(c("origin"), c("ctl"))), "party": exact_key(c("src"), c("dst"), c("origin")),
+        "match": F.when(counted & c("us").isNotNull(), exact_key(c("src"), c("dst"), c("origin"), c("ctl"))),
+    }
+    wanted = {
+        "low": ("origin", "min", c("wctl"), True), "high": ("origin", "max", c("wctl"), True), "seen": ("origin", "max", c("names"), True),
+        "used": ("counter", "sum", c("wctl").isNotNull().cast("bigint"), True), "report_high": ("party", "max", F.when(c("side") == 1, c("ctl")), False),
+        "last_write": ("match", "last", c("wus"), False), "latest": ("match", "max", c("us"), False),
+    }
+    seen = running_values(both, keys, wanted, order, F.struct(*order), ordering.line_block())
+    seen = materialize(seen.withColumn("key", keys["match"]), "reports")
+    rows = seen.where("side = 1").crossJoin(F.broadcast(first)).withColumn("answered", F.lit(None).cast("boolean"))
+    if not seen.where("us < latest").isEmpty():  # the clock went back somewhere
+        timed = seen.where("key IS NOT NULL").select("key", "line", "side", "pos", "us", c("last_write").alias("was"), c("latest").alias("high"))
+        rows = rows.drop("answered").join(carried.answered(timed, match_us), ["line", "pos"], "left")
     no = F.lit(False)
     started, unknown, has = F.coalesce(F.col("start") <= F.col("line"), no), F.col("seen") == 0, F.col("ctl").isNotNull()
     since = F.col("us") - F.col("last_write")
-    matched = F.coalesce(since.between(0, match_us), no)
+    matched = F.coalesce("answered", since.between(0, match_us), no)
     excused = no if strict else F.col("used") > 0
     unmatched = has & ~matched & ((started & unknown) | ~excused)
     rule = {
@@ -267,13 +285,15 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
 def report_sequence(entries: DataFrame, reset_us: int = 120 * SECOND, tolerance: int = 2) -> DataFrame:
     """line, report_seq_regression, report_seq_duplicate. entries: line, us, key, seq, one row
     for each key of a line. Silence longer than reset_us begins a new session of a key."""
-    w = by_line("key")
-    gap = F.col("us") - F.lag("us").over(w)
-    session = entries.withColumn("new", F.coalesce((gap > reset_us).cast("int"), F.lit(0)))
-    session = session.withColumn("session", F.sum("new").over(so_far(w)))
-    high = F.max("seq").over(before(by_line("key", "session")))
-    no = F.lit(False)
-    return session.select(
+    line, key, block, no = F.col("line"), {"key": F.col("key")}, ordering.line_block(), F.lit(False)
+    along = lambda df, wanted: running_values(df, key, wanted, (line,), line, block)
+    rows = along(entries.select("line", "key", "us", "seq"), {"was": ("key", "last", F.struct("us"), False)})
+    new = F.coalesce(F.col("us") - F.col("was.us") > reset_us, no)
+    rows = along(rows.withColumn("new", new).drop("was"), {"began": ("key", "max", F.when(F.col("new"), line), True)})
+    # the largest (session, number) before is of the latest session: a maximum that starts anew with each
+    rows = along(rows.withColumn("session", F.struct("began", "seq")), {"top": ("key", "max", F.col("session"), False)})
+    high = F.when(F.col("top.began").eqNullSafe(F.col("began")), F.col("top.seq"))
+    return rows.select(
         "line", "key", F.coalesce(high - F.col("seq") > tolerance, no).alias("report_seq_regression"), F.coalesce(high == F.col("seq"), no).alias("report_seq_duplicate")
     )
 
@@ -319,37 +339,15 @@ def with_scores(rows: DataFrame) -> DataFrame:
 def suppress(alerts: DataFrame, quiet_us: int = 30 * SECOND, key: str = "fingerprint") -> DataFrame:
     """Add suppressed: a repeat within ``quiet_us`` of the last one of its key that was sent.
 
-    Whether a row is sent hangs on the last sent row, not on the last row, so windows can't
-    say it. Rows further apart than quiet_us from all before them are always sent; so each
-    key falls into independent bursts at such gaps. Bursts are sorted, and read as a stream
-    with the last sent time as its only state, so that one of any length fits in a task.
+    Whether a row is sent hangs on the last sent row, not on the last row, so windows can't say
+    it. Blocks of a key are step functions of the time last sent, which are composed
+    (``carried.quiet_repeats``), so that a key or a burst of any length is spread over tasks.
     """
-    ship(alerts.sparkSession)
     timed = alerts.where(F.col("us").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "line", "us")
-    before_it = running_by_key(timed, ["key"], {"high": ("max", F.col("us"))}, ["line"], inclusive=False)
-    apart = F.coalesce((F.col("us") - F.col("high") >= quiet_us).cast("bigint"), F.lit(1).cast("bigint"))
-    bursts = running_by_key(before_it, ["key"], {"burst": ("sum", apart)}, ["line"]).select("key", "burst", "line", "us")
-    quiet = bursts.repartition("key", "burst").sortWithinPartitions("key", "burst", "line").mapInPandas(_quiet(quiet_us), "line bigint")
+    quiet = carried.quiet_repeats(timed, quiet_us)
     return alerts.join(quiet.withColumn("suppressed", F.lit(True)), "line", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
-def _quiet(quiet_us: int):
-    """Lines of sorted bursts that come within quiet_us of the last one sent."""
-
-    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        burst, sent = None, 0
-        for part in parts:
-            hushed = []
-            for own, line, us in zip(zip(part["key"], part["burst"], strict=True), part["line"].tolist(), part["us"].tolist(), strict=True):
-                if own == burst and us - sent < quiet_us:
-                    hushed.append(line)
-                else:
-                    burst, sent = own, us
-            yield pd.DataFrame({"line": hushed}, dtype="int64")
-
-    return lines
-
-
 def emitted(alerts: DataFrame, emit_all: bool = False) -> DataFrame:
     return alerts if emit_all else alerts.where((F.col("final_tag") != TAGS[0]) & ~F.col("suppressed"))
 

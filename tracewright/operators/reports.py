@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import entity_prefix
+from . import ordering
 from .ordering import dense_numbers, running_sums
 
 SECOND = 1_000_000
@@ -23,12 +24,9 @@ def packets(attacks: DataFrame) -> DataFrame:
     )
 
 
-BLOCK_US = 24 * 60 * MINUTE
-
-
-def _block() -> Column:
-    """Blocks of time; rows without a time stand before all others."""
-    return F.coalesce(F.floor(F.col("us") / BLOCK_US), F.lit(-(1 << 60)))
+def _block(rows: DataFrame) -> Column:
+    """Blocks of time that hold ordering.BLOCK rows on the average; rows without a time stand before all others."""
+    return F.when(F.col("us").isNotNull(), ordering.time_block(rows)).otherwise(F.lit(-(1 << 62)) + ordering.line_block())
 
 
 def sessions(rows: DataFrame, gap_us: int) -> DataFrame:
@@ -36,12 +34,13 @@ def sessions(rows: DataFrame, gap_us: int) -> DataFrame:
 
     Rows are ordered within blocks of time; only the blocks' last times and counts are ordered as a whole.
     """
-    blocks = rows.withColumn("_at", _block())
+    block = _block(rows)
+    blocks = rows.withColumn("_at", block)
     ends = blocks.groupBy("_at").agg(F.max("us").alias("_end"))
     carried = ends.select("_at", F.max("_end").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
     previous = F.coalesce(F.lag("us").over(Window.partitionBy("_at").orderBy("us", "line")), F.col("_prior"))
     marked = blocks.join(carried, "_at").withColumn("_new", F.coalesce((F.col("us") - previous > gap_us).cast("int"), F.lit(1)))
-    numbered = running_sums(marked.drop("_at", "_prior"), {"_new": "session"}, F.struct("us", "line"), _block())
+    numbered = running_sums(marked.drop("_at", "_prior"), {"_new": "session"}, F.struct("us", "line"), block)
     return numbered.withColumn("session", F.col("session").cast("int")).drop("_new")
 
 
@@ -66,7 +65,8 @@ def sequences(attacks: DataFrame, gap_us: int = 30 * MINUTE) -> DataFrame:
 
 
 def packet_summary(attacks: DataFrame) -> DataFrame:
-    rows = dense_numbers(packets(attacks), "seq", F.struct("us", "line"), _block()).withColumn("seq", F.col("seq").cast("int"))
+    found = packets(attacks)
+    rows = dense_numbers(found, "seq", F.struct("us", "line"), _block(found)).withColumn("seq", F.col("seq").cast("int"))
     return rows.select("seq", "line", "us", "src", "dst", "origin", F.array_join("objects", "; ").alias("objects"), F.array_join("kinds", ", ").alias("kinds"), F.size("objects").alias("n_objects"))
 
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import dense_numbers
+from . import ordering
+from .ordering import dense_numbers, group_places, running_by_key, time_block
 
 SECOND = 1_000_000
 #: Tags that make a row a seed.
@@ -31,45 +32,55 @@ def clusters(events: DataFrame, gap_us: int = 30 * SECOND) -> DataFrame:
 
 
 def with_places(events: DataFrame) -> DataFrame:
-    order = Window.partitionBy("grp").orderBy(F.col("us").asc_nulls_last(), "line")
-    return events.withColumn("pos", F.row_number().over(order) - 1)
+    return group_places(events, "pos")
+
+
+def _by_place(place: Column) -> Column:
+    return F.floor(place / ordering.BLOCK)
 
 
 def cluster_seeds(placed: DataFrame, gap_us: int) -> DataFrame:
-    seeds = placed.where("seed")
-    order = Window.partitionBy("grp").orderBy("pos")
-    new = F.coalesce((F.col("us") - F.lag("us").over(order) > gap_us).cast("int"), F.lit(1))
-    return seeds.select("line", "grp", "pos", "us", new.alias("new")).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    seeds = placed.where("seed").select("line", "grp", "pos", "us")
+    before = running_by_key(seeds, ["grp"], {"was": ("last", F.struct("us"))}, ["pos"], inclusive=False, block=_by_place(F.col("pos")))
+    new = F.coalesce((F.col("us") - F.col("was.us") > gap_us).cast("bigint"), F.lit(1).cast("bigint"))
+    return running_by_key(before, ["grp"], {"cluster": ("sum", new)}, ["pos"], block=_by_place(F.col("pos"))).drop("was")
 
 
 def number_scenarios(seeds: DataFrame) -> DataFrame:
-    """One row per cluster, numbered over groups and clusters; only groups are ordered as a whole."""
+    """One row per cluster, numbered over groups and clusters."""
     spans = seeds.groupBy("grp", "cluster").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.count(F.lit(1)).alias("seeds"), F.min("line").alias("core_start"), F.max("line").alias("core_end"),
     )
-    numbered = dense_numbers(spans, "no", F.struct("grp", "cluster"), F.struct("grp"))
+    numbered = dense_numbers(spans, "no", F.struct("grp", "cluster"), F.struct(F.col("grp"), F.floor(F.col("cluster") / 1024)))
     return numbered.withColumn("no", F.col("no").cast("int")).withColumn("scenario", F.format_string("scenario_%04d", F.col("no")))
 
 
-def _within(rows: DataFrame, spans: DataFrame, value: str, low: Column, high: Column, width: int) -> DataFrame:
-    """(no, line) of the rows whose value lies in a span of their group.
+def _sweep(rows: DataFrame, spans: DataFrame, value: Column, low: Column, high: Column, block: Column) -> DataFrame:
+    """(grp, line, cluster) of the rows whose value lies in the span of a cluster of their group.
 
-    Values are cut into bins; a span goes to each bin it touches, so that rows meet the spans
-    near them by an equality, not all spans of their group.
+    A group's clusters follow each other, so their spans begin and end in the same order: a row is
+    within those that have begun up to it and haven't ended before it. Both are running counts
+    over rows, beginnings and ends, so a span of any length costs two rows. ``block`` is
+    a function of the column ``us``, which stands for the value here.
     """
-    bins = spans.select("no", "grp", low.alias("low"), high.alias("high"))
-    bins = bins.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    binned = rows.select("line", "grp", F.col(value).alias("value"), F.floor(F.col(value) / width).alias("bin"))
-    return binned.join(bins, ["grp", "bin"]).where("value BETWEEN low AND high").select("no", "line")
+    point = lambda df, at, kind, line: df.select("grp", at.alias("us"), F.lit(kind).alias("kind"), line.cast("bigint").alias("line"))
+    none = F.lit(None)
+    every = point(rows, value, 1, F.col("line")).unionByName(point(spans, low, 0, none)).unionByName(point(spans, high, 2, none))
+    count = lambda kind: ("sum", (F.col("kind") == kind).cast("bigint"))
+    met = running_by_key(every, ["grp"], {"begun": count(0), "ended": count(2)}, ["us", "kind", "line"], block=block)
+    inside = met.where((F.col("kind") == 1) & (F.col("begun") > F.col("ended")))
+    return inside.select("grp", "line", F.explode(F.sequence(F.col("ended") + 1, F.col("begun"))).alias("cluster"))
 
 
 def members(placed: DataFrame, spans: DataFrame, places: int = 4, around_us: int = 15 * SECOND) -> DataFrame:
-    """(no, line) of the rows within so many places, or so much time, of a cluster: two joins with one range each."""
-    by_place = _within(placed, spans, "pos", F.col("first_pos") - places, F.col("last_pos") + places, max(64, 8 * places))
-    timed = spans.where("first_us IS NOT NULL")
-    by_time = _within(placed.where("us IS NOT NULL"), timed, "us", F.col("first_us") - around_us, F.col("last_us") + around_us, max(SECOND, 8 * around_us))
-    return by_place.union(by_time).distinct()
+    """(no, line) of the rows within so many places, or so much time, of a cluster: one sweep for each."""
+    by_place = _sweep(placed, spans, F.col("pos"), F.col("first_pos") - places, F.col("last_pos") + places, _by_place(F.col("us")))
+    timed = placed.where("us IS NOT NULL")
+    by_time = _sweep(timed, spans.where("first_us IS NOT NULL"), F.col("us"), F.col("first_us") - around_us, F.col("last_us") + around_us, time_block(timed))
+    own = spans.select(F.col("grp").alias("_grp"), F.col("cluster").alias("_cluster"), "no")
+    either = by_place.union(by_time).distinct()
+    return either.join(own, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("cluster") == F.col("_cluster"))).select("no", "line")
 
 
 def label(events: DataFrame, gap_us: int = 30 * SECOND, places: int = 4, around_us: int = 15 * SECOND) -> tuple[DataFrame, DataFrame]:

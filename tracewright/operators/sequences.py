@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
 
 #: Label columns by preference, after the one that is asked for.
 LABEL_COLUMNS = ("supervised_is_anomaly", "is_anomaly")
@@ -26,18 +27,24 @@ def windows(rows: DataFrame, features: Sequence[str], size: int = 8, step: int =
     rows: grp, us, line, label and the features. A group needs max(size, least) rows. The
     label is the last row's, or with mode "any" the largest (then a window with a missing
     label is dropped). Steps stay an array of structs, oldest first; ``flatten`` widens it.
+    A group's rows are dealt into blocks by their places, and each block hands its last rows, as
+    many as a window needs of them, to the next one, so a group of any size is spread over tasks.
     """
-    order = Window.partitionBy("grp").orderBy(F.col("us").asc_nulls_last(), "line")
-    frame = order.rowsBetween(-(size - 1), 0)
-    placed = rows.withColumn("end_index", F.row_number().over(order) - 1).withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy("grp")))
+    block = max(ordering.BLOCK, size)
+    placed = ordering.group_places(rows, "end_index").withColumns({"_block": F.floor(F.col("end_index") / block), "_own": F.lit(True)})
+    if least > size:
+        groups = rows.groupBy(F.col("grp").alias("_grp")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
+        placed = placed.join(groups, F.col("grp").eqNullSafe(F.col("_grp")), "left_semi")
+    ahead = placed.where(F.col("end_index") % block > block - size).withColumns({"_block": F.col("_block") + 1, "_own": F.lit(False)})
+    frame = Window.partitionBy("grp", "_block").orderBy("end_index").rowsBetween(-(size - 1), 0)
     framed = (
-        placed.withColumn("steps", F.collect_list(F.struct(*features)).over(frame))
+        placed.unionByName(ahead).withColumn("steps", F.collect_list(F.struct(*features)).over(frame))
         .withColumn("start_line", F.first("line").over(frame))
         .withColumn("positives", F.coalesce(F.sum(label).over(frame), F.lit(0)))
         .withColumn("missing", F.sum(F.col(label).isNull().cast("int")).over(frame))
         .withColumn("any_label", F.max(label).over(frame))
     )
-    full = framed.where((F.col("end_index") >= size - 1) & ((F.col("end_index") - (size - 1)) % step == 0) & (F.col("group_rows") >= max(size, least)))
+    full = framed.where(F.col("_own") & (F.col("end_index") >= size - 1) & ((F.col("end_index") - (size - 1)) % step == 0))
     full = full.where("missing = 0") if mode == "any" else full.where(F.col(label).isNotNull())
     return full.select(
         "grp", (F.col("end_index") - (size - 1)).alias("start_index"), "end_index", "start_line", F.col("line").alias("end_line"), F.col("us").alias("end_us"),

@@ -99,6 +99,19 @@ def t1_t5_statistical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(found, "stat_score").select("line", "stat_score", F.array_join("stat_reasons", ";").alias("stat_reasons"))
 
 
+@query(f"""{T}, {IA}, {SZ}, {RT} SELECT channel, 'interarrival' AS metric, {ROUNDED} FROM ia UNION ALL SELECT channel, 'size', {ROUNDED} FROM sz WHERE n > 0 UNION ALL SELECT channel, 'rate', {ROUNDED} FROM rt""")
+def b8_merged_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training prefix in three batches, whose states are merged one after the other."""
+    train = materialize(_train(spark, sf_dir).select("line", "us", "src", "dst", "direction", "service", "size", "origin", "ctl", "write"), "training-prefix")
+    at = train.agg(F.min("line"), F.max("line")).first()
+    low, high = at[0] or 0, at[1] or 0
+    cuts = [low + (high - low) // 3, low + 2 * (high - low) // 3]
+    parts = [train.where(F.col("line") <= cuts[0]), train.where((F.col("line") > cuts[0]) & (F.col("line") <= cuts[1])), train.where(F.col("line") > cuts[1])]
+    states = [baseline.baseline_state(p, WINDOW, DAY) for p in parts]
+    merged = baseline.merge_states(baseline.merge_states(states[0], states[1], DAY), states[2], DAY)
+    return _round(baseline.state_tables(merged)["channel_stats"], "mean", "std").select("channel", "metric", "n", "mean", "std")
+
+
 PAIR = f"""st AS (SELECT *, lag(action) OVER k AS was, lag(us) OVER k AS was_us, lead(action) OVER k AS nxt FROM w WINDOW k AS (PARTITION BY src, dst, object, ctl ORDER BY line)),
 pr AS (SELECT *, action = 'Oper' AND coalesce(was <> 'SBOw', true) AS lonely, CASE WHEN action = 'Oper' AND was = 'SBOw' THEN us - was_us END AS delay_us FROM st)"""
 
@@ -154,7 +167,7 @@ def p14_unknown_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     other = F.concat(F.lit("g"), (F.col("ctl") % 9).cast("string"))
     named = e.where("report").select("line", F.explode(F.array("origin", other)).alias("identity"))
-    return protocol.unknown_identities(named, e.where("write"), "unexpected_octet_identity_in_control_context")
+    return protocol.unknown_identities(named.where("identity <> ''"), e.where("write"), "unexpected_octet_identity_in_control_context")
 
 
 def _entries(e: DataFrame) -> DataFrame:
@@ -278,7 +291,7 @@ def p14_octet_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = e.select("line", "user_id", "ctl").select("line", named.alias("access_result"), (k % 4 == 1).cast("int").alias("is_control"), (k % 2 == 0).alias("hint"))
     raw = raw_events(spark, sf_dir).drop("access_result").join(said, "line").withColumn("variables", F.when(F.col("hint"), F.col("variables")).otherwise("[]"))
     found = normalize.payload_values(raw).select("line", F.explode("identities").alias("identity"))
-    return protocol.unknown_identities(found, e.where("write"), "unexpected_octet_identity_in_control_context")
+    return protocol.unknown_identities(found.where("identity <> ''"), e.where("write"), "unexpected_octet_identity_in_control_context")
 
 
 @query()

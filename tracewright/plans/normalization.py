@@ -184,3 +184,12 @@ SELECT line FROM st WHERE action = 'Oper' AND coalesce(was <> 'SBOw', true)""")
 def stream_unpaired_operates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairing rule as a stateful stream."""
     return detector.replay_unpaired(spark, f"{sf_dir}/events.parquet", shared_path(spark, "stream"))
+
+
+@query(f"""WITH e AS ({EVENTS}), w AS (SELECT * FROM e WHERE write), st AS (SELECT line, action, us - lag(us) OVER k AS delay, lag(action) OVER k AS was, lead(action) OVER k AS nxt FROM w WINDOW k AS (PARTITION BY src, dst, object, ctl ORDER BY line))
+SELECT line, CASE WHEN action = 'SBOw' THEN 'sbow_without_matching_oper' WHEN coalesce(was <> 'SBOw', true) THEN 'oper_without_matching_sbow' ELSE 'late_oper' END AS reason,
+  CASE WHEN action = 'Oper' AND was = 'SBOw' THEN delay END AS delay_us FROM st
+WHERE action = 'SBOw' AND nxt IS NULL OR action = 'Oper' AND (coalesce(was <> 'SBOw', true) OR delay > {3 * HOUR})""")
+def stream_paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selects and operates as a stream by event time; what is armed at the end is told when the watermark passes it."""
+    return detector.replay_paired(spark, f"{sf_dir}/events.parquet", shared_path(spark, "stream"), 3 * HOUR, 10_000 * 24 * HOUR)
