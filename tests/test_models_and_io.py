@@ -270,3 +270,32 @@ def test_windows_of_a_hot_group_are_a_loops(spark, monkeypatch, block):
                     want.add((g, e - size + 1, e, part[0][0], part[-1][0], sum(x or 0 for x in labels), label, tuple(x[3] for x in part)))
         got = {(x["grp"], x["start_index"], x["end_index"], x["start_line"], x["end_line"], x["positives"], x["label"], tuple(s["x"] for s in x["steps"])) for x in sequences.windows(df, ["x"], size, step, least, mode=mode).collect()}
         assert got == want
+
+
+def test_a_quoted_csv_is_split_anywhere(spark, tmp_path):
+    """Line breaks and quotes in fields, blank lines, two files, and columns by name, over many splits."""
+    import csv
+
+    r = random.Random(15)
+    texts = ["plain", "", 'say "x"', "two\nlines", "a\r\nb", '"', '""\n"', "é, ü", "\n\n", " padded ", "x" * 300, None]
+    rows = [(i, r.choice(texts), r.choice(texts), round(r.random(), 3)) for i in range(600)]
+    for part, line in ((0, "\n"), (1, "\r\n")):
+        with (tmp_path / f"f{part}.csv").open("w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=line)
+            w.writerow(["n", "unused", "t", "u", "v"])
+            w.writerows([i, "z", *rest] for i, *rest in rows[part * 300 : part * 300 + 300])
+            f.write(line)  # a blank line at the end
+    schema, path = "n long, v double, t string, u string, missing string", f"file://{tmp_path}"
+    # as Python's reader has it; Spark's own makes one line break of those in a quoted field
+    want = sorted(str((i, v, t or None, u or None, None)) for i, t, u, v in rows)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = io.read_csv(spark, path, schema)
+        assert io.csv_records(spark, path).select("file", "place.split").distinct().count() > 40
+        assert sorted(str(tuple(x)) for x in got.collect()) == want and len(want) == 600
+        assert [x["u"] for x in io.read_csv(spark, path, schema, ["u", "n"]).where("n = 7").collect()] == [rows[7][2] or None]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])

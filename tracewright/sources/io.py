@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import running_by_key
+
 #: Columns of a raw capture, all read as text; nested ones hold JSON.
 RAW_COLUMNS = (
     "wtimestamp", "timestamp", "direction", "service", "pdu_type", "src_ip", "dst_ip", "stream_id", "session_id",
@@ -18,11 +20,50 @@ RAW_COLUMNS = (
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
+CSV = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, number (from 1 in its file) and record: the records of CSV files, however many
+    lines their quoted fields span, also where a file is read by many tasks.
+
+    Lines are read as text, which splits a file anywhere. A line begins a record if the number of
+    quotes before it in its file is even. That number is a running sum within a split, and over
+    the splits' totals; only the lines of records that span several are brought together.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("record"), F.col("value")
+    )
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long")
+    counted = running_by_key(lines.withColumn("quotes", quotes), ["file"], {"before": ("sum", F.col("quotes"))}, ["at"], inclusive=False, block=F.col("split"))
+    begins = F.col("before") % 2 == 0
+    alone = begins & (F.col("quotes") % 2 == 0)
+    counted = counted.withColumns({"begins": begins, "alone": alone}).where(~(F.col("alone") & (F.trim("record") == "")))
+    wanted = {"number": ("sum", F.col("begins").cast("long")), "place": ("last", F.when(F.col("begins"), F.struct("split", "at")))}
+    placed = running_by_key(counted, ["file"], wanted, ["at"], block=F.col("split"))
+    parts = placed.where(~F.col("alone")).groupBy("file", "place").agg(F.max("number").alias("number"), F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("parts"))
+    joined = F.rtrim(F.array_join(F.transform("parts", lambda x: x["value"]), "\n"), F.lit("\r"))
+    return placed.where("alone").select("file", "place", "number", "record").unionByName(parts.select("file", "place", "number", joined.alias("record")))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV with a header and fields of any length; ``columns`` reads just those."""
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1, "enforceSchema": False}
-    found = spark.read.schema(schema).options(**options).csv(path)
-    return found.select(*columns) if columns else found
+    """CSVs with a header and fields of any length, quotes and line breaks within; ``columns``
+    reads just those. Columns are found by their names in the header, which the files share.
+
+    A file of any size is read by many tasks (``csv_records``).
+    """
+    declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType for f in declared}
+    header = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in column_names(spark, path)])
+    found = csv_records(spark, path).where("number > 1").select(F.from_csv("record", _ddl(header), CSV).alias("r"))
+    value = lambda f: F.col("r").getField(f.name) if f.name in header.fieldNames() else F.lit(None)
+    wanted = [f for f in declared if columns is None or f.name in columns]
+    out = found.select(*[value(f).cast(f.dataType).alias(f.name) for f in wanted])
+    return out.select(*columns) if columns else out
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in schema)
 
 
 def column_names(spark: SparkSession, path: str) -> list[str]:
