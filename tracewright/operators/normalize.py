@@ -1,7 +1,7 @@
 """Nested records become flat tables.
 
 Known shapes are read with from_json and struct access. Values of unknown depth
-({type, value} trees) are flattened in pre-order by one pandas UDF, on the few rows that
+({type, value} trees) are flattened in pre-order by one Arrow UDF, on the few rows that
 have a control hint; everything else on top of that is higher-order functions.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,36 +159,53 @@ WALK = T.ArrayType(
 )
 
 
-def _walk(value, item: int, depth: int, out: list) -> None:
-    if isinstance(value, dict):
-        kind, v = value.get("type"), value.get("value")
-        if isinstance(kind, str) and not isinstance(v, dict | list):
-            flag = isinstance(v, bool)
-            out.append((item, depth, kind, v if isinstance(v, str) else None, v if isinstance(v, int) and not flag else None, v if flag else None))
-        elif isinstance(kind, str):
-            out.append((item, depth, kind, None, None, None))
-        for x in value.values():
-            _walk(x, item, depth + 1, out)
-    elif isinstance(value, list):
-        for i, x in enumerate(value):
-            _walk(x, i if depth == 0 else item, depth + 1, out)
-    elif isinstance(value, str):
-        out.append((item, depth, "", value, None, None))
-
-
-@F.pandas_udf(WALK)
-def walk_tree(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
+class Walked:
+    """Nodes of some trees, column by column."""
+
+    def __init__(self):
+        self.item, self.depth, self.type, self.sval, self.ival, self.bval = [], [], [], [], [], []
+
+    def add(self, item: int, depth: int, kind: str, value) -> None:
+        flag, text = isinstance(value, bool), isinstance(value, str)
+        whole = isinstance(value, int) and not flag and -(1 << 63) <= value < 1 << 63
+        self.item.append(item)
+        self.depth.append(depth)
+        self.type.append(kind)
+        self.sval.append(value if text else None)
+        self.ival.append(value if whole else None)
+        self.bval.append(value if flag else None)
+
+    def walk(self, value, item: int, depth: int) -> None:
+        if isinstance(value, dict):
+            kind = value.get("type")
+            if isinstance(kind, str):
+                self.add(item, depth, kind, value.get("value"))
+            for x in value.values():
+                self.walk(x, item, depth + 1)
+        elif isinstance(value, list):
+            for i, x in enumerate(value):
+                self.walk(x, i if depth == 0 else item, depth + 1)
+        elif isinstance(value, str):
+            self.add(item, depth, "", value)
+
+    def array(self, ends: list[int]) -> pa.Array:
+        kinds = {"item": pa.int32(), "depth": pa.int32(), "type": pa.string(), "sval": pa.string(), "ival": pa.int64(), "bval": pa.bool_()}
+        nodes = pa.StructArray.from_arrays([pa.array(getattr(self, n), k) for n, k in kinds.items()], names=list(kinds))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+
+
+@F.arrow_udf(WALK)
+def walk_tree(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Typed values, and plain strings with type "", in pre-order; item is the top-level place."""
     for part in raw:
-        rows = []
-        for text in part:
-            out: list = []
+        found, ends = Walked(), [0]
+        for text in part.to_pylist():
             try:
-                _walk(json.loads(text), -1, 0, out) if text else None
+                found.walk(json.loads(text), -1, 0) if text else None
             except ValueError:
                 pass
-            rows.append([dict(zip(("item", "depth", "type", "sval", "ival", "bval"), x, strict=True)) for x in out])
-        yield pd.Series(rows)
+            ends.append(len(found.item))
+        yield found.array(ends)
 
 
 def of_type(walked: Column, kind: str, field: str) -> Column:

@@ -92,11 +92,23 @@ SELECT line, round(least(100, (CASE WHEN a THEN least(25, 5 + 4 * (zi - 3)) ELSE
   concat_ws(';', CASE WHEN a THEN 'interarrival_outlier' END, CASE WHEN b THEN 'payload_size_outlier' END, CASE WHEN c THEN 'rare_service_combo' END,
     CASE WHEN d THEN 'rate_spike' END, CASE WHEN g THEN 'unknown_channel_rate_spike' END) AS stat_reasons FROM f""")
 def t1_t5_statistical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scored(spark, sf_dir)
+    return _round(found, "stat_score").select("line", "stat_score", F.array_join("stat_reasons", ";").alias("stat_reasons"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = materialize(baseline.with_channel(_train(spark, sf_dir)).select("line", "us", "src", "dst", "direction", "service", "size"), "training-prefix")
     stats = baseline.interarrival_stats(train, DAY).withColumn("metric", F.lit("interarrival"))
     stats = stats.unionByName(baseline.size_stats(train).withColumn("metric", F.lit("size"))).unionByName(baseline.rate_stats(train, WINDOW).withColumn("metric", F.lit("rate")))
-    found = statistical.score(events(spark, sf_dir), baseline.service_probability(train), stats, WINDOW)
-    return _round(found, "stat_score").select("line", "stat_score", F.array_join("stat_reasons", ";").alias("stat_reasons"))
+    return statistical.score(events(spark, sf_dir), baseline.service_probability(train), stats, WINDOW)
+
+
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, us, label, protocol_score and stat_score of every event: the two rule scores, and whether it is a seed."""
+    w = writes(spark, sf_dir)
+    rows = _scored(spark, sf_dir).drop("final_tag")
+    found = protocol.with_scores(protocol.with_reasons(rows, [protocol.write_rules(w, 3 * HOUR), protocol.origin_rule(w)]))
+    return found.select(F.col("line").alias("id"), "us", F.col("seed").cast("int").alias("label"), "protocol_score", "stat_score")
 
 
 #: Means of a few gaps lie halfway between microseconds, where the order of sums would decide; halves go up.

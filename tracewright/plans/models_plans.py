@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, models, sequences
 from ..session import materialize, table
-from .bind import events
+from .bind import DAY, EVENTS, events
+from .detection import rule_scores
 from .registry import query
 
 FEATURES = ["n_chars", "spaces", "symbols", "capitals"]
@@ -27,12 +28,27 @@ def m6_m7_forest_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.predictions(branch.scored, branch.threshold)
 
 
+def _rules_branch(spark: SparkSession, sf_dir: str) -> models.Branch:
+    rows = materialize(evaluation.chronological_split(rule_scores(spark, sf_dir), bucket_us=DAY), "rule-rows")
+    return models.train_branch(rows, ["protocol_score", "stat_score"])
+
+
 @query()
 def d6_rules_only_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branch = models.train_branch(_documents(spark, sf_dir), ["symbols", "capitals"])
+    """The forest over the two rule scores alone."""
+    branch = _rules_branch(spark, sf_dir)
     return evaluation.predictions(branch.scored, branch.threshold)
 
 
+@query(f"""WITH e AS ({EVENTS}), p AS (SELECT line AS id, seed::INT AS label, row_number() OVER (ORDER BY us, line) AS k, count(*) OVER () AS n FROM e),
+c AS (SELECT *, least(greatest(round_even(n * 0.2, 0)::BIGINT, 1), n - 2) AS t FROM p) SELECT id, label, true AS scored, true AS decided FROM c WHERE k > n - t""")
+def d6_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the branch of the rule scores tells, their labels, and whether score and decision are such."""
+    branch = _rules_branch(spark, sf_dir)
+    rows = evaluation.predictions(branch.scored, branch.threshold)
+    return rows.select("id", "label", F.col("score").between(0, 1).alias("scored"), (F.col("predicted") == (F.col("score") >= branch.threshold).cast("int")).alias("decided"))
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("line", "us", F.col("stream").alias("grp"), F.col("ctl").cast("double").alias("ctl"), "size", (F.col("service") == "error").cast("double").alias("failed"), F.col("seed").cast("int").alias("label"))
     found = sequences.windows(rows, STEPS)
