@@ -38,6 +38,41 @@ def test_classifier_on_held_out_labels(spark):
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_rules_are_the_paths_of_the_trees(spark):
+    """Compiled rules hold for a row exactly where a walk down the trees passes their node."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    r, names = random.Random(21), list(rule_classifier.STATISTICS)
+    rows = [(i, *[r.choice([0.0, 0.1, 0.5, r.random()]) for _ in names]) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(["id long", *[f"{n} double" for n in names]]))
+    label = (F.col(names[0]) + F.col(names[1]) * F.col(names[2]) > 0.6).cast("double")
+    data = df.select(label.alias("label"), array_to_vector(F.array(*names)).alias("features"))
+    forest = RandomForestClassifier(numTrees=4, maxDepth=3, seed=2).fit(data)
+
+    def walked(node, row, path=()):
+        """The bounds of each node on the row's way down."""
+        if path:
+            yield rule_classifier.simplified(list(path))
+        if node.getClass().getSimpleName() != "LeafNode":
+            at, name = float(node.split().threshold()), names[node.split().featureIndex()]
+            above = row[name] > at
+            yield from walked(node.rightChild() if above else node.leftChild(), row, (*path, rule_classifier.Bound(name, above, at)))
+
+    for tree in forest.trees:
+        root = tree._java_obj.rootNode()
+        rules = sorted(set(rule_classifier.tree_rules(root, names)), key=repr)
+        found = df.select("*", F.array(*[rule_classifier.matches(x) for x in rules]).alias("hit")).collect()
+        for row in found[:60]:
+            passed = set(walked(root, row))
+            assert [x in passed for x in rules] == list(row["hit"])
+    model = rule_classifier.Ensemble(tuple((x, 0.5 + i) for i, x in enumerate(rules)), -0.25)
+    for row in df.select("*", model.score().alias("score")).collect()[:60]:
+        z = -0.25 + sum(w for x, w in model.rules if all((row[b.statistic] > b.at) == b.above for b in x))
+        assert abs(row["score"] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 # -- op2 ----------------------------------------------------------------------------------
 
 PARTS = ["a", "b ", "the ", " ", "  ", "\n", "\n\n", "\t", "é", "ñ ", "中", "文", "'s", "'t ", "1", "23", "<|endoftext|>", "<|end", "!!", "　", " ", "\xa0", "\x1c", "\x85", "😀", "\r\n", "x" * 30]
@@ -116,6 +151,16 @@ def test_similar_documents_against_all_pairs(spark, monkeypatch, seed, tile_sets
     assert got == {i: (len(shingles(t)), want[i]) for i, t in enumerate(texts)}
 
 
+def test_common_ngrams_that_are_not_set_apart(spark, monkeypatch):
+    """A passage in a third of all texts, too rare in each chunk to be known as frequent, and copies in many tasks."""
+    monkeypatch.setattr(ngram_join, "IN_CHUNK", 10**9)
+    texts = near_copies(7, 90)
+    texts += texts[:20] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    want = brute_components([shingles(t) for t in texts])
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(docs).collect()} == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("piece", [1 << 17, 40, 3])
 def test_shingles_are_those_of_a_loop(monkeypatch, piece):
     monkeypatch.setattr(shingle_sets, "PIECE", piece)
