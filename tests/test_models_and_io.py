@@ -83,13 +83,6 @@ def test_folds_are_even(scored):
 
 
 def test_global_orders_without_one_partition(spark):
-    r = random.Random(4)
-    rows = [(i, r.choice([None, "a", "b", "c"])) for i in range(500)]
-    got = {x["line"]: x["last"] for x in ordering.last_before(spark.createDataFrame(rows, "line long, v string"), "v", "last", block=F.floor(F.col("line") / 37)).collect()}
-    last, want = None, {}
-    for i, v in rows:
-        want[i], last = last, v or last
-    assert got == want
     df = spark.createDataFrame([(i, i % 7) for i in range(200)], "line long, n long")
     sums = {x["line"]: x["total"] for x in ordering.running_sums(df, {"n": "total"}, F.col("line"), F.floor(F.col("line") / 11)).collect()}
     assert sums == {i: sum(j % 7 for j in range(i + 1)) for i in range(200)}

@@ -19,17 +19,6 @@ def line_block(line: str = "line", size: int | None = None) -> Column:
     return F.floor(F.col(line) / (size or BLOCK))
 
 
-def last_before(df: DataFrame, value: str, out: str, order: str = "line", block: Column | None = None) -> DataFrame:
-    """Add the last non-null value of the rows before each row."""
-    rows = df.withColumn("_block", line_block(order) if block is None else block)
-    known = F.when(F.col(value).isNotNull(), F.col(order))
-    ends = rows.groupBy("_block").agg(F.max_by(value, known).alias("_end"))
-    carried = ends.select("_block", F.last("_end", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("_own", F.last(value, ignorenulls=True).over(within)).join(carried, "_block", "left")
-    return found.withColumn(out, F.coalesce("_own", "_carried")).drop("_block", "_own", "_carried")
-
-
 def running_sums(df: DataFrame, sums: dict[str, str], order: Column, block: Column) -> DataFrame:
     """Add, for each (column, name), the sum of the column up to and with each row.
 
