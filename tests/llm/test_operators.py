@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import decontamination, language_id, mixing, ngram_join, quality_rules, rule_classifier, sharding, token_counts, warc
@@ -215,6 +216,52 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_roots(edges):
+    """The smallest reachable node of each node, by widening sets."""
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    root = {}
+    for start in sorted(near):
+        if start not in root:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in root:
+                    root[x] = start
+                    todo += near[x]
+    return root
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(8)
+    for n, m, parts in ((40, 30, 1), (300, 280, 16), (300, 900, 5)):
+        edges = [(r.randrange(-n, n), r.randrange(-n, n)) for _ in range(m)]
+        hub, path = [(5000 + i, 4000) for i in range(200)], [(9000 + (i * 37) % 101, 9000 + ((i + 1) * 37) % 101) for i in range(100)]
+        edges += hub + path + hub[:20] + [(None, 3), (4, None), (6, 6)]
+        found = components(spark.createDataFrame(edges, "a long, b long").repartition(parts)).collect()
+        assert {x["node"]: x["root"] for x in found} == plain_roots(edges) and len(found) == len(plain_roots(edges))
+
+
+def test_contraction_in_chunks_keeps_a_node_s_edges_together(monkeypatch):
+    from tracewright.llm import components as module
+
+    monkeypatch.setattr(module, "HELD", 3)
+    r = random.Random(2)
+    for _ in range(20):
+        edges = sorted((r.randrange(10, 60), r.randrange(0, 10)) for _ in range(80))
+        batches = [pa.RecordBatch.from_pydict({"a": [x for x, _ in part], "b": [y for _, y in part]}) for part in (edges[i : i + 4] for i in range(0, 80, 4))]
+        for by_node in (False, True):
+            out = [(x, y) for b in module._contract(iter(batches), by_node) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert plain_roots(out) == plain_roots(edges) and all(x > y for x, y in out)
+        for node in {x for x, _ in edges}:
+            own = [y for x, y in edges if x == node]
+            linked = plain_roots([e for e in out if e[0] in (node, *own)])
+            assert len({linked.get(x, x) for x in (node, *own)}) == 1
+
+
 # -- op5 ----------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Edges never meet on the driver: it sees one checksum a round. Each round is written to the
+Edges never meet on the driver: it sees one count a round. Each round is written to the
 shared folder, so lineage stays short and a lost executor costs one round at most. Edges are
-first contracted within each partition, which leaves at most one edge for each node that a
-task holds at once. A round's tables go once the next is written.
+contracted within each partition at first and on both sides of a round's last shuffle, which
+leaves at most one edge for each node that a task holds at once. A round's tables go once the
+next is written.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ class Forest:
         return True
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
+def _contract(batches: Iterator[pa.RecordBatch], sorted_by_a: bool = False) -> Iterator[pa.RecordBatch]:
+    """Each node but the roots with its root, of the edges of a task. Where they are sorted by a,
+    a node's edges stay linked also if they lie on both sides of a chunk's end."""
+    forest, last = Forest(), None
 
     def tree_edges() -> pa.RecordBatch:
         nodes = [x for x in forest.up if forest.find(x) != x]
@@ -52,26 +55,36 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             forest.join(x, y)
+            last = x
         if len(forest.up) >= HELD:
             yield tree_edges()
-            forest = Forest()
+            before, forest = forest, Forest()
+            if sorted_by_a:
+                forest.join(last, before.find(last))
     yield tree_edges()
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """One large star and one small star, written. edges: a > b.
+def _least(edges: DataFrame) -> DataFrame:
+    """a, m, top for each node: the least of it and its neighbours, and the largest neighbour."""
+    return _both(edges).groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.max("b").alias("top"))
 
-    The least neighbours are written before they are joined: both sides of the join are then
-    read anew, so that Spark can split a hub with very many edges over tasks.
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _round(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """One large star and one small star, written. edges: a > b; least: of them, written.
+
+    Both sides of the join are read anew, so that Spark can split a hub with very many edges
+    over tasks. For the small star a node's edges meet in one task, at most one from each task
+    before, and are contracted there with all others of that task. Neighbours of a component's
+    smallest node stay such, and while there are other nodes, each round makes some of them so.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-    large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    large = materialize(large, "large")
-    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-    moved = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    found = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    discard(least, large, low, edges)
+    large = _both(edges).join(least.select("a", "m"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met = large.mapInArrow(_contract, "a long, b long").repartition("a").sortWithinPartitions("a")
+    found = materialize(met.mapInArrow(lambda batches: _contract(batches, True), "a long, b long"), "edges")
+    discard(least, edges)
     return found
 
 
@@ -82,13 +95,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     """
     small_batches(edges.sparkSession)
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long")
-    state, found = None, materialize(e, "edges")
+    found = materialize(e, "edges")
     for _ in range(rounds):
-        sums = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if (tuple(sums)) == state or sums[0] == 0:
-            break
-        state, found = tuple(sums), _round(found)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = found.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return found.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+        least = materialize(_least(found), "least")
+        # all are stars once no node but a smallest one has another neighbour than its least
+        if least.where("m < a AND m <> top").agg(F.count(F.lit(1))).first()[0] == 0:
+            discard(found)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        found = _round(found, least)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
