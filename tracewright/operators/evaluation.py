@@ -41,15 +41,18 @@ def group_split(rows: DataFrame, test_size: float = 0.25, seed: int = 42, gid: s
     """Add split: whole groups go to train or test, by quota for groups with and without positives.
 
     Which groups of a class go to test is drawn by a hash of group and seed. Ranks are taken
-    within class; a group table has one row a group.
+    within class; a group table has one row a group. A class of one group stays in train; where a
+    class has no group, the other one gives all that are asked for.
     """
     groups = rows.groupBy(gid).agg(F.max("label").alias("positive"))
     sizes = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("positive").cast("bigint").alias("p"))
+    none = F.lit(0)
     asked = F.least(F.greatest(_half_even(F.col("n") * test_size) if test_size < 1 else F.lit(int(test_size)), F.lit(2)), F.col("n") - 2)
-    quota = sizes.withColumn("asked", asked).withColumn("neg", F.col("n") - F.col("p"))
+    quota = sizes.withColumn("asked", F.greatest(asked, none)).withColumn("neg", F.col("n") - F.col("p"))
     want = F.least(F.greatest(_half_even(F.col("asked") * F.col("p") / F.col("n")), F.lit(1)), F.col("p") - 1)
-    quota = quota.withColumn("want", want)
-    quota = quota.withColumn("want_neg", F.least(F.greatest(F.col("asked") - F.col("want"), F.lit(1)), F.col("neg") - 1)).withColumn("want_pos", F.col("asked") - F.col("want_neg"))
+    quota = quota.withColumn("want", F.greatest(want, none))
+    want_neg = F.least(F.greatest(F.col("asked") - F.col("want"), F.lit(1)), F.col("neg") - 1)
+    quota = quota.withColumn("want_neg", F.greatest(want_neg, none)).withColumn("want_pos", F.greatest(F.col("asked") - F.col("want_neg"), none))
     place = dense_numbers(
         groups.withColumn("h", F.xxhash64(gid, F.lit(seed))).withColumn("key", F.struct("positive", "h", gid)), "place", F.col("key"),
         F.struct("positive", F.floor(F.col("h") / F.lit(1 << 56)).alias("b")),

@@ -32,11 +32,12 @@ ROUND = "round_even({0}, 0)::BIGINT"
 
 
 @query(f"""{S}, g AS (SELECT grp || '|' || (id % 7) AS gid, max(label) AS positive, count(*) AS rows FROM s GROUP BY ALL), n AS (SELECT count(*) AS n, sum(positive)::BIGINT AS p FROM g),
-a AS (SELECT *, least(greatest({ROUND.format("n * 0.25")}, 2), n - 2) AS asked FROM n), b AS (SELECT *, least(greatest({ROUND.format("asked * p / n")}, 1), p - 1) AS want FROM a),
-c AS (SELECT *, least(greatest(asked - want, 1), n - p - 1) AS want_neg FROM b), d AS (SELECT *, asked - want_neg AS want_pos FROM c)
-SELECT 1 AS positive, 'test' AS split, want_pos AS groups FROM d UNION ALL SELECT 1, 'train', p - want_pos FROM d UNION ALL SELECT 0, 'test', want_neg FROM d UNION ALL SELECT 0, 'train', n - p - want_neg FROM d""")
+a AS (SELECT *, greatest(least(greatest({ROUND.format("n * 0.25")}, 2), n - 2), 0) AS asked FROM n), b AS (SELECT *, greatest(least(greatest({ROUND.format("asked * p / n")}, 1), p - 1), 0) AS want FROM a),
+c AS (SELECT *, greatest(least(greatest(asked - want, 1), n - p - 1), 0) AS want_neg FROM b), d AS (SELECT *, greatest(asked - want_neg, 0) AS want_pos FROM c),
+o AS (SELECT 1 AS positive, 'test' AS split, want_pos AS groups FROM d UNION ALL SELECT 1, 'train', p - want_pos FROM d UNION ALL SELECT 0, 'test', want_neg FROM d UNION ALL SELECT 0, 'train', n - p - want_neg FROM d)
+SELECT positive, split, groups FROM o WHERE groups > 0""")
 def m2_split_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of each class on each side of the split."""
+    """Groups of each class on each side of the split, where there are any."""
     split = m2_group_split(spark, sf_dir).groupBy("gid", "split").agg(F.max("label").alias("positive"))
     return split.groupBy("positive", "split").agg(F.count(F.lit(1)).alias("groups"))
 
