@@ -121,8 +121,9 @@ def m15_scenario_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATES = """sum((label = 1 AND {0})::INT)::BIGINT AS tp, sum((label = 0 AND {0})::INT)::BIGINT AS fp, sum((label = 1 AND NOT {0})::INT)::BIGINT AS fn, sum((label = 0 AND NOT {0})::INT)::BIGINT AS tn"""
 DERIVED = """tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1,
-  round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy"""
-RANKING = "(SELECT round(sum(p / pos * (tp / (tp + fp))), 9) FROM u) AS average_precision, (SELECT round(sum(q * (tp - p / 2)) / (max(pos) * max(neg)), 9) FROM u) AS roc_auc"
+  round(CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE coalesce(tn / nullif(tn + fp, 0), 0) END, 9) AS balanced_accuracy"""
+RANKING = """(SELECT round(CASE WHEN max(pos) > 0 THEN sum(p / pos * (tp / (tp + fp))) ELSE 0 END, 9) FROM u) AS average_precision,
+  (SELECT round(CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN sum(q * (tp - p / 2)) / (max(pos) * max(neg)) END, 9) FROM u) AS roc_auc"""
 METRICS = ("precision", "recall", "f1", "balanced_accuracy", "average_precision", "roc_auc")
 
 
