@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import actor, calendar, finite, guarded_ratio, joint_key
-from .ordering import exact_key, running_totals, running_values, time_block
+from .ordering import Blocks, exact_key, running_totals, running_values, time_blocks
 
 SECOND = 1_000_000
 NONE = -1
@@ -76,7 +76,7 @@ def with_keys(events: DataFrame) -> DataFrame:
     )
 
 
-def prior_counts(rows: DataFrame, block: Column | None = None) -> DataFrame:
+def prior_counts(rows: DataFrame, block: Blocks | None = None) -> DataFrame:
     """Rows before this one with the same key, for eleven keys; a blank key has none.
 
     All keys share one shuffle by spans of time, so hot keys (there are few actions) are
@@ -90,16 +90,16 @@ def prior_counts(rows: DataFrame, block: Column | None = None) -> DataFrame:
         "actor_object_prior": filled("actor_object"), "actor_action_prior": filled("actor_action"), "object_action_prior": filled("object_action"),
         "origin_object_prior": filled("origin_object"), "actor_object_action_prior": filled("actor_object_action"),
     }
-    found = running_totals(rows, {n: (k, F.lit(1)) for n, k in keys.items()}, _order(), _at(), time_block(rows) if block is None else block)
+    found = running_totals(rows, {n: (k, F.lit(1)) for n, k in keys.items()}, _order(), _at(), time_blocks(rows) if block is None else block)
     return found.withColumns({n: F.coalesce(F.col(n) - 1, F.lit(0)) for n in keys})
 
 
-def prior_distinct(rows: DataFrame, wanted: dict[str, tuple[str, str, Column]], block: Column | None = None) -> DataFrame:
+def prior_distinct(rows: DataFrame, wanted: dict[str, tuple[str, str, Column]], block: Blocks | None = None) -> DataFrame:
     """name -> (key, other, mask): distinct values of ``other`` among the key's earlier rows.
 
     First sightings of pairs are flagged, then summed by key; a null is a value like "".
     """
-    block = time_block(rows) if block is None else block
+    block = time_blocks(rows) if block is None else block
     keys = {n: F.when(mask, F.coalesce(F.col(key), F.lit(""))) for n, (key, _, mask) in wanted.items()}
     pairs = {f"_seen_{n}": (F.concat(F.length(k).cast("string"), F.lit(":"), k, F.coalesce(F.col(wanted[n][1]), F.lit(""))), F.lit(1)) for n, k in keys.items()}
     first = lambda n: F.coalesce((F.col(f"_seen_{n}") == 1).cast("int"), F.lit(0))
@@ -122,7 +122,7 @@ def novelty(rows: DataFrame) -> DataFrame:
     )
 
 
-def transitions(rows: DataFrame, block: Column | None = None) -> DataFrame:
+def transitions(rows: DataFrame, block: Blocks | None = None) -> DataFrame:
     """Index, previous values and times since the previous row, per stream and per object."""
     c, on_object = F.col, F.col("has_object") == 1
     keys = {
@@ -134,7 +134,7 @@ def transitions(rows: DataFrame, block: Column | None = None) -> DataFrame:
         "_rows": ("stream", "sum", F.lit(1).cast("bigint"), True), "_stream": last("stream", "service", "us"), "_object": last("object", "action", "actor", "us"),
         "_pair": last("actor_object", "us"), "_origin": last("origin", "us"),
     }
-    rows = running_values(rows, keys, wanted, _order(), _at(), time_block(rows) if block is None else block)
+    rows = running_values(rows, keys, wanted, _order(), _at(), time_blocks(rows) if block is None else block)
     was = lambda of, field: F.coalesce(c(of)[field], F.lit(START))
     elapsed = lambda of: F.coalesce((c("us") - c(of)["us"]) / SECOND, F.lit(0.0))
     rows = rows.withColumns(
@@ -159,13 +159,13 @@ def transitions(rows: DataFrame, block: Column | None = None) -> DataFrame:
     )
 
 
-def counters(rows: DataFrame, block: Column | None = None) -> DataFrame:
+def counters(rows: DataFrame, block: Blocks | None = None) -> DataFrame:
     """Reuse, change and fall of invoke ids, report sequences, counters and payload sizes.
 
     Missing numbers are -1 and take part in changes along a stream.
     """
     c = F.col
-    block = time_block(rows) if block is None else block
+    block = time_blocks(rows) if block is None else block
     rows = rows.withColumns({"invoke_value": F.coalesce(F.when(F.abs("invoke") <= 1_000_000_000, c("invoke")), F.lit(NONE)), "ctl_value": F.coalesce("ctl", F.lit(NONE)), "seq_value": F.coalesce("seq", F.lit(NONE))})
     pair = (c("actor_object") != "") & (c("has_ctl") == 1)
     keys = {
@@ -221,7 +221,7 @@ def target(rows: DataFrame, label: str | None = None, fall_back: bool = True) ->
 def features(events: DataFrame) -> DataFrame:
     """All history features. Those over keys share a shuffle by spans of time, one for each kind."""
     rows = calendar(with_keys(events))
-    block = time_block(events)
+    block = time_blocks(events)
     rows = prior_counts(rows, block)
     rows = prior_distinct(rows, {"object_actors_prior": ("object", "actor", F.col("has_object") == 1), "origin_srcs_prior": ("origin", "src", F.col("has_origin") == 1)}, block)
     return ratios(time_z(counters(transitions(novelty(rows), block), block)))
