@@ -65,7 +65,8 @@ def detect(events: DataFrame, model: dict[str, DataFrame], payloads: DataFrame |
     learned, trained = writes.where("learned"), model["origin_ctl"] if o.trained else None
     rules = [protocol.write_rules(writes, o.pair_us, o.memory), protocol.origin_rule(learned)]
     if payloads is not None:
-        at = payloads.join(rows.select("line", "us", "src", "dst"), "line")
+        # four uses: trees are walked once. Tables of as many rows as the log are never broadcast, however small their files are
+        payloads = at = materialize(payloads.join(rows.select("line", "us", "src", "dst").hint("merge"), "line"), "payloads")
         names = at.select("line", F.explode("identities").alias("identity"))
         rules.append(protocol.unknown_identities(names, learned, "unexpected_octet_identity_in_control_context", trained))
         each = at.select("line", "us", "src", "dst", F.posexplode("entries").alias("pos", "e")).select("line", "pos", "us", "src", "dst", "e.origin", "e.ctl")
@@ -103,7 +104,7 @@ def with_payloads(rows: DataFrame, payloads: DataFrame | None) -> DataFrame:
         F.array_sort(F.array_distinct(F.filter(F.transform("entries", lambda e: e["origin"]), lambda x: x != ""))).alias("report_origins"),
         F.array_sort(F.array_distinct(F.filter(F.transform("entries", lambda e: e["ctl"]), lambda x: x.isNotNull()))).alias("report_ctls"),
     )
-    joined = rows.drop("report_seq").join(said, "line", "left")
+    joined = rows.drop("report_seq").join(said.hint("merge"), "line", "left")
     return joined.withColumns({"refs": F.coalesce("refs", none), "flags": F.coalesce("flags", none), "report_origins": F.coalesce("report_origins", none), "report_ctls": F.coalesce("report_ctls", F.array().cast("array<bigint>"))})
 
 

@@ -93,7 +93,7 @@ def pairing(writes: DataFrame, timeout_us: int = 15 * SECOND) -> DataFrame:
     """
     steps = writes.where(F.col("action").isin("SBOw", "Oper"))
     found = _along(steps.select("line", *PAIR, "action", "us"), _steps()).select("line", *[c.alias(n) for n, c in _pair_columns(timeout_us).items()])
-    return found.join(_armed(writes, "line").withColumn("pending", F.lit(True)), "line", "left").withColumn("pending", _no(F.col("pending")))
+    return found.join(_armed(writes, "line").withColumn("pending", F.lit(True)).hint("merge"), "line", "left").withColumn("pending", _no(F.col("pending")))
 
 
 def _armed(writes: DataFrame, *columns: str) -> DataFrame:
@@ -143,7 +143,7 @@ def _with_memory(found: DataFrame, writes: DataFrame, memory: int | None) -> Dat
     if many.isEmpty():
         return found
     again = carried.forgetful_repeats(ids.join(many, "key"), memory)
-    return found.join(again, "line", "left").withColumn("duplicate_write_invoke_id", F.coalesce("again", "duplicate_write_invoke_id")).drop("again")
+    return found.join(again.hint("merge"), "line", "left").withColumn("duplicate_write_invoke_id", F.coalesce("again", "duplicate_write_invoke_id")).drop("again")
 
 
 def invoke_rules(writes: DataFrame, memory: int | None = INVOKE_MEMORY) -> DataFrame:
@@ -192,8 +192,9 @@ def allowed_origin(writes: DataFrame) -> DataFrame:
     The leader changes only when another origin's count exceeds the leader's, so it is the
     origin that first reached the highest count so far.
     """
-    line, block = F.col("line"), ordering.line_block()
+    line = F.col("line")
     named = writes.where(F.coalesce(F.col("origin"), F.lit("")) != "").select("line", "origin")
+    block = ordering.line_blocks(named)
     counted = running_values(named, {"origin": F.col("origin")}, {"k": ("origin", "sum", F.lit(1).cast("bigint"), True)}, (line,), line, block)
     first_of_highest = F.struct(F.col("k"), (-line).alias("since"), F.col("origin"))
     led = running_values(counted, {"all": F.lit("")}, {"top": ("all", "max", first_of_highest, False)}, (line,), line, block)
@@ -264,7 +265,7 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
     rows = seen.where("side = 1").crossJoin(F.broadcast(first)).withColumn("answered", F.lit(None).cast("boolean"))
     if not seen.where("us < latest").isEmpty():  # the clock went back somewhere
         timed = seen.where("key IS NOT NULL").select("key", "line", "side", "pos", "us", c("last_write").alias("was"), c("latest").alias("high"))
-        rows = rows.drop("answered").join(carried.answered(timed, match_us), ["line", "pos"], "left")
+        rows = rows.drop("answered").join(carried.answered(timed, match_us).hint("merge"), ["line", "pos"], "left")
     no = F.lit(False)
     started, unknown, has = F.coalesce(F.col("start") <= F.col("line"), no), F.col("seen") == 0, F.col("ctl").isNotNull()
     since = F.col("us") - F.col("last_write")
@@ -285,7 +286,7 @@ def report_rules(entries: DataFrame, writes: DataFrame, match_us: int = 20 * SEC
 def report_sequence(entries: DataFrame, reset_us: int = 120 * SECOND, tolerance: int = 2) -> DataFrame:
     """line, report_seq_regression, report_seq_duplicate. entries: line, us, key, seq, one row
     for each key of a line. Silence longer than reset_us begins a new session of a key."""
-    line, key, block, no = F.col("line"), {"key": F.col("key")}, ordering.line_block(), F.lit(False)
+    line, key, block, no = F.col("line"), {"key": F.col("key")}, ordering.line_blocks(entries), F.lit(False)
     along = lambda df, wanted: running_values(df, key, wanted, (line,), line, block)
     rows = along(entries.select("line", "key", "us", "seq"), {"was": ("key", "last", F.struct("us"), False)})
     new = F.coalesce(F.col("us") - F.col("was.us") > reset_us, no)
@@ -309,7 +310,8 @@ def with_reasons(events: DataFrame, rules: Sequence[DataFrame]) -> DataFrame:
         names = [n for n in r.columns if n in WRITE_RULES or n in ("delay_us", "unmatched_severity")]
         if "report_without_matching_write" in names or "report_seq_regression" in names:
             r = r.groupBy("line").agg(*[F.max(n).alias(n) for n in names])
-        found = found.join(r.select("line", *names), "line", "left")
+        # one row a line: a table as long as the log, which Spark would broadcast for the small size of its file
+        found = found.join(r.select("line", *names).hint("merge"), "line", "left")
         present += names
     on = {n: F.coalesce(F.col(n), F.lit(False)) for n in WRITE_RULES if n in present or n in events.columns}
     name = {n: F.lit(n) for n in on}
@@ -345,7 +347,7 @@ def suppress(alerts: DataFrame, quiet_us: int = 30 * SECOND, key: str = "fingerp
     """
     timed = alerts.where(F.col("us").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "line", "us")
     quiet = carried.quiet_repeats(timed, quiet_us)
-    return alerts.join(quiet.withColumn("suppressed", F.lit(True)), "line", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+    return alerts.join(quiet.withColumn("suppressed", F.lit(True)).hint("merge"), "line", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
 def emitted(alerts: DataFrame, emit_all: bool = False) -> DataFrame:
