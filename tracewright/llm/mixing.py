@@ -27,19 +27,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialize, words
+from .util import discard, materialize, words
 
 OTHER, NULL, NONE = "(other)", "(null)", "(none)"
-#: Topics, the hashed terms they are told by, and the distinct texts they are fitted on.
-TOPICS, TERMS, TOPIC_SAMPLE = 12, 512, 4000
-#: Clusters with a smaller share of the sample have no name of their own.
+#: Topics, and the hashed terms they are told by.
+TOPICS, TERMS = 12, 512
+#: Points that a task of the clustering holds on the average.
+POINTS_A_TASK = 4096
+#: Clusters with a smaller share of the distinct texts have no name of their own.
 LEAST_TOPIC = 0.03
 #: So many cells are sent to all tasks; more are joined.
 MOST_BROADCAST = 200_000
@@ -62,31 +64,34 @@ def terms(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, sample_rows: int = TOPIC_SAMPLE) -> Topics | None:
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> Topics | None:
     """Clusters of the texts by their hashed terms, which weigh more the rarer they are.
 
-    They are fitted on about ``sample_rows`` distinct texts, picked by a hash of the text and
-    ordered in one partition, so that the same documents always give the same topics. None
-    where fewer than two differ.
+    Weights come from all distinct texts, clusters from all distinct vectors of theirs (told apart
+    by 64-bit hashes). Points are dealt and ordered by these hashes, whatever the order of the
+    documents. None where fewer than two differ.
     """
-    known = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(3)).alias("key"))
-    n = known.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    picked = known.where(F.pmod("key", F.lit(1_000_000)) < int(min(1.0, sample_rows / max(1, n)) * 1_000_000) + 1)
-    picked = picked.groupBy("key").agg(F.first("text").alias("text"))
-    sample = materialize(picked.select("key", terms(F.col("text")).alias("_terms")), "topic-sample")
-    if sample.isEmpty():
-        return None
+    known = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64(text_col, F.lit(3)).alias("key"), terms(F.col(text_col)).alias("_terms"))
     counts = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=TERMS, binary=True)
-    weighted = IDF(inputCol="_counts", outputCol="_weighted")
-    vectors = Pipeline(stages=[counts, weighted, Normalizer(inputCol="_weighted", outputCol="_features")]).fit(sample)
-    differ = vectors.transform(sample).groupBy(vector_to_array("_features").alias("v")).agg(F.min("key").alias("key"), F.first("_features").alias("_features"))
-    points = materialize(differ.select("key", "_features").coalesce(1).sortWithinPartitions("key"), "topic-points").coalesce(1)
-    k = min(topics, points.count())
+    # a text is its terms' few places from here on
+    hashed = counts.transform(known).select("key", "_counts", F.xxhash64(vector_to_array("_counts"), F.lit(3)).alias("point"))
+    texts = materialize(hashed.groupBy("key").agg(F.first("_counts").alias("_counts"), F.first("point").alias("point")), "topic-texts")
+    if texts.isEmpty():
+        return None
+    idf = IDF(inputCol="_counts", outputCol="_weighted").fit(texts)
+    unit = Normalizer(inputCol="_weighted", outputCol="_features")
+    points = materialize(texts.groupBy("point").agg(F.first("_counts").alias("_counts")), "topic-points")
+    n = points.count()
+    discard(texts)
+    k = min(topics, n)
     if k < 2:
         return None
-    clusters = KMeans(k=k, seed=5, maxIter=15, initMode="random", featuresCol="_features", predictionCol="_topic").fit(points)
+    # dealt by the points alone, so that the first centers are the same on any machine; weights come after, as they take more room
+    dealt = points.repartition(-(-n // POINTS_A_TASK), "point").sortWithinPartitions("point")
+    vectors = unit.transform(idf.transform(dealt)).select("_features")
+    clusters = KMeans(k=k, seed=5, maxIter=15, initMode="random", featuresCol="_features", predictionCol="_topic").fit(vectors)
     sizes = clusters.summary.clusterSizes
-    return Topics(PipelineModel([*vectors.stages, clusters]), tuple(i for i, x in enumerate(sizes) if x >= LEAST_TOPIC * sum(sizes)))
+    return Topics(PipelineModel([counts, idf, unit, clusters]), tuple(i for i, x in enumerate(sizes) if x >= LEAST_TOPIC * sum(sizes)))
 
 
 def with_topic(docs: DataFrame, found: Topics | None, text_col: str = "text") -> DataFrame:
