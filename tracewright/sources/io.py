@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import running_by_key
+from ..operators.ordering import BLOCK, running_by_key
 
 #: Columns of a raw capture, all read as text; nested ones hold JSON.
 RAW_COLUMNS = (
@@ -28,19 +28,21 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     lines their quoted fields span, also where a file is read by many tasks.
 
     Lines are read as text, which splits a file anywhere. A line begins a record if the number of
-    quotes before it in its file is even. That number is a running sum within a split, and over
-    the splits' totals; only the lines of records that span several are brought together.
+    quotes before it in its file is even. That number is a running sum within a block of a split's lines,
+    and over the blocks' totals; only the lines of records that span several are brought together.
     """
     lines = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("record"), F.col("value")
     )
+    # a split holds any number of lines, so its lines are dealt into blocks, too
+    block = F.struct("split", F.floor(F.col("at") / BLOCK).alias("part"))
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long")
-    counted = running_by_key(lines.withColumn("quotes", quotes), ["file"], {"before": ("sum", F.col("quotes"))}, ["at"], inclusive=False, block=F.col("split"))
+    counted = running_by_key(lines.withColumn("quotes", quotes), ["file"], {"before": ("sum", F.col("quotes"))}, ["at"], inclusive=False, block=block)
     begins = F.col("before") % 2 == 0
     alone = begins & (F.col("quotes") % 2 == 0)
     counted = counted.withColumns({"begins": begins, "alone": alone}).where(~(F.col("alone") & (F.trim("record") == "")))
     wanted = {"number": ("sum", F.col("begins").cast("long")), "place": ("last", F.when(F.col("begins"), F.struct("split", "at")))}
-    placed = running_by_key(counted, ["file"], wanted, ["at"], block=F.col("split"))
+    placed = running_by_key(counted, ["file"], wanted, ["at"], block=block)
     parts = placed.where(~F.col("alone")).groupBy("file", "place").agg(F.max("number").alias("number"), F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("parts"))
     joined = F.rtrim(F.array_join(F.transform("parts", lambda x: x["value"]), "\n"), F.lit("\r"))
     return placed.where("alone").select("file", "place", "number", "record").unionByName(parts.select("file", "place", "number", joined.alias("record")))
