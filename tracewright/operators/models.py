@@ -1,4 +1,4 @@
-"""Detector branches with MLlib: forests over features or windows, and their fusion."""
+"""Detector branches: forests over features or windows, and their fusion by MLlib."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import forest
 from .evaluation import row_threshold
+from .forest import Forest
 from .sequences import flatten
 
 TREES, DEPTH, LEAF, SEED = 300, 12, 2, 42
@@ -25,17 +27,9 @@ def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).withColumn("weight", F.col("_n") / (2.0 * F.greatest(own, F.lit(1)))).drop("_n", "_p")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over at least as many partitions as there are cores. A small table is read as one
-    partition, and a forest passes over its rows once a level: on one core, that is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
-def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = SEED) -> PipelineModel:
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
-    return Pipeline(stages=[assemble, forest]).fit(with_weights(spread(train), label))
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = SEED) -> Forest:
+    """Balanced classes; see ``forest`` for how cells of equal rows are counted."""
+    return forest.fit(train, features, label, trees, depth, leaf, seed)
 
 
 def fit_combiner(train: DataFrame, features: Sequence[str], label: str = "label") -> PipelineModel:
@@ -45,23 +39,24 @@ def fit_combiner(train: DataFrame, features: Sequence[str], label: str = "label"
     return Pipeline(stages=[assemble, logistic]).fit(with_weights(train, label))
 
 
-def scores(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
+def scores(model: Forest | PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
     """Add the chance of label 1; the model's own columns are dropped."""
+    if isinstance(model, Forest):
+        return rows.withColumn(out, model.score(rows))
     found = model.transform(rows).withColumn(out, vector_to_array("probability")[1])
     return found.drop("features", "rawPrediction", "probability", "prediction", "weight")
 
 
-def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
+def importances(model: Forest, features: Sequence[str]) -> list[tuple[str, float]]:
     """Features by falling importance."""
-    values = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
+    return sorted(zip(features, map(float, model.importances), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass(frozen=True)
 class Branch:
     """A fitted detector: its threshold from the validation part, and the scored test part."""
 
-    model: PipelineModel
+    model: Forest
     threshold: float
     scored: DataFrame
 
