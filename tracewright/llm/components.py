@@ -3,8 +3,8 @@
 Edges never meet on the driver: it sees one count a round. Each round is written to the
 shared folder, so lineage stays short and a lost executor costs one round at most. Edges are
 contracted within each partition at first and on both sides of a round's last shuffle, which
-leaves at most one edge for each node that a task holds at once. A round's tables go once the
-next is written.
+leaves at most one edge for each node that a task holds at once. Once no more than SMALL edges are
+left, whatever the table, one task contracts them. A round's tables go once the next is written.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .util import discard, materialize, small_batches
 
 #: Nodes a task holds at once while it contracts edges.
 HELD = 1_000_000
+#: Edges that are contracted at once, if their nodes are no more than a task holds.
+SMALL = 250_000
 
 
 class Forest:
@@ -65,8 +67,8 @@ def _contract(batches: Iterator[pa.RecordBatch], sorted_by_a: bool = False) -> I
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """a, m, top for each node: the least of it and its neighbours, and the largest neighbour."""
-    return _both(edges).groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.max("b").alias("top"))
+    """a, m, top, d for each node: the least of it and its neighbours, the largest neighbour, its edges."""
+    return _both(edges).groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.max("b").alias("top"), F.count("b").alias("d"))
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -88,6 +90,13 @@ def _round(edges: DataFrame, least: DataFrame) -> DataFrame:
     return found
 
 
+def _at_once(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The stars of a bounded number of edges, written."""
+    found = materialize(edges.coalesce(1).mapInArrow(_contract, "a long, b long"), "edges")
+    discard(least, edges)
+    return found
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """node, root for every node of the edges: root is the smallest node it is linked with.
 
@@ -99,8 +108,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     for _ in range(rounds):
         least = materialize(_least(found), "least")
         # all are stars once no node but a smallest one has another neighbour than its least
-        if least.where("m < a AND m <> top").agg(F.count(F.lit(1))).first()[0] == 0:
+        open_nodes, ends = least.agg(F.count_if(F.expr("m < a AND m <> top")), F.sum("d")).first()
+        if not open_nodes:
             discard(found)
             return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
-        found = _round(found, least)
+        found = _at_once(found, least) if ends <= min(2 * SMALL, HELD - 1) else _round(found, least)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

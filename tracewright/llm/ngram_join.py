@@ -13,7 +13,11 @@ row per document with its connected component; links are never listed for whole
     share the start of their path. A set is compared with all others in one traversal, which
     adds up overlaps shared by all sets below a node and leaves out subtrees that, by
     the lengths that remain, can't reach the bound.
-4.  A group larger than one task should hold is dealt into tiles, which share a few classes.
+4.  A group of more than a FEW classes is parted first: of whole sets, in the order of
+    the n-grams' numbers of classes in the group, a class stays only if others hold as many
+    of its n-grams as any partner has, and meets them by the rarest of these alone. So classes that
+    share a common passage, but not most of their text, come apart.
+5.  A group larger than one task should hold is dealt into tiles, which share a few classes.
     Each tile is joined by itself first; then only classes outside the group's largest
     component are compared across tiles, so a large group of near copies costs little beyond
     its first pass.
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import finish, ngram_sets
+from .shingles import PIECE, finish, ngram_sets
 from .util import discard, materialize, small_batches, unused
 
 #: A link needs den * intersection >= num * union.
@@ -52,6 +56,8 @@ EXTEND = 8
 CHUNK, IN_CHUNK, IN_ALL, MOST_FREQUENT = 1_000_000, 16, 64, 16384
 #: Tokens and classes of a tile, and the classes that all tiles of a group share.
 TILE_TOKENS, TILE_SETS, PIVOTS = 500_000, 512, 8
+#: Classes of a group that are compared as they are.
+FEW = 32
 #: Classes a task remembers so as to leave out their copies.
 REMEMBERED = 500_000
 
@@ -318,6 +324,64 @@ def sets_of(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "cls long, n long, tokens binary, hot array<long>")
 
 
+def _held(member: DataFrame) -> DataFrame:
+    """key, cls, least: each n-gram of each class of member (grp, cls, tokens). key stands for the
+    n-gram within the group; least is how many of a class's n-grams any partner has."""
+    names, kinds = ["key", "cls", "least"], [pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: list[tuple[np.ndarray, int]] = []
+            waiting = 0
+            for i, (grp, cls, tokens) in enumerate(zip(*[c.to_pylist() for c in b.columns], strict=True), 1):
+                s = np.frombuffer(tokens, np.uint64)
+                held.append((finish(s ^ finish(np.array([grp], np.int64).view(np.uint64))), cls))
+                waiting += len(s)
+                if waiting >= PIECE or i == b.num_rows:
+                    sizes = [len(s) for s, _ in held]
+                    key = np.concatenate([s for s, _ in held]).view(np.int64)
+                    yield _batch(names, kinds, [key, np.repeat([c for _, c in held], sizes), np.repeat([least_overlap(n) for n in sizes], sizes)])
+                    held, waiting = [], 0
+
+    return member.select("grp", "cls", "tokens").mapInArrow(run, "key long, cls long, least int")
+
+
+def closer(member: DataFrame) -> DataFrame:
+    """member (cls, n, tokens, grp) with smaller groups that part no linked classes; classes that
+    can't link are left out.
+
+    Linked classes share ``least`` n-grams at least, all of which two classes or more of the group hold. In
+    an order of these, here by the number of classes, the first shared one is among the first
+    held - least + 1 of either. Common n-grams are counted before they are shuffled, and the join
+    may be split where one is hot.
+    """
+    shared = _held(member).groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("low")).where("df > 1")
+    seen = _held(member).join(shared, "key").groupBy("cls").agg(F.first("least").alias("least"), F.collect_list(F.struct("df", "key", "low")).alias("held"))
+    hubs = "array_distinct(slice(array_sort(held), 1, size(held) - least + 1).low)"
+    kept = materialize(seen.where("size(held) >= least").selectExpr("cls", f"{hubs} AS hubs"), "join-keys", release=True)
+    found = components(kept.selectExpr("cls AS a", "explode(hubs) AS b"))
+    grouped = kept.select("cls").join(found.selectExpr("node AS cls", "root AS grp"), "cls")
+    parted = materialize(member.select("cls", "n", "tokens").join(grouped, "cls"), "join-closer", release=True)
+    discard(kept)
+    return parted
+
+
+def place(member: DataFrame) -> DataFrame:
+    """cls, n, tokens, grp, tiles, tile of the classes whose group has another, once groups of
+    many are parted."""
+
+    def sized(classes: DataFrame) -> DataFrame:
+        size = classes.groupBy("grp").agg(F.sum("n").alias("ns"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        tiles = F.greatest(F.ceil(F.col("ns") / TILE_TOKENS), F.ceil(F.col("sets") / TILE_SETS)).cast("int")
+        return classes.join(materialize(size.select("grp", "sets", tiles.alias("tiles")), "join-tiles"), "grp")
+
+    every = sized(member)
+    large = every.where(F.col("sets") > FEW)
+    if not large.isEmpty():
+        every = every.where(F.col("sets") <= FEW).unionByName(sized(closer(large.select(*member.columns))))
+    return every.drop("sets").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+
+
 def _join_tiles(rows: DataFrame, *keys: str) -> DataFrame:
     """a, b: links that span the components of each tile. rows: keys, cls, known, tokens.
 
@@ -398,12 +462,12 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = np.sort(np.array([r["token"] for r in top.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).collect()], dtype=np.int64).view(np.uint64))
     known = docs.where("doc_id IS NOT NULL")
     classes = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "digest")).alias("m"))
-    classes = materialize(classes.select("cls", "m.doc_id", "m.digest"), "join-classes")
+    classes = materialize(classes.select("cls", "m.doc_id", "m.digest"), "join-classes", release=True)
 
-    alive = materialize(survivors(prefixes(described.where("prefix IS NOT NULL").select("n", "cls", "prefix"), frequent)), "join-survivors")
+    alive = materialize(survivors(prefixes(described.where("prefix IS NOT NULL").select("n", "cls", "prefix"), frequent)), "join-survivors", release=True)
     discard(described)
     texts = alive.select("cls").join(classes, "cls").join(known, ["doc_id", "digest"]).select("cls", "text")
-    sets = materialize(sets_of(texts, frequent), "join-sets")
+    sets = materialize(sets_of(texts, frequent), "join-sets", release=True)
     rare = alive.select("cls", F.explode("keys").alias("token")).selectExpr("cls AS a", "min(cls) OVER (PARTITION BY token) AS b")
     hot = sets.select("cls", F.explode("hot").alias("token"))
     hubs = hot.groupBy("token").agg(F.min("cls").alias("b"))  # at most MOST_FREQUENT rows
@@ -411,17 +475,15 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = materialize(components(edges), "join-groups")
 
     member = sets.select("cls", "n", "tokens").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls")
-    member = materialize(member.dropDuplicates(["cls"]), "join-members")
+    member = materialize(member.dropDuplicates(["cls"]), "join-members", release=True)
     discard(alive, sets, groups)
-    total = member.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / TILE_TOKENS), F.ceil(F.count(F.lit(1)) / TILE_SETS)).cast("int").alias("tiles"))
-    total = materialize(total, "join-tiles")
-    placed = member.join(total, "grp").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    links = materialize(within_tiles(placed), "join-links")
-    if not total.where("tiles > 1").isEmpty():
-        links = links.unionByName(across_tiles(placed, links))
+    placed = place(member)
+    links = materialize(within_tiles(placed), "join-links", release=True)
+    if not placed.where("tiles > 1").isEmpty():
+        links = links.unionByName(materialize(across_tiles(placed, links), "join-across", release=True))
     found = components(links).withColumnRenamed("node", "cls")
     joined = materialize(classes.join(found, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")), "join-roots")
-    discard(member, total)
+    discard(member)
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows, joined.join(least, "root").select("cls", "root", "component_id")
 
@@ -434,7 +496,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row."""
     rows, classes = join_classes(_keyed(docs, id_col, text_col))
     # documents without words are many null keys, which a join would send to one task
-    found = rows.where("cls IS NOT NULL").join(materialize(classes, "join-result"), "cls", "left").select("doc_id", "n", "component_id")
+    found = rows.where("cls IS NOT NULL").join(materialize(classes, "join-result", release=True), "cls", "left").select("doc_id", "n", "component_id")
     found = found.unionByName(rows.where("cls IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -445,11 +507,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest of the text. Rows of the same id and text count as one; rows with a null id stay."""
     rows, classes = join_classes(_keyed(docs, id_col, text_col))
     same = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "digest", "cls").agg(F.count(F.lit(1)).alias("copies"))
-    joined = same.where("cls IS NOT NULL").join(materialize(classes, "join-result"), "cls")
+    joined = same.where("cls IS NOT NULL").join(materialize(classes, "join-result", release=True), "cls")
     heads = joined.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("m")).select("m.*")
     heads = heads.unionByName(same.where("cls IS NULL").select("doc_id", "digest", "copies"))
     key, digest, copies = (unused(docs, c) for c in ("head_id", "head_digest", "head_copies"))
-    heads = materialize(heads.toDF(key, digest, copies), "join-heads")
+    heads = materialize(heads.toDF(key, digest, copies), "join-heads", release=True)
     own = F.xxhash64(F.col(text_col))
     kept = docs.join(heads, (F.col(id_col).cast("long") == F.col(key)) & (own == F.col(digest)))
     repeated = kept.where(F.col(copies) > 1).dropDuplicates([key, digest])

@@ -97,13 +97,20 @@ def discard_tables(spark: SparkSession) -> int:
     return gone
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there,
     a lost executor costs nothing that is already written, and both sides of a later
-    self-join read the same rows."""
+    self-join read the same rows. If ``release``, the shuffles that made it go at once;
+    else they stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, "false")
+    spark.conf.set(key, "true" if release else held)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, held)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
